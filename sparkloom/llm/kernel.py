@@ -109,3 +109,49 @@ def text_hash(value: str) -> int:
     """The hash that ``Words.hashes`` gives for a single word."""
     (_, _, part), = chunks(pa.array([value]))
     return int(words(part).hashes()[0])
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in "\"'()[]{}<>.,;:!?*#&%$|"]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in ".!?:;"]] = True
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of ASCII and of Latin-1 made small."""
+    out = _LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = data[at]
+    at = at[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]
+    out[at] += 32
+    return out
+
+
+def trimmed(w: Words, times: int = 4) -> Words:
+    """Words without marks at their ends; of a word that is all marks the last one stays."""
+    start, end = w.start.copy(), w.end.copy()
+    for _ in range(times):
+        end -= _EDGE[w.data[end - 1]] & (end - start > 1)
+    for _ in range(2):
+        start += _EDGE[w.data[start]] & (end - start > 1)
+    return Words(w.data, start, end, w.doc, w.text_start)
+
+
+def capital(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a capital of ASCII or Latin-1 stands at each position."""
+    first = data[at]
+    second = data[np.minimum(at + 1, len(data) - 1)]
+    return _UPPER[first] | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+
+
+def text_of_word(w: Words) -> np.ndarray:
+    """For each word, the number of its text."""
+    return np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
