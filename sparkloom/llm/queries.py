@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, decontaminate, html, licences, neardup, pii, quality, shards
+from sparkloom.llm import ann, bpe, chat, decontaminate, html, licences, neardup, pii, quality, shards
 from sparkloom.session import table
 
 
+def op1_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op2_minhash_near_dedup, op3_chat_formatting, op4_quality_classifier, op5_pii, op6_html_extraction, op7_licence_scans, op8_sharding, op9_byte_bpe, op10_decontamination)
+_ALL = (op1_approximate_nearest_neighbours, op2_minhash_near_dedup, op3_chat_formatting, op4_quality_classifier, op5_pii, op6_html_extraction, op7_licence_scans, op8_sharding, op9_byte_bpe, op10_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op7_licence_scans": licences.oracle_sql()}
