@@ -34,8 +34,8 @@ from sparkloom.operators.components import component_labels
 from sparkloom.session import cut, stored
 
 SHINGLE, SKETCHES, TAKEN, LEAST = 5, 14, 3, 0.8
-#: Texts of one side in a block comparison.
-BLOCK = 128
+#: Bytes of sequences on one side of a block comparison.
+BLOCK = 16 << 20
 _rng = np.random.Generator(np.random.PCG64(1907))
 _SEED = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _ODD = _rng.integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
@@ -138,34 +138,57 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "src binary, dst binary")
 
 
+def _shared(mine: list[np.ndarray], theirs: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """For each of ``mine``, how many of its labels some other text of ``theirs`` has; ``own`` marks those that are among ``theirs`` themselves."""
+    known, count = np.unique(np.concatenate(theirs), return_counts=True)
+    flat, size = np.concatenate(mine), np.array([len(x) for x in mine])
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    hit = (known[at] == flat) & (count[at] > np.repeat(own, size))
+    return np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+
+
 def _joined_blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between texts of different classes of two blocks, one for each two classes at least."""
+    """Links between texts of different classes of two blocks, one for each two classes at least.
+
+    Two texts share no more labels than either shares with the whole other block; where even that many would leave them
+    below the threshold, they are not compared.
+    """
+    out: list[tuple[bytes, bytes]] = []
+    if not len(left) or not len(right):
+        return pd.DataFrame(out, columns=["src", "dst"])
     leader: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
-        while (y := leader.get(x, x)) != x:
-            x = y
-        return x
-
-    out = []
-    theirs = [(n, c, np.frombuffer(s, np.uint64)) for n, c, s in zip(right["node"], right["component"], right["seq"], strict=True)]
-    for n, c, s in zip(left["node"], left["component"], left["seq"], strict=True):
-        mine = np.frombuffer(s, np.uint64)
-        for n2, c2, s2 in theirs:
-            x, y = find(c), find(c2)
-            if x != y and similarity(mine, s2) >= LEAST:
+        top = x
+        while (y := leader.get(top, top)) != top:
+            top = y
+        while x != top:
+            leader[x], x = top, leader[x]
+        return top
+
+    mine, theirs = ([np.frombuffer(s, np.uint64) for s in side["seq"]] for side in (left, right))
+    nodes, others = left["node"].tolist(), right["node"].tolist()
+    classes, their_classes = left["component"].tolist(), right["component"].tolist()
+    sa, sb = _shared(mine, theirs, left["node"].isin(set(others)).to_numpy()), _shared(theirs, mine, right["node"].isin(set(nodes)).to_numpy())
+    size = np.array([len(x) for x in theirs])
+    for i, (node, own) in enumerate(zip(nodes, classes, strict=True)):
+        most = np.minimum(sa[i], sb)
+        for j in np.flatnonzero(most >= LEAST * (len(mine[i]) + size - most)).tolist():
+            x, y = find(own), find(their_classes[j])
+            if x != y and similarity(mine[i], theirs[j]) >= LEAST:
                 leader[x] = y
-                out.append((n, n2))
+                out.append((node, others[j]))
     return pd.DataFrame(out, columns=["src", "dst"])
 
 
 def _rest(rows: DataFrame, labels: DataFrame, seqs: DataFrame) -> DataFrame:
     """Links that buckets with several classes still hide. ``rows``: ``bucket, node``."""
-    own = rows.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sized = seqs.select("node", F.length("seq").cast("long").alias("bytes"))
+    own = rows.join(sized, "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "bytes", F.coalesce("component", "node").alias("component"))
+    sizes = own.groupBy("bucket", "component").agg(F.sum("bytes").alias("n"))
     open_ = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).filter("classes > 1")
     open_ = open_.select("bucket", F.col("top.component").alias("core"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minor"))
-    held = stored(own.join(open_, "bucket"))
+    held = stored(own.join(open_, "bucket").drop("bytes"))
     side = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     left = held.filter("component <> core").withColumn("i", side("minor")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = held.withColumn("j", side("blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor") - 1)))
