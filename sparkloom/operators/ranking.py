@@ -57,6 +57,19 @@ def core_numbers(g: Graph) -> DataFrame:
     return out
 
 
+def core_members(g: Graph, k: int) -> DataFrame:
+    """``id`` of the vertices of the k-core, by peeling: each round drops what has fewer than ``k`` neighbours left."""
+    edges = cut(g.edges.select("src", "dst").filter("src <> dst").distinct())
+    size = edges.count()
+    while True:
+        stay = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        edges = cut(edges.join(stay.select("src"), "src", "left_semi").join(stay.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        left = edges.count()
+        if left == size:
+            return edges.select(F.col("src").alias("id")).distinct()
+        size = left
+
+
 def greedy_colouring(g: Graph) -> DataFrame:
     """``id, colour``: first-fit in the order of ids. A vertex takes its colour once all neighbours with smaller ids have theirs, so each round colours a whole front."""
     low = g.edges.select("src", "dst").filter("dst < src").distinct().repartition("dst").persist()
