@@ -275,10 +275,10 @@ def connected_components(spark, d):
 def _bc_sql(depth: int = 14) -> str:
     parts = [f"WITH {CP2}, {V2}, l0 AS (SELECT min(src) AS id, 1.0::DOUBLE AS sigma FROM e), s0 AS (SELECT id FROM l0)"]
     for k in range(1, depth + 1):
-        parts.append(f"l{k} AS (SELECT e.dst AS id, sum(sigma) AS sigma FROM l{k - 1} JOIN e ON e.src = l{k - 1}.id WHERE e.dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY 1), s{k} AS (SELECT id FROM s{k - 1} UNION SELECT id FROM l{k})")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT e.dst AS id, sum(sigma) AS sigma FROM l{k - 1} JOIN e ON e.src = l{k - 1}.id WHERE e.dst NOT IN (SELECT id FROM s{k - 1}) GROUP BY 1), s{k} AS MATERIALIZED (SELECT id FROM s{k - 1} UNION SELECT id FROM l{k})")
     parts.append(f"d{depth} AS (SELECT id, sigma, 0.0::DOUBLE AS delta FROM l{depth})")
     for k in range(depth - 1, -1, -1):
-        parts.append(f"d{k} AS (SELECT l.id, l.sigma, coalesce(sum(l.sigma / b.sigma * (1 + b.delta)), 0.0) AS delta FROM l{k} l LEFT JOIN (SELECT e.src, d.sigma, d.delta FROM e JOIN d{k + 1} d ON e.dst = d.id) b ON b.src = l.id GROUP BY 1, 2)")
+        parts.append(f"d{k} AS MATERIALIZED (SELECT l.id, l.sigma, coalesce(sum(l.sigma / b.sigma * (1 + b.delta)), 0.0) AS delta FROM l{k} l LEFT JOIN (SELECT e.src, d.sigma, d.delta FROM e JOIN d{k + 1} d ON e.dst = d.id) b ON b.src = l.id GROUP BY 1, 2)")
     union = " UNION ALL ".join(f"SELECT id, delta FROM d{k}" for k in range(depth + 1))
     return ", ".join(parts) + f", u AS ({union}), m AS (SELECT max(delta) AS m FROM u) SELECT v.id, round(coalesce(u.delta, 0.0) / m.m, 4) + 0.0 AS bc FROM v LEFT JOIN u USING (id), m"
 
@@ -292,7 +292,7 @@ def betweenness(spark, d):
 def _pagerank_sql(rounds: int) -> str:
     parts = [f"WITH {EVT}, v AS (SELECT src AS id FROM g_evt UNION SELECT dst FROM g_evt), n AS (SELECT count(*)::DOUBLE AS n FROM v), deg AS (SELECT src, count(*)::DOUBLE AS k FROM g_evt GROUP BY src), r0 AS (SELECT id, 1 / n.n AS r FROM v, n)"]
     for k in range(1, rounds + 1):
-        parts.append(f"r{k} AS (SELECT v.id, 0.15 / n.n + 0.85 * coalesce(x.s, 0) AS r FROM v CROSS JOIN n LEFT JOIN (SELECT g.dst, sum(p.r / deg.k) AS s FROM g_evt g JOIN r{k - 1} p ON p.id = g.src JOIN deg ON deg.src = g.src GROUP BY 1) x ON x.dst = v.id)")
+        parts.append(f"r{k} AS MATERIALIZED (SELECT v.id, 0.15 / n.n + 0.85 * coalesce(x.s, 0) AS r FROM v CROSS JOIN n LEFT JOIN (SELECT g.dst, sum(p.r / deg.k) AS s FROM g_evt g JOIN r{k - 1} p ON p.id = g.src JOIN deg ON deg.src = g.src GROUP BY 1) x ON x.dst = v.id)")
     return ", ".join(parts) + f" SELECT id, round(r, 6) AS rank FROM r{rounds}"
 
 
@@ -315,7 +315,7 @@ def kcore(spark, d):
 def _core_sql(k: int, rounds: int) -> str:
     parts = [f"WITH {CP2}, {V2}, a0 AS (SELECT src, dst FROM e)"]
     for r in range(1, rounds + 1):
-        parts.append(f"k{r} AS (SELECT src AS id FROM a{r - 1} GROUP BY src HAVING count(*) >= {k}), a{r} AS (SELECT src, dst FROM a{r - 1} WHERE src IN (SELECT id FROM k{r}) AND dst IN (SELECT id FROM k{r}))")
+        parts.append(f"k{r} AS MATERIALIZED (SELECT src AS id FROM a{r - 1} GROUP BY src HAVING count(*) >= {k}), a{r} AS MATERIALIZED (SELECT src, dst FROM a{r - 1} WHERE src IN (SELECT id FROM k{r}) AND dst IN (SELECT id FROM k{r}))")
     return ", ".join(parts) + f" SELECT DISTINCT src AS id FROM a{rounds}"
 
 
@@ -360,7 +360,7 @@ CF_K, CF_STEP, CF_LAM = 4, 1e-5, 0.001
 def _cf_sql(rounds: int, tail: str) -> str:
     b = f"WITH {P.SQL['g_ps']}, e AS (SELECT '0_' || src AS src, '1_' || dst AS dst, w FROM g_ps UNION ALL SELECT '1_' || dst, '0_' || src, w FROM g_ps), p0 AS (SELECT DISTINCT src AS id, pos, 0.5::DOUBLE AS x FROM e, range({CF_K}) t(pos))"
     for k in range(1, rounds + 1):
-        b += f", e{k} AS (SELECT e.src, e.dst, w - d.dot AS err FROM e JOIN (SELECT e.src, e.dst, sum(a.x * b.x) AS dot FROM e JOIN p{k - 1} a ON a.id = e.src JOIN p{k - 1} b ON b.id = e.dst AND b.pos = a.pos GROUP BY 1, 2) d ON d.src = e.src AND d.dst = e.dst), p{k} AS (SELECT p.id, p.pos, p.x + {CF_STEP} * (g.g - {CF_LAM} * p.x) AS x FROM p{k - 1} p JOIN (SELECT e{k}.src, b.pos, sum(err * b.x) AS g FROM e{k} JOIN p{k - 1} b ON b.id = e{k}.dst GROUP BY 1, 2) g ON g.src = p.id AND g.pos = p.pos)"
+        b += f", e{k} AS MATERIALIZED (SELECT e.src, e.dst, w - d.dot AS err FROM e JOIN (SELECT e.src, e.dst, sum(a.x * b.x) AS dot FROM e JOIN p{k - 1} a ON a.id = e.src JOIN p{k - 1} b ON b.id = e.dst AND b.pos = a.pos GROUP BY 1, 2) d ON d.src = e.src AND d.dst = e.dst), p{k} AS MATERIALIZED (SELECT p.id, p.pos, p.x + {CF_STEP} * (g.g - {CF_LAM} * p.x) AS x FROM p{k - 1} p JOIN (SELECT e{k}.src, b.pos, sum(err * b.x) AS g FROM e{k} JOIN p{k - 1} b ON b.id = e{k}.dst GROUP BY 1, 2) g ON g.src = p.id AND g.pos = p.pos)"
     return b + tail
 
 
