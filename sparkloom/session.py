@@ -28,17 +28,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     """Compute ``df`` now into a compressed table in the shared checkpoint folder and read it back.
 
-    For wide or binary rows this takes far less disk than a checkpoint of raw rows.
+    For wide or binary rows this takes far less disk than a checkpoint of raw rows. The path is added to ``into``, for
+    :func:`dropped` once nothing reads the table any more.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that :func:`stored` wrote, by the file system they lie in."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        p = hadoop.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    paths.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables that lie as Parquet in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
