@@ -1,6 +1,6 @@
 """Quality by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Words are read as surface classes: words of up to four bytes stand for themselves, longer ones for their shape (length,
+Words are read as surface classes: words of up to three letters stand for themselves, longer ones for their shape (length,
 capitals, digits, marks), and a word that repeats the one before it is a class of its own, though not as a context. Classes keep the number of n-gram types far below the number of words, in any language, and
 are what separates prose from lists, shouting, noise and repetition. A class is hashed with the document's language, so
 contexts never mix languages; three classes of 21 bits make one 64-bit key.
@@ -20,6 +20,8 @@ left alone.
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
-from sparkloom.session import stored
+from sparkloom.session import dropped, stored
 
 BITS = 21
 MASK, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
@@ -37,10 +39,16 @@ MERGED, BLOCK, DOCS_A_SHARD = 2_000_000, 400_000, 20_000
 #: Trusted ids that are broadcast at most; beyond, the join is by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Threshold: this quantile of the trusted documents' log perplexities, plus so many times its distance from the median.
-QUANTILE, SLACK = 0.9, 4.0
+QUANTILE, SLACK = 0.9, 6.0
+#: What a text of n words may exceed the threshold by is this over the root of n: the mean of few words is no firm figure.
+SPREAD = 2.0
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
 HELD = 5
 
+#: Letters up to which a word stands for itself.
+SHORT = 3
+_INNER = np.zeros(256, bool)
+_INNER[128:192] = True
 _AGAIN = np.uint64(K.text_hash("<again>"))
 _PUNCT = np.ones(256, bool)
 _PUNCT[128:] = False
@@ -65,7 +73,8 @@ def classes(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.nd
     shape = shape * 4 + np.minimum(marks, 3)
     shape = (shape * 256 + np.where(_PUNCT[last], last, 0)).astype(np.uint64)
     word = w.hashes()
-    own = np.where(size <= 4, word, K.mix(shape + np.uint64(1 << 40)))
+    letters = size - count(_INNER)
+    own = np.where(letters <= SHORT, word, K.mix(shape + np.uint64(1 << 40)))
     again = np.zeros(n, bool)
     again[1:] = word[1:] == word[:-1]
     again[w.doc[:-1][w.doc[:-1] < n]] = False
@@ -89,6 +98,15 @@ def keys(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarr
     return p2 << 2 * BITS | p1 << BITS | met, K.text_of_word(w), np.diff(w.doc)
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """An integer array as compressed differences; sorted runs take few bytes."""
+    return zlib.compress(np.diff(a, prepend=a.dtype.type(0)).astype(a.dtype).tobytes(), 1)
+
+
+def _unpacked(raw: pa.Buffer, dtype: type) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), dtype), dtype=dtype)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     k, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     found, at = np.unique(k, return_inverse=True)
@@ -147,10 +165,10 @@ def _discounts(row) -> list[float]:
 class KneserNey:
     """Tables of a model: ``tri (key, c)``, ``bi (key2, c2)``, ``uni (w, c1)`` and their contexts' totals."""
 
-    def __init__(self, counts: DataFrame):
-        self.tri = stored(counts)
-        self.bi = stored(self.tri.groupBy(F.col("key").bitwiseAND(PAIR).alias("key2")).agg(F.count(F.lit(1)).alias("c2")))
-        self.uni = stored(self.bi.groupBy(F.col("key2").bitwiseAND(MASK).alias("w")).agg(F.count(F.lit(1)).alias("c1")))
+    def __init__(self, counts: DataFrame, scratch: list[str] | None = None):
+        self.tri = stored(counts, scratch)
+        self.bi = stored(self.tri.groupBy(F.col("key").bitwiseAND(PAIR).alias("key2")).agg(F.count(F.lit(1)).alias("c2")), scratch)
+        self.uni = stored(self.bi.groupBy(F.col("key2").bitwiseAND(MASK).alias("w")).agg(F.count(F.lit(1)).alias("c1")), scratch)
         seen = lambda c: [F.sum((F.col(c) == k).cast("long")) for k in (1, 2, 3, 4)]
         self.d3, self.d2 = (_discounts(t.agg(*seen(c)).first()) for t, c in ((self.tri, "c"), (self.bi, "c2")))
         row = self.uni.agg(*seen("c1"), F.sum("c1"), F.count(F.lit(1)), F.sum((F.col("c1") > 2).cast("long"))).first()
@@ -172,13 +190,18 @@ class KneserNey:
 
     def log_probabilities(self, wanted: DataFrame) -> DataFrame:
         """``key, logp`` for each distinct key of ``wanted``."""
-        q = wanted.select("key", F.shiftright("key", BITS).alias("ctx3"), F.col("key").bitwiseAND(PAIR).alias("key2"), F.shiftright("key", BITS).bitwiseAND(MASK).alias("ctx2"), F.col("key").bitwiseAND(MASK).alias("w"))
-        q = q.join(self.tri, "key", "left").join(self.bi, "key2", "left").join(self.after3, "ctx3", "left").join(self.after2, "ctx2", "left").join(self.uni, "w", "left")
         part = lambda c, d, t: F.coalesce((F.col(c) - self._discount(F.col(c), d)) / t, F.lit(0.0))
+        # rows are kept narrow: what a later join needs is worked out from the key again
+        q = wanted.join(self.tri, "key", "left").select("key", F.col("c").cast("int").alias("c"), F.col("key").bitwiseAND(PAIR).alias("key2"))
+        # the lower orders once for each distinct pair, of which there are far fewer
+        pairs = wanted.select(F.col("key").bitwiseAND(PAIR).alias("key2")).distinct().select("key2", F.shiftright("key2", BITS).alias("ctx2"), F.col("key2").bitwiseAND(MASK).alias("w"))
+        pairs = pairs.join(self.bi, "key2", "left").join(self.after2, "ctx2", "left").join(self.uni, "w", "left")
         p1 = part("c1", self.d1, F.lit(float(max(1, self.total)))) + self.base
-        p2 = F.when(F.col("t2").isNull(), p1).otherwise(part("c2", self.d2, F.col("t2")) + F.col("g2") * p1)
+        pairs = pairs.select("key2", F.when(F.col("t2").isNull(), p1).otherwise(part("c2", self.d2, F.col("t2")) + F.col("g2") * p1).cast("float").alias("p2"))
+        q = q.join(pairs, "key2").select("key", "c", "p2", F.shiftright("key", BITS).alias("ctx3")).join(self.after3, "ctx3", "left")
+        p2 = F.col("p2").cast("double")
         p3 = F.when(F.col("t3").isNull(), p2).otherwise(part("c", self.d3, F.col("t3")) + F.col("g3") * p2)
-        return q.select("key", F.ln(p3).alias("logp"))
+        return q.select("key", F.ln(p3).cast("float").alias("logp"))
 
 
 def postings(docs: DataFrame, shards: int) -> DataFrame:
@@ -200,10 +223,8 @@ def postings(docs: DataFrame, shards: int) -> DataFrame:
             ks, ds = k[own], d[own]
             first = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
             some, at = np.unique(ds, return_inverse=True)
-            values = [ks[first], np.diff(np.append(first, len(ks))).astype(np.int32), names[some], at.astype(np.uint16 if len(some) < 65536 else np.uint32), np.minimum(times[own], 2**31 - 1).astype(np.int32)]
-            if values[4].max() < 256:
-                values[4] = values[4].astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in values]], names=["shard", "keys", "sizes", "docs", "at", "times"])
+            blobs = [_packed(ks[first]), _packed(np.diff(np.append(first, len(ks))).astype(np.int32)), names[some].tobytes(), _packed(at.astype(np.uint32)), _packed(times[own].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), *[pa.array([v], pa.binary()) for v in blobs]], names=["shard", "keys", "sizes", "docs", "at", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -226,18 +247,14 @@ def postings(docs: DataFrame, shards: int) -> DataFrame:
 
 def _decoded(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = [table.column(c)[i].as_buffer() for c in ("keys", "sizes", "docs", "at", "times")]
-    k, sizes, names = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.int32), np.frombuffer(raw[2], np.int64)
-    n = int(sizes.sum())
-    at = np.frombuffer(raw[3], np.uint16 if len(raw[3]) == 2 * n else np.uint32)
-    times = np.frombuffer(raw[4], np.uint8 if len(raw[4]) == n else np.int32)
-    return k, sizes, names, at, times
+    return _unpacked(raw[0], np.int64), _unpacked(raw[1], np.int32), np.frombuffer(raw[2], np.int64), _unpacked(raw[3], np.uint32), _unpacked(raw[4], np.int32)
 
 
 def _shard_sums(blocks: pa.Table, model: pa.Table) -> pa.Table:
     """Each document's share of log-probability and words from the keys of one shard."""
     k = model.column("key").to_numpy()
     order = np.argsort(k)
-    k, logp = k[order], model.column("logp").to_numpy()[order]
+    k, logp = k[order], model.column("logp").to_numpy()[order].astype(np.float64)
     out = []
     for i in range(blocks.num_rows):
         own, sizes, names, at, times = _decoded(blocks, i)
@@ -249,28 +266,45 @@ def _shard_sums(blocks: pa.Table, model: pa.Table) -> pa.Table:
     return pa.table({"row_key": names, "logp": logp, "n": n})
 
 
-def log_likelihoods(docs: DataFrame, model: KneserNey, n_docs: int) -> DataFrame:
+def log_likelihoods(docs: DataFrame, model: KneserNey, n_docs: int, scratch: list[str] | None = None) -> DataFrame:
     """``row_key, n, logp`` of each distinct ``row_key`` with words."""
     shards = max(8, -(-n_docs // DOCS_A_SHARD))
-    held = stored(postings(docs, shards))
+    held = stored(postings(docs, shards), scratch)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in batches:
-                for x in batch.column(0):
-                    k = np.frombuffer(x.as_buffer(), np.int64)
-                    yield k, np.ones(len(k), np.int64)
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each task's distinct keys by shard, merged as far as memory allows, in compressed runs."""
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        size = 0
 
-        yield from _summed(parts())
+        def out() -> Iterator[pa.RecordBatch]:
+            for s, parts in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(np.unique(np.concatenate(parts)))], pa.binary())], names=["shard", "keys"])
+
+        for batch in batches:
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found[s].append(_unpacked(x.as_buffer(), np.int64))
+                size += len(found[s][-1])
+                if size > MERGED:
+                    for k, parts in found.items():
+                        found[k] = [np.unique(np.concatenate(parts))]
+                    size = sum(len(parts[0]) for parts in found.values())
+                    if size > MERGED // 2:
+                        yield from out()
+                        found.clear()
+                        size = 0
+        yield from out()
+
+    def distinct(table: pa.Table) -> pa.Table:
+        return pa.table({"key": np.unique(np.concatenate([_unpacked(x.as_buffer(), np.int64) for x in table.column("keys")]))})
 
-    wanted = held.select("keys").mapInArrow(distinct, "key long, n long").select("key").distinct()
+    wanted = held.select("shard", "keys").mapInArrow(gathered, "shard int, keys binary").groupBy("shard").applyInArrow(distinct, "key long")
     # the shard of a key must be the one that postings() gave it, so it is worked out by the same code
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = (K.mix(b.column(0).to_numpy().astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(s), b.column(0), b.column(1)], names=["shard", "key", "logp"])
 
-    scored = model.log_probabilities(wanted).mapInArrow(placed, "shard int, key long, logp double")
+    scored = model.log_probabilities(wanted).mapInArrow(placed, "shard int, key long, logp float")
     sums = held.groupBy("shard").cogroup(scored.groupBy("shard")).applyInArrow(_shard_sums, "row_key long, logp double, n long")
     # rows that repeat share a row_key: their blocks add up to a multiple of one row in both sums
     return sums.groupBy("row_key").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"))
@@ -285,22 +319,24 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``row_key, doc_id, lang, n_words, log_perplexity, threshold, keep``, one row per row of ``docs``."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "lang", "text"))
-    good = stored(trusted_ids(labels))
+    scratch: list[str] = []
+    good = stored(trusted_ids(labels), scratch)
     n_good = good.count()
     near = F.broadcast(good) if n_good <= BROADCAST_IDS else good
     seen = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) > 0
-    model = KneserNey(trigram_counts(keyed.join(near, "doc_id", "left_semi").filter(seen)))
-    totals = log_likelihoods(keyed, model, keyed.count())
+    model = KneserNey(trigram_counts(keyed.join(near, "doc_id", "left_semi").filter(seen)), scratch)
+    totals = log_likelihoods(keyed, model, keyed.count(), scratch)
     flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left")
     log_ppl = F.round(-F.col("logp") / F.col("n"), 6)
     rows = stored(flagged.join(totals, "row_key", "left").select("row_key", "doc_id", "lang", (F.coalesce("trusted", F.lit(False)) & ~seen).alias("held_out"), F.col("n"), log_ppl.alias("log_perplexity")))
+    dropped(docs.sparkSession, scratch)  # the scores are all that is read from here on
     limit = lambda c: (c[1] + SLACK * (c[1] - c[0])).alias("threshold")
     quantiles = F.percentile_approx("log_perplexity", [0.5, QUANTILE], 10_000)
     known = rows.filter("held_out and log_perplexity is not null")
     by_lang = known.groupBy(F.col("lang").alias("_lang")).agg(limit(quantiles))
     overall = known.agg(limit(quantiles)).first()[0]
     out = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
-    return out.select("row_key", "doc_id", "lang", F.col("n").alias("n_words"), "log_perplexity", F.round("threshold", 6).alias("threshold"), F.coalesce(F.col("log_perplexity") <= F.round("threshold", 6), F.lit(True)).alias("keep"))
+    return out.select("row_key", "doc_id", "lang", F.col("n").alias("n_words"), "log_perplexity", F.round("threshold", 6).alias("threshold"), F.coalesce(F.col("log_perplexity") <= F.round("threshold", 6) + SPREAD / F.sqrt("n"), F.lit(True)).alias("keep"))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
