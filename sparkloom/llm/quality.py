@@ -266,10 +266,10 @@ def _shard_sums(blocks: pa.Table, model: pa.Table) -> pa.Table:
     return pa.table({"row_key": names, "logp": logp, "n": n})
 
 
-def log_likelihoods(docs: DataFrame, model: KneserNey, n_docs: int, scratch: list[str] | None = None) -> DataFrame:
+def log_likelihoods(docs: DataFrame, model: KneserNey, n_docs: int) -> DataFrame:
     """``row_key, n, logp`` of each distinct ``row_key`` with words."""
     shards = max(8, -(-n_docs // DOCS_A_SHARD))
-    held = stored(postings(docs, shards), scratch)
+    held = postings(docs, shards)  # made twice, once for its keys: that takes less than keeping it
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each task's distinct keys by shard, merged as far as memory allows, in compressed runs."""
@@ -325,7 +325,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     near = F.broadcast(good) if n_good <= BROADCAST_IDS else good
     seen = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) > 0
     model = KneserNey(trigram_counts(keyed.join(near, "doc_id", "left_semi").filter(seen)), scratch)
-    totals = log_likelihoods(keyed, model, keyed.count(), scratch)
+    totals = log_likelihoods(keyed, model, keyed.count())
     flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left")
     log_ppl = F.round(-F.col("logp") / F.col("n"), 6)
     rows = stored(flagged.join(totals, "row_key", "left").select("row_key", "doc_id", "lang", (F.coalesce("trusted", F.lit(False)) & ~seen).alias("held_out"), F.col("n"), log_ppl.alias("log_perplexity")))
