@@ -1,9 +1,9 @@
 """Quality by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Words are read as surface classes: words of up to three letters stand for themselves, longer ones for their shape (length,
-capitals, digits, marks), and a word that repeats the one before it is a class of its own, though not as a context. Classes keep the number of n-gram types far below the number of words, in any language, and
-are what separates prose from lists, shouting, noise and repetition. A class is hashed with the document's language, so
-contexts never mix languages; three classes of 21 bits make one 64-bit key.
+Words are what white space parts, with their capitals and marks. Each is hashed with the document's language to BITS
+bits, so contexts never mix languages; words that share a code count as one. A word that repeats the one before it has
+a second code of its own, though not as a context. Three codes make one 64-bit key. The number of n-gram types grows
+almost with that of the words, and so does the disk that counts and postings take.
 
 The model is counted over all trusted documents and kept as tables, never on one machine. Scoring is a sharded count
 join: documents are turned into postings (key, document, count) in compact blocks dealt by the key's shard; the
@@ -44,41 +44,20 @@ QUANTILE, SLACK = 0.9, 6.0
 SPREAD = 2.0
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
 HELD = 5
-
-#: Letters up to which a word stands for itself.
-SHORT = 3
-_INNER = np.zeros(256, bool)
-_INNER[128:192] = True
 _AGAIN = np.uint64(K.text_hash("<again>"))
-_PUNCT = np.ones(256, bool)
-_PUNCT[128:] = False
-for _a, _b in ((48, 58), (65, 91), (97, 123)):
-    _PUNCT[_a:_b] = False
 
 
-def classes(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, K.Words]:
-    """The class number, from 1, of each word, hashed with its text's language: as a context, and as what follows one (a repeated word differs)."""
+def coded(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, K.Words]:
+    """The code of each word, from 1, with its text's language: as a context, and as what follows one (a repeated word differs)."""
     w = K.words(texts)
     n = len(w.start)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), w
-    size = w.end - w.start
-    count = lambda table: (lambda c: c[w.end] - c[w.start])(np.concatenate([[0], np.cumsum(table[w.data], dtype=np.int64)]))
-    capitals, digits, marks = count(K._UPPER), count(K._DIGIT), count(_PUNCT)
-    last = w.data[w.end - 1]
-    shape = np.minimum(size // 4, 5)
-    shape = shape * 2 + K.capital(w.data, w.start)
-    shape = shape * 2 + ((capitals > 1) & (capitals >= size - marks - digits - 1))
-    shape = shape * 2 + (digits > 0)
-    shape = shape * 4 + np.minimum(marks, 3)
-    shape = (shape * 256 + np.where(_PUNCT[last], last, 0)).astype(np.uint64)
-    word = w.hashes()
-    letters = size - count(_INNER)
-    own = np.where(letters <= SHORT, word, K.mix(shape + np.uint64(1 << 40)))
+    own = w.hashes()
     again = np.zeros(n, bool)
-    again[1:] = word[1:] == word[:-1]
+    again[1:] = own[1:] == own[:-1]
     again[w.doc[:-1][w.doc[:-1] < n]] = False
-    met = np.where(again, _AGAIN, own)
+    met = np.where(again, K.mix(own ^ _AGAIN), own)
     code = {x: np.uint64(K.text_hash("lang=" + x) if x is not None else 0) for x in set(langs)}
     by_text = np.array([code[x] for x in langs], np.uint64)
     by_word = by_text[K.text_of_word(w)]
@@ -88,7 +67,7 @@ def classes(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.nd
 
 def keys(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The trigram key that each word ends (0 stands before the first word), the number of its text, and the words of each text."""
-    c, met, w = classes(texts, langs)
+    c, met, w = coded(texts, langs)
     first = w.doc[:-1][np.diff(w.doc) > 0]
     p1, p2 = np.zeros_like(c), np.zeros_like(c)
     p1[1:] = c[:-1]

@@ -257,6 +257,19 @@ def test_perplexities_add_up_and_junk_goes(spark):
     assert quality.classified(df, labels.limit(0)).filter("keep").count() == len(texts)
 
 
+def test_words_of_one_shape_are_told_apart(spark):
+    """The model knows words, not shapes: long words it never met are worse than those it did, in contexts it met."""
+    r = random.Random(6)
+    known, other = ([f"{sentence(r, 1)}{x}{i:02d}".translate(str.maketrans("0123456789", "klmnopqrst")) for i in range(30)] for x in ("tion", "erbl"))
+    texts = [" ".join(r.choice(known) for _ in range(50)) for _ in range(60)] + [" ".join(r.choice(other) for _ in range(50)) for _ in range(5)]
+    (_, _, part), = kernel.chunks(pa.array(["trash idiot stupid scum clown tion erble"]))
+    k = quality.keys(part, ["en"])[0]
+    assert len(set((k & quality.MASK).tolist())) == 7
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(60, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = {x["doc_id"]: x for x in quality.classified(docs_of(spark, texts), labels).collect()}
+    assert min(rows[i]["log_perplexity"] for i in range(60, 65)) > max(rows[i]["log_perplexity"] for i in range(60)) + 1
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
