@@ -10,8 +10,10 @@ join: documents are turned into postings (key, document, count) in compact block
 probability of every distinct key of the corpus comes from joins of the model's tables; each shard then adds up its part
 of every document's log-probability. A document is kept if its perplexity is at most its language's threshold, a
 quantile of the perplexities of trusted documents that the model has not seen: it is counted over those whose hashed id
-falls in the first HELD - 1 of HELD parts, and the rest sets the thresholds. A language without such text uses the
-quantile over all.
+falls in the first HELD - 1 of HELD parts, and the rest sets the thresholds. Which quantile is fitted in each language on
+documents of the same part that a label calls bad: the share of trusted documents kept plus the share of bad ones
+rejected is the largest, and of equals the highest quantile is taken (so without bad ones, the highest). A language
+without held-out trusted text uses the threshold fitted over all.
 
 Null texts count as empty. A document without words has no perplexity and is kept. Null languages are a language of
 their own. Rows that repeat get the same score each. Without any trusted document everything is kept. Extra columns are
@@ -38,10 +40,8 @@ MASK, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 MERGED, BLOCK, DOCS_A_SHARD = 2_000_000, 400_000, 20_000
 #: Trusted ids that are broadcast at most; beyond, the join is by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Threshold: this quantile of the trusted documents' log perplexities, plus so many times its distance from the median.
-QUANTILE, SLACK = 0.9, 6.0
-#: What a text of n words may exceed the threshold by is this over the root of n: the mean of few words is no firm figure.
-SPREAD = 2.0
+#: Threshold: the one of these quantiles of the held-out trusted documents that parts them best from the held-out bad ones.
+QUANTILES = [0.9, 0.95, 0.98, 0.99, 0.995]
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
 HELD = 5
 _AGAIN = np.uint64(K.text_hash("<again>"))
@@ -294,28 +294,38 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0").select("doc_id")
 
 
+def poor_ids(labels: DataFrame) -> DataFrame:
+    """Ids of documents that a label calls bad."""
+    return labels.filter("doc_id is not null and quality = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
+def thresholds(rows: DataFrame, group: Column) -> DataFrame:
+    """``_lang, threshold`` for each value of ``group`` with trusted rows of ``rows`` (``trusted, poor, log_perplexity``)."""
+    known = rows.filter("log_perplexity is not null").select(group.alias("_lang"), "trusted", "poor", "log_perplexity")
+    cuts = known.filter("trusted").groupBy("_lang").agg(F.percentile_approx("log_perplexity", QUANTILES, 10_000).alias("cuts"))
+    poor = known.filter("poor").withColumnRenamed("_lang", "_of")
+    over = [F.coalesce(F.avg((F.col("log_perplexity") > F.col("cuts")[i]).cast("double")), F.lit(0.0)) for i in range(len(QUANTILES))]
+    judged = cuts.join(poor, F.col("_lang").eqNullSafe(F.col("_of")), "left").groupBy("_lang", "cuts").agg(F.array(*[F.struct((F.round(x + q, 9)).alias("both"), F.lit(i).alias("i")) for i, (q, x) in enumerate(zip(QUANTILES, over, strict=True))]).alias("tried"))
+    return judged.select("_lang", F.col("cuts")[F.array_max("tried")["i"]].alias("threshold"))
+
+
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``row_key, doc_id, lang, n_words, log_perplexity, threshold, keep``, one row per row of ``docs``."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "lang", "text"))
     scratch: list[str] = []
-    good = stored(trusted_ids(labels), scratch)
-    n_good = good.count()
-    near = F.broadcast(good) if n_good <= BROADCAST_IDS else good
+    near, poor = (F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (stored(f(labels), scratch) for f in (trusted_ids, poor_ids)))
     seen = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) > 0
     model = KneserNey(trigram_counts(keyed.join(near, "doc_id", "left_semi").filter(seen)), scratch)
     totals = log_likelihoods(keyed, model, keyed.count())
-    flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left").join(poor.withColumn("poor", F.lit(True)), "doc_id", "left")
     log_ppl = F.round(-F.col("logp") / F.col("n"), 6)
-    rows = stored(flagged.join(totals, "row_key", "left").select("row_key", "doc_id", "lang", (F.coalesce("trusted", F.lit(False)) & ~seen).alias("held_out"), F.col("n"), log_ppl.alias("log_perplexity")))
+    held = [(F.coalesce(c, F.lit(False)) & ~seen).alias(c) for c in ("trusted", "poor")]
+    rows = stored(flagged.join(totals, "row_key", "left").select("row_key", "doc_id", "lang", *held, F.col("n"), log_ppl.alias("log_perplexity")))
     dropped(docs.sparkSession, scratch)  # the scores are all that is read from here on
-    limit = lambda c: (c[1] + SLACK * (c[1] - c[0])).alias("threshold")
-    quantiles = F.percentile_approx("log_perplexity", [0.5, QUANTILE], 10_000)
-    known = rows.filter("held_out and log_perplexity is not null")
-    by_lang = known.groupBy(F.col("lang").alias("_lang")).agg(limit(quantiles))
-    overall = known.agg(limit(quantiles)).first()[0]
-    out = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
-    return out.select("row_key", "doc_id", "lang", F.col("n").alias("n_words"), "log_perplexity", F.round("threshold", 6).alias("threshold"), F.coalesce(F.col("log_perplexity") <= F.round("threshold", 6) + SPREAD / F.sqrt("n"), F.lit(True)).alias("keep"))
+    overall = thresholds(rows, F.lit("")).first()
+    out = rows.join(thresholds(rows, F.col("lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall and overall["threshold"]).cast("double")))
+    return out.select("row_key", "doc_id", "lang", F.col("n").alias("n_words"), "log_perplexity", F.round("threshold", 6).alias("threshold"), F.coalesce(F.col("log_perplexity") <= F.round("threshold", 6), F.lit(True)).alias("keep"))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

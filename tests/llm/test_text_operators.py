@@ -270,6 +270,14 @@ def test_words_of_one_shape_are_told_apart(spark):
     assert min(rows[i]["log_perplexity"] for i in range(60, 65)) > max(rows[i]["log_perplexity"] for i in range(60)) + 1
 
 
+def test_thresholds_are_quantiles_that_labels_choose(spark):
+    """Thresholds are plain quantiles of each language's held-out trusted scores, without slack, whatever their spread."""
+    rows = [("en", True, False, i / 100) for i in range(1, 101)] + [("de", True, False, float(i)) for i in range(1, 101)] + [("fr", True, False, float(i)) for i in range(1, 101)]
+    rows += [("en", False, True, 0.96)] * 20 + [("de", False, True, 97.0)] * 20 + [("es", False, True, 1.0), ("de", False, False, 1e6)]
+    got = {x["_lang"]: x["threshold"] for x in quality.thresholds(spark.createDataFrame(rows, "lang string, trusted boolean, poor boolean, log_perplexity double"), quality.F.col("lang")).collect()}
+    assert got == {"en": 0.95, "de": 95.0, "fr": 100.0}
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
