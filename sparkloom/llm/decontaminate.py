@@ -2,11 +2,14 @@
 
 Texts of both sides become sequences of canonical words: numbers, names (capitalised words inside a sentence) and
 units (unit words after a number) turn into typed placeholders, other words are lower-cased without marks at their
-ends. Windows of :data:`WIDTH` canonical words, three of them plain at least, are joined by hash. The values behind
+ends. Windows of :data:`WIDTH` canonical words, three of them plain at least, are joined by hash; windows of fewer plain
+words only with windows of the very same words, as numbers and names alone are no template. The values behind
 the placeholders are the slots: along one occurrence of an item in a document (one diagonal of positions) a slot value
 of the item must always meet the same value in the document; if it doesn't, windows with slots don't count there. So
 a re-parameterised question is caught, and a chance mixture of like-shaped phrases is not. A document is contaminated by
-an item of whose windows it holds :data:`COVERAGE` or more.
+an item of whose template windows it holds :data:`COVERAGE` or more, or of which it holds a run of :data:`RUN` words (the
+whole item if that is shorter). A run is what windows that overlap or touch on one diagonal cover together; where the
+diagonal's slots differ, windows that have the item's own values still belong to it.
 
 A bitmap of fixed size with the hashes of the benchmark's windows keeps almost all other windows of the documents from
 leaving the task that reads them; whatever passes it is joined exactly, so its size limits cost, never results.
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
 
-WIDTH, PLAIN, COVERAGE = 5, 3, 0.5
+WIDTH, PLAIN, COVERAGE, RUN = 5, 3, 0.5, 13
 #: Bits of the hash that the bitmap holds: 2**22 bits are 512 KiB, whatever the size of the benchmark.
 BITS = 22
 #: Unit words.
 UNITS = "kg g mg km m cm mm mile miles hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres meter meters metre metres foot feet inch inches pound pounds mph kmh".split()
 _UNIT = np.sort(np.array([K.text_hash(u) for u in UNITS], np.uint64))
-_NUMBER_AT, _NAME_AT, _UNIT_AT = (np.uint64(K.text_hash(x)) for x in ("<number>", "<name>", "<unit>"))
+_NUMBER_AT, _NAME_AT, _UNIT_AT, _EXACT = (np.uint64(K.text_hash(x)) for x in ("<number>", "<name>", "<unit>", "<exact>"))
 
 
 def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Words]:
@@ -62,28 +65,32 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Wo
     return can, own, number | name | unit, w
 
 
-def template_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its text, its position there, its hash; then the words' own hashes and slot marks with the window's first word."""
+def template_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: its text, its position there, its hash; its first word, the words' own hashes and slot marks, and whether the window is exact (too few plain words for a template)."""
     can, own, slot, w = canonical(texts)
     h = K.windows(can, WIDTH)
     first = np.arange(len(h))
     text = K.text_of_word(w)
     plain = np.concatenate([[0], np.cumsum(~slot)])
-    ok = (text[: len(h)] == text[WIDTH - 1 :]) & (plain[WIDTH:] - plain[: len(h)] >= PLAIN) if len(h) else np.zeros(0, bool)
+    exact = plain[WIDTH:] - plain[: len(h)] < PLAIN if len(h) else np.zeros(0, bool)
+    at = np.flatnonzero(exact)
+    if len(at):
+        h[at] = K.mix(K.windows(own, WIDTH)[at] ^ _EXACT)
+    ok = text[: len(h)] == text[WIDTH - 1 :] if len(h) else np.zeros(0, bool)
     first = first[ok]
-    return text[first], first - w.doc[text[first]], h[ok], first, np.stack([own, slot.astype(np.uint64)]) if len(own) else np.zeros((2, 0), np.uint64)
+    return text[first], first - w.doc[text[first]], h[ok], first, np.stack([own, slot.astype(np.uint64)]) if len(own) else np.zeros((2, 0), np.uint64), exact[ok]
 
 
 def _emit(ids: list[pa.Array], a: int, keep: np.ndarray, found: tuple) -> pa.RecordBatch:
-    text, pos, h, first, words = found
-    values = [[int(np.int64(words[0, j].astype(np.int64))) for j in range(f, f + WIDTH) if words[1, j]] for f in first[keep]]
+    text, pos, h, first, words, exact = found
+    values = [[] if e else [int(np.int64(words[0, j].astype(np.int64))) for j in range(f, f + WIDTH) if words[1, j]] for f, e in zip(first[keep], exact[keep], strict=True)]
     rows = pa.array(a + text[keep])
     cols = [x.take(rows) for x in ids]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(pos[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(values, pa.list_(pa.int64()))], names=[*[f"k{i}" for i in range(len(ids))], "pos", "h", "slots"])
+    return pa.RecordBatch.from_arrays([*cols, pa.array(pos[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(values, pa.list_(pa.int64())), pa.array(exact[keep])], names=[*[f"k{i}" for i in range(len(ids))], "pos", "h", "slots", "exact"])
 
 
 def windows_of(rows: DataFrame, ids: list[str], text: str, bitmap=None) -> DataFrame:
-    """``ids..., pos, h, slots`` of each window of the texts that ``bitmap`` (a broadcast of packed bits) lets through."""
+    """``ids..., pos, h, slots, exact`` of each window of the texts that ``bitmap`` (a broadcast of packed bits) lets through."""
     source = rows.select(*[F.col(i) for i in ids], F.col(text).cast("string").alias("_t"))
     n = len(ids)
 
@@ -99,12 +106,14 @@ def windows_of(rows: DataFrame, ids: list[str], text: str, bitmap=None) -> DataF
                     yield _emit(own, a, keep, found)
 
     fields = ", ".join(f"k{i} {source.schema[i].dataType.simpleString()}" for i in range(n))
-    out = source.mapInArrow(run, f"{fields}, pos int, h long, slots array<long>")
+    out = source.mapInArrow(run, f"{fields}, pos int, h long, slots array<long>, exact boolean")
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(ids)})
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, row_key, item_id, windows, coverage`` of each document and item whose coverage reaches COVERAGE.
+    """``doc_id, row_key, item_id, windows, coverage`` of each document and item whose coverage reaches COVERAGE or whose run is long enough.
+
+    Windows and coverage are of the template windows, or of the exact ones for an item that has no others.
 
     ``row_key`` is the hash of the document's id and text, so that rows that share an id but not a text are told apart.
     """
@@ -115,22 +124,38 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     packed[seen] = True
     bitmap = spark.sparkContext.broadcast(np.packbits(packed, bitorder="little"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    found = windows_of(rows, ["doc_id", "row_key"], "text", bitmap).withColumnsRenamed({"pos": "dpos", "slots": "dslots"})
-    sized = items.groupBy("item_id", "item_key").agg(F.count(F.lit(1)).alias("n_windows"))
+    found = windows_of(rows, ["doc_id", "row_key"], "text", bitmap).drop("exact").withColumnsRenamed({"pos": "dpos", "slots": "dslots"})
+    sized = items.groupBy("item_id", "item_key").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("exact")).alias("n_template"), (F.max("pos") + WIDTH).alias("n_words"))
     pairs = found.join(items, "h").filter(F.size("slots") == F.size("dslots"))
     both = F.arrays_zip("slots", "dslots")
     group = ["doc_id", "row_key", "item_id", "item_key"]
     # one diagonal holds each window of the item once at most
     runs = pairs.groupBy(*group, (F.col("dpos") - F.col("pos")).alias("diagonal")).agg(
-        F.collect_set(F.when(F.size("slots") == 0, F.col("pos"))).alias("free"),
+        F.collect_set(F.when(~F.col("exact") & (F.size("slots") == 0), F.col("pos"))).alias("free"),
+        F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"),
+        F.collect_set(F.when(F.col("slots") == F.col("dslots"), F.col("pos"))).alias("same"),
         F.collect_set(F.when(F.size("slots") > 0, F.col("pos"))).alias("slotted"),
         F.array_distinct(F.flatten(F.collect_set(both))).alias("met"),
     )
     steady = F.size(F.array_distinct("met.slots")) == F.size("met")
+    held = F.when(steady, F.array_union("free", "slotted")).otherwise(F.col("free"))
+    start = F.struct(*[F.lit(x).alias(c) for c, x in (("begin", -WIDTH - 1), ("last", -WIDTH - 1), ("best", 0))])
+
+    def longer(run, pos):
+        begin = F.when(pos - run["last"] <= WIDTH, run["begin"]).otherwise(pos)
+        return F.struct(begin.alias("begin"), pos.alias("last"), F.greatest(run["best"], pos + WIDTH - begin).alias("best"))
+
+    run = F.aggregate(F.array_sort(F.array_union(held, F.col("same"))), start, longer)["best"]
+    marked = lambda c, exact: F.transform(c, lambda p: F.struct(p.alias("pos"), F.lit(exact).alias("exact")))
+    each = runs.select(*group, run.alias("run"), F.explode_outer(F.concat(marked(held, False), marked(F.col("exact"), True))).alias("w"))
     # nulls group with nulls, so documents without id keep their windows together
-    covered = runs.withColumn("pos", F.explode(F.when(steady, F.array_union("free", "slotted")).otherwise(F.col("free")))).groupBy(*group).agg(F.count_distinct("pos").alias("windows"))
-    held = covered.join(sized.withColumnRenamed("item_id", "i").withColumnRenamed("item_key", "k"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")))
-    return held.filter(F.col("windows") >= COVERAGE * F.col("n_windows")).select("doc_id", "row_key", "item_id", F.col("windows").cast("long").alias("windows"), F.round(F.col("windows") / F.col("n_windows"), 6).alias("coverage"))
+    covered = each.groupBy(*group).agg(F.max("run").alias("run"), F.count_distinct(F.when(~F.col("w.exact"), F.col("w.pos"))).alias("template"), F.count_distinct(F.when(F.col("w.exact"), F.col("w.pos"))).alias("exact"))
+    both = covered.join(sized.withColumnRenamed("item_id", "i").withColumnRenamed("item_key", "k"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")))
+    some = F.col("n_template") > 0
+    of = F.when(some, F.col("n_template")).otherwise(F.col("n_all"))
+    found = both.withColumn("windows", F.when(some, F.col("template")).otherwise(F.col("exact")))
+    hit = some & (F.col("windows") >= COVERAGE * of) | (F.col("run") >= F.least(F.lit(RUN), F.col("n_words")))
+    return found.filter(hit).select("doc_id", "row_key", "item_id", F.col("windows").cast("long").alias("windows"), F.round(F.col("windows") / of, 6).alias("coverage"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -421,3 +421,15 @@ def test_contamination_against_exact_passages(spark):
     want = {(x["doc_id"], i) for x in docs.collect() for i, t in items if t in x["text"]}
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, bench).collect()}
     assert got == want
+
+
+def test_contamination_by_runs_and_by_exact_words(spark):
+    r = random.Random(2)
+    long, sums, people = sentence(r, 300), "Add 3 4 5 6 7 8", "Ann Bob Cid Dan Eve Fay Gus Hal"
+    numbers = " ".join(str(100 + 7 * i) for i in range(40))
+    bench = spark.createDataFrame([(1, long), (2, sums), (3, people), (4, numbers)], "item_id long, text string")
+    part = lambda t, a, n: " ".join(t.split()[a : a + n])
+    pad = lambda t: f"{sentence(r, 20)}. {t} {sentence(r, 20)}"
+    texts = [pad(part(long, 80, 140)), pad(part(long, 287, 13)), pad(part(long, 40, 12)), pad(sums), pad("Add 3 4 5 6 7 9"), pad(people), pad(part(numbers, 5, 13)), pad(part(numbers, 5, 12)), pad("Add 1 2 3 4 5 6")]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1), (1, 1), (3, 2), (5, 3), (6, 4)}
