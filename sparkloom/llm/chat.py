@@ -2,14 +2,15 @@
 
 A template is any object with ``render(messages) -> str``; nothing is assumed about its inside. Successive prefixes of
 a conversation are rendered and consecutive outputs compared: what a turn adds is its span, and an output that does not
-begin with the one before it shows that the template rewrites history. A long conversation is walked with a window: its
-first turn and the latest ``window`` turns are rendered, so that memory and the cost of a turn do not grow with the
-conversation. Up to ``window`` turns the prefixes are whole; beyond, a rewrite of turns that have left the window is not seen.
+begin with the one before it shows that the template rewrites history. Prefixes are whole, so the cost of a turn grows
+with those before it, and a task holds the messages of one conversation and two renderings. Only a template that says
+that it is ``local`` (what a turn renders to depends on that turn alone, as in :class:`TurnMarkup`) is walked with a
+window of the first turn and the latest ``window`` turns, which then gives the same output at a bounded cost.
 
 Turns are ordered by ``turn`` (nulls first), then role, then text, so ties and repeated rows have a fixed order. Null
 roles and texts count as empty. Rows whose ``conv_id`` is null form one conversation. An empty table gives no rows.
 Extra columns are ignored. One conversation streams through one task in order (its digest is sequential by nature),
-a batch at a time: it is never gathered.
+a batch at a time; unless the template is local, the turns so far are kept, as their renderings need them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ Message = tuple[str, str]
 
 
 class Template(Protocol):
+    """May have ``local = True`` beside ``render``, which says that ``render(a + b) == render(a) + render(b)`` for any messages."""
+
     def render(self, messages: list[Message]) -> str: ...
 
 
@@ -37,6 +40,7 @@ class TurnMarkup:
     original comes back by taking one away. A role has ``%``, ``<`` and line feeds percent-coded.
     """
 
+    local = True
     OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
     _plain, _coded = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
     _turn = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -56,12 +60,16 @@ class TurnMarkup:
 
 
 def spans(template: Template, turns: Iterator[Message], window: int = 32) -> Iterator[tuple[str, int, int, bool]]:
-    """For each turn: what it adds to the output, where that begins and ends, and whether earlier output changed."""
+    """For each turn: what it adds to the output, where that begins and ends, and whether earlier output changed.
+
+    ``window`` is used for templates that are ``local``.
+    """
+    local = _local(template)
     head: list[Message] = []
     recent: list[Message] = []
     before, shift = "", 0
     for m in turns:
-        if len(recent) >= 2 * window:
+        if local and len(recent) >= 2 * window:
             if not head:
                 head = recent[:1]
             recent = recent[-window:]
@@ -78,6 +86,11 @@ def spans(template: Template, turns: Iterator[Message], window: int = 32) -> Ite
         before = now
 
 
+def _local(template: Template) -> bool:
+    """Whether the class that defines ``render`` says so; it does not pass to classes with a ``render`` of their own."""
+    return vars(next(c for c in type(template).__mro__ if "render" in vars(c))).get("local", False)
+
+
 def _common(a: str, b: str) -> int:
     """Length of the longest common prefix."""
     low, high = 0, min(len(a), len(b))

@@ -182,6 +182,21 @@ def test_templates_that_rewrite_history_are_seen():
     assert "".join(x[0] for x in plain) == chat.TurnMarkup().render([("u", str(i)) for i in range(500)])
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    class Numbered(chat.TurnMarkup):
+        """Numbers the turns, and at the 90th goes over all those before it."""
+
+        def render(self, messages):
+            said = [(r, f"{i} {t}") for i, (r, t) in enumerate(messages)]
+            return super().render([(r, t.upper()) for r, t in said] if len(messages) >= 90 else said)
+
+    turns = [("user" if i % 2 else "assistant", f"turn {i}") for i in range(100)]
+    rows = chat.format_turns(spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string"), Numbered()).orderBy("seq").collect()
+    for i, x in enumerate(rows):
+        whole = Numbered().render(turns[: i + 1])
+        assert x["end"] == len(whole) and x["rendered"] == whole[x["start"] :] and x["rewritten"] == (i == 89)
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------
 
 
