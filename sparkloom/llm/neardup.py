@@ -87,7 +87,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
         return 0.0
     order = np.argsort(at)
     at, to = at[order], to[order]
-    band = int((n + m) * (1 - least) / (1 + least))
+    band = int((n + m) * (1 - least) / (1 + least) + 1e-9)  # a float just below a whole number is that number
     to = to[np.abs(to - at) <= band]
     if (to[1:] > to[:-1]).all():
         most = len(to)

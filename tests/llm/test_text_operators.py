@@ -126,6 +126,12 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.classes(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_similarity_of_exactly_the_least():
+    for k in range(1, 400):
+        a = np.random.default_rng(k).permutation(5 * k).astype(np.uint64)
+        assert neardup.similarity(a, a[k:]) == neardup.similarity(a[k:], a) == neardup.similarity(a, a[:-k]) == 0.8
+
+
 def test_links_hidden_behind_a_common_bucket(spark):
     """Copies of a base that resemble the base, but not each other; and blocks find what the first comparison leaves."""
     r = random.Random(3)
