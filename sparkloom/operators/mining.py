@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
 from sparkloom.operators.transform import oriented
+from sparkloom.session import stored
 
 
 def triangle_list(g: Graph) -> DataFrame:
@@ -17,7 +18,7 @@ def triangle_list(g: Graph) -> DataFrame:
     Orientation bounds the out-degree by the root of twice the edges, so wedges stay few even at hubs, and no adjacency
     list is gathered: three equi-joins that Spark can split where a key is hot.
     """
-    o = oriented(g)
+    o = stored(oriented(g))  # read three times
     wedge = o.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(o.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
     return wedge.join(o.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_semi").select("a", "b", "c")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
 from sparkloom.plans.fixpoint import iterate
-from sparkloom.session import cut
+from sparkloom.session import cut, dropped, stored
 
 DAMPING, EPSILON, ROUNDS = 0.85, 1e-4, 100
 
@@ -20,8 +20,11 @@ def pagerank(g: Graph, rounds: int = ROUNDS, epsilon: float | None = EPSILON) ->
     edges = g.edges.select("src", "dst").join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("share")).repartition("src").persist()
     ids = g.vertices.select("id").persist()
 
+    def received(state: DataFrame) -> DataFrame:
+        return edges.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+
     def step(state: DataFrame, _: int) -> DataFrame:
-        got = edges.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        got = received(state)
         old = state.select("id", F.col("rank").alias("old"))
         return old.join(got, "id", "left").select("id", ((1 - DAMPING) / n + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"), "old")
 
@@ -29,6 +32,15 @@ def pagerank(g: Graph, rounds: int = ROUNDS, epsilon: float | None = EPSILON) ->
         return epsilon is not None and (after.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < epsilon
 
     first = F.lit(1.0 / max(1, n))
+    if epsilon is None:  # nothing is tested between rounds, so a few of them make one plan
+        state = ids.select("id", first.alias("rank"))
+        for k in range(1, rounds + 1):
+            state = ids.join(received(state), "id", "left").select("id", ((1 - DAMPING) / n + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"))
+            if k % 5 == 0 or k == rounds:
+                state = stored(state)
+        edges.unpersist()
+        ids.unpersist()
+        return state
     ranks = iterate(ids.select("id", first.alias("rank"), first.alias("old")), step, done, rounds).select("id", "rank")
     edges.unpersist()
     ids.unpersist()
@@ -63,7 +75,9 @@ def core_members(g: Graph, k: int) -> DataFrame:
     size = edges.count()
     while True:
         stay = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-        edges = cut(edges.join(stay.select("src"), "src", "left_semi").join(stay.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        fewer = stored(edges.join(stay.select("src"), "src", "left_semi").join(stay.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        dropped(edges.sparkSession, [edges])
+        edges = fewer
         left = edges.count()
         if left == size:
             return edges.select(F.col("src").alias("id")).distinct()
@@ -78,6 +92,8 @@ def greedy_colouring(g: Graph) -> DataFrame:
     while not state.filter("colour is null").isEmpty():
         have = low.join(state.filter("colour is not null").select(F.col("id").alias("dst"), "colour"), "dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("got"), F.array_sort(F.collect_set("colour")).alias("used"))
         free = F.aggregate("used", F.lit(0).cast("long"), lambda c, x: F.when(x == c, c + 1).otherwise(c))
-        state = cut(state.join(have, "id", "left").select("id", "need", F.coalesce("colour", F.when(F.col("got") == F.col("need"), free)).alias("colour")))
+        after = stored(state.join(have, "id", "left").select("id", "need", F.coalesce("colour", F.when(F.col("got") == F.col("need"), free)).alias("colour")))
+        dropped(state.sparkSession, [state])
+        state = after
     low.unpersist()
     return state.select("id", "colour")

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
-from sparkloom.operators.transform import induced
-from sparkloom.session import cut
+from sparkloom.operators.transform import exclusive_scan, induced
+from sparkloom.session import cut, stored
 
 FANOUT = (15, 10, 10)
 
 
 def fanout(g: Graph, roots: DataFrame, sizes: tuple[int, ...] = FANOUT, seed: int = 1) -> DataFrame:
     """``root, hop, path, id``: per hop, ``k`` neighbours of each frontier vertex with replacement; ``path`` numbers the draws."""
-    adj = g.adjacency().filter(F.size("nbrs") > 0).persist()
+    at = Window.partitionBy("src").orderBy("dst")
+    near = stored(g.edges.select("src", (F.row_number().over(at) - 1).alias("pos"), "dst"))
+    size = near.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).persist()
     front = roots.select(F.col("id").alias("root"), F.lit("").alias("path"), "id")
     out = None
     for hop, k in enumerate(sizes, 1):
-        drawn = front.join(adj, "id").select("root", F.col("path"), "nbrs", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-        at = F.pmod(F.xxhash64(F.lit(seed), "root", "path", "j"), F.size("nbrs")).cast("int")
-        front = cut(drawn.select("root", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("j").cast("string")).alias("path"), F.element_at("nbrs", at + 1).alias("id")))
+        # a draw is a place among the neighbours, found by an equality join; no list of neighbours is copied
+        drawn = front.join(size, "id").select("root", "path", F.col("id").alias("src"), "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
+        drawn = drawn.withColumn("pos", F.pmod(F.xxhash64(F.lit(seed), "root", "path", "j"), F.col("n")).cast("int"))
+        front = stored(drawn.join(near, ["src", "pos"]).select("root", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("j").cast("string")).alias("path"), F.col("dst").alias("id")))
         part = front.select("root", F.lit(hop).alias("hop"), "path", "id")
         out = part if out is None else out.union(part)
-    adj.unpersist()
+    size.unpersist()
     return out
 
 
@@ -42,11 +45,15 @@ def frontier_members(edges: DataFrame, roots: DataFrame, walks: int, m: int, n:
     g = Graph.of_edges(edges.select("src", "dst"), directed=True)
     adj = g.adjacency().filter(F.size("nbrs") > 0).select("id", "nbrs", F.least(F.size("nbrs"), F.lit(clip)).alias("deg")).persist()
     spark = edges.sparkSession
-    ids = roots.join(adj.select("id"), "id", "left_semi")
-    # a bounded pool of roots, from which each walk takes m by its own hash order
-    pool = [r[0] for r in ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(64 * m).collect()]
-    ranked = F.array_sort(F.transform(F.array(*[F.lit(x).cast("long") for x in pool]), lambda x: F.struct(F.xxhash64(F.lit(seed), F.col("walk"), x).alias("h"), x.alias("id"))))
-    start = spark.range(walks).withColumnRenamed("id", "walk").select("walk", F.explode(F.slice(ranked, 1, m)).alias("x")).select("walk", "x.id")
+    ids = stored(exclusive_scan(roots.join(adj.select("id"), "id", "left_semi").select("id", F.lit(1).alias("one")).distinct(), "id", "one"))
+    n_roots = ids.count()
+    m = min(m, n_roots)
+    if not m:
+        return ids.select(F.lit(0).cast("long").alias("walk"), "id").limit(0)
+    # all roots can start a walk: they are numbered, cut into m runs, and a walk takes one of each run
+    begin = F.floor(F.col("j") * n_roots / m)
+    picked = begin + F.pmod(F.xxhash64(F.lit(seed), "walk", "j"), F.floor((F.col("j") + 1) * n_roots / m) - begin)
+    start = spark.range(walks).withColumnRenamed("id", "walk").select("walk", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j")).select("walk", picked.alias("before")).join(ids.select("id", "before"), "before").select("walk", "id")
     state = start.join(adj, "id").groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("id", "deg"))).alias("front")).withColumn("met", F.transform("front", lambda x: x["id"]))
     state = cut(state)
     for k in range(8 * n):

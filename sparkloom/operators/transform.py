@@ -131,7 +131,11 @@ def sampled(rows: DataFrame, key: Column, k: int, seed: int = 1) -> DataFrame:
 
 def weighted_choice(items: DataFrame, draws: DataFrame, seed: int = 1) -> DataFrame:
     """``draw, id``: for each ``draws (draw)``, one of the positive integer-weighted ``items (id, w)``, by the range that a seeded hash falls into."""
-    upto = exclusive_scan(items.filter("w > 0"), "id", "w")
-    total = items.filter("w > 0").agg(F.sum("w")).first()[0]
-    aim = draws.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(total)).alias("aim"))
-    return aim.join(F.broadcast(upto) if upto.count() <= 100_000 else upto, (F.col("aim") >= F.col("before")) & (F.col("aim") < F.col("before") + F.col("w"))).select("draw", "id")
+    have = items.filter("w > 0").select("id", "w")
+    n, total = have.agg(F.count(F.lit(1)), F.sum("w")).first()
+    width = max(1, -(-(total or 1) // max(1, n)))
+    # each item's range is cut at multiples of the mean weight, twice as many pieces as items at most, which then join by equality
+    pieces = exclusive_scan(have, "id", "w").select("id", "before", (F.col("before") + F.col("w")).alias("end"))
+    pieces = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("end") - 1) / width))))
+    aim = draws.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(total or 1)).alias("aim")).withColumn("cell", F.floor(F.col("aim") / width))
+    return aim.join(pieces, "cell").filter((F.col("aim") >= F.col("before")) & (F.col("aim") < F.col("end"))).select("draw", "id")

@@ -6,26 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
-from sparkloom.session import cut
+from sparkloom.session import cut, dropped, stored
 
 #: Distances of vertices that are not reached.
 UNREACHED_HOPS, UNREACHED_LENGTH = 1_000_000_000, 2_147_483_647
 
 
-def reached(g: Graph, source: int, most: int = 10_000) -> DataFrame:
-    """``id, dist`` of the vertices reached from ``source``. Each round joins the frontier with the edges; AQE broadcasts a small frontier."""
+def reached(g: Graph, source: int) -> DataFrame:
+    """``id, dist`` of the vertices reached from ``source``, however far. Each round joins the frontier with the edges; AQE broadcasts a small frontier."""
     spark = g.edges.sparkSession
-    seen = spark.createDataFrame([(source, 0)], "id long, dist long").join(g.vertices.select("id").distinct(), "id", "left_semi")
-    seen = frontier = cut(seen)
+    seen = frontier = stored(spark.createDataFrame([(source, 0)], "id long, dist long").join(g.vertices.select("id").distinct(), "id", "left_semi"))
     edges = g.edges.select("src", "dst").repartition("src").persist()
-    for k in range(1, most + 1):
+    parts = [seen]
+    k = 0
+    while not frontier.isEmpty():
+        k += 1
         found = frontier.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(found.join(seen, "id", "left_anti").select("id", F.lit(k).cast("long").alias("dist")))
-        if frontier.isEmpty():
-            break
+        frontier = stored(found.join(seen, "id", "left_anti").select("id", F.lit(k).cast("long").alias("dist")))
         seen = seen.union(frontier)
-        if k % 8 == 0:
-            seen = cut(seen)
+        parts.append(frontier)
+        if len(parts) == 16:  # few tables to read, each row rewritten once in so many rounds
+            seen = stored(seen)
+            dropped(spark, [x for x in parts if x is not frontier])
+            parts = [seen]
     edges.unpersist()
     return seen
 
@@ -53,7 +56,9 @@ def sssp(g: Graph, source: int, delta: int | None = None) -> DataFrame:
         cand = cand.groupBy("id").agg(F.min("new").alias("new"))
         left = dist.withColumn("_rest", F.col("open") & ~now)
         better = F.col("dist").isNull() | (F.col("new") < F.col("dist"))
-        dist = cut(left.join(cand, "id", "full").select("id", F.least("dist", "new").alias("dist"), F.coalesce(F.when(F.col("new").isNotNull() & better, True), F.col("_rest"), F.lit(False)).alias("open")))
+        after = stored(left.join(cand, "id", "full").select("id", F.least("dist", "new").alias("dist"), F.coalesce(F.when(F.col("new").isNotNull() & better, True), F.col("_rest"), F.lit(False)).alias("open")))
+        dropped(spark, [dist])
+        dist = after
     edges.unpersist()
     return g.vertices.select("id").join(dist.select("id", "dist"), "id", "left").select("id", F.coalesce("dist", F.lit(UNREACHED_LENGTH)).cast("long").alias("dist"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from sparkloom.session import cut
+from sparkloom.session import dropped, stored
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame], bool], most: int) -> DataFrame:
@@ -14,10 +14,11 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done:
 
     A step that must compare a row with its last value carries that along, so that the test is a scan of the stored rows.
     """
-    state = cut(state)
+    state = stored(state)
     for k in range(1, most + 1):
-        after = cut(step(state, k))
+        after = stored(step(state, k))
         stop = done(after)
+        dropped(state.sparkSession, [state])
         state = after
         if stop:
             break

@@ -14,7 +14,7 @@ from sparkloom.graph import Graph
 from sparkloom.operators import clustering, compression, factorization, gnn, knn, mining, partition, ranking, sampling, spanning, transform, traversal
 from sparkloom.operators.components import component_labels
 from sparkloom.plans import projections as P
-from sparkloom.session import table
+from sparkloom.session import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,11 +39,11 @@ EVT = P.SQL["g_evt"]
 
 
 def cp(spark: SparkSession, d: str) -> Graph:
-    return P.co_purchase_graph(spark, d)
+    return Graph.of_edges(stored(P.co_purchase(spark, d)))
 
 
 def cp2(spark: SparkSession, d: str) -> Graph:
-    return P.co_purchase_graph(spark, d, 2)
+    return Graph.of_edges(stored(P.co_purchase(spark, d, 2)))
 
 
 def labelled(spark: SparkSession, d: str) -> Graph:
@@ -418,9 +418,7 @@ def vecs(spark, d) -> DataFrame:
 
 def knn_graph(spark, d) -> Graph:
     v = vecs(spark, d)
-    from sparkloom.session import cut
-
-    return Graph(v.select("id"), cut(knn.knn_edges(v)))
+    return Graph(v.select("id"), stored(knn.knn_edges(v)))
 
 
 def features(spark, d) -> DataFrame:

@@ -7,48 +7,59 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
-        return root
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="sparkloom-ckpt-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+#: Where set, Spark deletes the shuffle files of a query when it ends; a stored table never needs them again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and cut its lineage with a reliable checkpoint."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="sparkloom-ckpt-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
 def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     """Compute ``df`` now into a compressed table in the shared checkpoint folder and read it back.
 
-    For wide or binary rows this takes far less disk than a checkpoint of raw rows. The path is added to ``into``, for
-    :func:`dropped` once nothing reads the table any more.
+    The planner sees the table's real size, so estimates do not grow from round to round of a loop. The path is added to
+    ``into``; it can be deleted with :func:`dropped`, by the path or by the frame, once nothing reads the table any more.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     if into is not None:
         into.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and cut its lineage: a stored table."""
+    return stored(df)
 
 
-def dropped(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that :func:`stored` wrote, by the file system they lie in."""
+def dropped(spark: SparkSession, tables: list[str | DataFrame]) -> None:
+    """Delete tables that :func:`stored` wrote, given as paths or frames, by the file system they lie in; other frames are left alone."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in paths:
-        p = hadoop.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    paths.clear()
+    for x in tables:
+        path = vars(x).get("_stored_at") if isinstance(x, DataFrame) else x
+        if path:
+            p = hadoop.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    tables.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
