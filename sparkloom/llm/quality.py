@@ -1,14 +1,22 @@
 """Quality by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Words are what white space parts, with their capitals and marks. Each is hashed with the document's language to BITS
-bits, so contexts never mix languages; words that share a code count as one. A word that repeats the one before it has
-a second code of its own, though not as a context. Three codes make one 64-bit key. The number of n-gram types grows
-almost with that of the words, and so does the disk that counts and postings take.
-
-The model is counted over all trusted documents and kept as tables, never on one machine. Scoring is a sharded count
-join: documents are turned into postings (key, document, count) in compact blocks dealt by the key's shard; the
-probability of every distinct key of the corpus comes from joins of the model's tables; each shard then adds up its part
-of every document's log-probability. A document is kept if its perplexity is at most its language's threshold, a
+Words are what white space parts, with their capitals and marks; each belongs to its document's language, so contexts
+never mix languages. The 2**20 most frequent words of the trusted text have codes of their own; rarer ones, and words
+that it lacks, are hashed to as many other codes, where words that share a code count as one. A word that repeats the
+one before it is another word as a prediction, though not as a context. Each text ends with an end mark. Three codes
+make one 63-bit key, and the model counts every token.
+
+The model is counted over all trusted documents and kept as tables, never on one machine. It is brought into back-off
+form: each n-gram of the model has a weight, and a text's log-probability is the sum of the weights of the n-grams in it,
+so n-grams that the model lacks need no answer. Tables by word code have 2**21 rows at most and are broadcast. Pairs and
+triples are scored by a sharded count join: blocks of documents become postings (n-gram, documents, times), packed and
+dealt by the n-gram's shard; each shard meets its part of the model and sends each block's sums back. N-grams that a
+hundredth of a sample of documents hold would all meet in one task, so their weights are looked up once and broadcast
+(COMMON at most); the sample decides only where they are added up, never the result. Within a shard, n-grams are told
+apart by 40 bits of their hash: as a shard's part of the model is bounded, an n-gram that it lacks is taken for another
+one with a chance of a few in a million. Weights are rounded to thousandths.
+
+A document is kept if its perplexity is at most its language's threshold, a
 quantile of the perplexities of trusted documents that the model has not seen: it is counted over those whose hashed id
 falls in the first HELD - 1 of HELD parts, and the rest sets the thresholds. Which quantile is fitted in each language on
 documents of the same part that a label calls bad: the share of trusted documents kept plus the share of bad ones
@@ -16,14 +24,13 @@ rejected is the largest, and of equals the highest quantile is taken (so without
 without held-out trusted text uses the threshold fitted over all.
 
 Null texts count as empty. A document without words has no perplexity and is kept. Null languages are a language of
-their own. Rows that repeat get the same score each. Without any trusted document everything is kept. Extra columns are
-left alone.
+their own. Rows that repeat (in id, language and text, nulls included) get the same score each. Without any trusted
+document everything is kept. Extra columns, of any name, are left alone. An empty table gives none.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,71 +43,111 @@ from sparkloom.session import dropped, stored
 
 BITS = 21
 MASK, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
-#: Words whose distinct keys a task merges before it passes them on; words in a block of postings; documents a shard serves.
-MERGED, BLOCK, DOCS_A_SHARD = 2_000_000, 400_000, 20_000
-#: Trusted ids that are broadcast at most; beyond, the join is by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Codes of known words are 1 to KNOWN; the codes above it but for the last are for hashed words; the last is the end mark.
+KNOWN, END = 1 << (BITS - 1), (1 << BITS) - 1
+#: Words whose distinct keys a task merges before it passes them on; n-grams in a block of postings; bytes of text a shard serves.
+MERGED, BLOCK, BYTES_A_SHARD = 2_000_000, 1_000_000, 32 << 20
+#: Common n-grams: looked for in a sample of about so many documents, in one of HUNDREDTH of which they are; at most COMMON.
+SAMPLE, HUNDREDTH, COMMON = 4_000, 100, 200_000
 #: Threshold: the one of these quantiles of the held-out trusted documents that parts them best from the held-out bad ones.
 QUANTILES = [0.9, 0.95, 0.98, 0.99, 0.995]
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
 HELD = 5
 _AGAIN = np.uint64(K.text_hash("<again>"))
+#: Marks a pair among keys of triples.
+_IS_PAIR = np.uint64(1 << 63)
 
 
-def coded(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, K.Words]:
-    """The code of each word, from 1, with its text's language: as a context, and as what follows one (a repeated word differs)."""
+def hashed(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word with its text's language; whether it repeats the one before it; the words of each text."""
     w = K.words(texts)
     n = len(w.start)
+    sizes = np.diff(w.doc)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), w
-    own = w.hashes()
-    again = np.zeros(n, bool)
-    again[1:] = own[1:] == own[:-1]
-    again[w.doc[:-1][w.doc[:-1] < n]] = False
-    met = np.where(again, K.mix(own ^ _AGAIN), own)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), sizes
     code = {x: np.uint64(K.text_hash("lang=" + x) if x is not None else 0) for x in set(langs)}
-    by_text = np.array([code[x] for x in langs], np.uint64)
-    by_word = by_text[K.text_of_word(w)]
-    own, met = ((K.mix(x ^ by_word) % np.uint64(MASK)).astype(np.int64) + 1 for x in (own, met))
-    return own, met, w
-
-
-def keys(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The trigram key that each word ends (0 stands before the first word), the number of its text, and the words of each text."""
-    c, met, w = coded(texts, langs)
-    first = w.doc[:-1][np.diff(w.doc) > 0]
-    p1, p2 = np.zeros_like(c), np.zeros_like(c)
-    p1[1:] = c[:-1]
-    p1[first] = 0
-    p2[1:] = p1[:-1]
-    p2[first] = 0
-    return p2 << 2 * BITS | p1 << BITS | met, K.text_of_word(w), np.diff(w.doc)
+    h = K.mix(w.hashes() ^ np.repeat(np.array([code[x] for x in langs], np.uint64), sizes))
+    again = np.zeros(n, bool)
+    again[1:] = h[1:] == h[:-1]
+    again[w.doc[:-1][sizes > 0]] = False
+    return h, again, sizes
+
+
+def codes(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Codes of word hashes; ``known`` are the sorted hashes that have one of their own."""
+    out = (h % np.uint64(KNOWN - 3)).astype(np.int64) + KNOWN + 1
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        out[hit] = at[hit] + 1
+    return out
+
+
+class Tokens:
+    """The tokens of a run of texts, end marks included: for each its text, the codes before it, its own and the predicted one, and whether it repeats."""
+
+    def __init__(self, texts: pa.Array, langs: list[str | None], known: np.ndarray):
+        h, again, sizes = hashed(texts, langs)
+        have = sizes > 0
+        self.words = sizes
+        longer = sizes + have
+        at = np.arange(len(h)) + np.repeat(np.cumsum(have) - 1, sizes)
+        self.own = np.full(int(longer.sum()), END, np.int64)
+        self.own[at] = codes(h, known)
+        self.met, self.again = self.own.copy(), np.zeros(len(self.own), bool)
+        self.again[at] = again
+        self.met[self.again] = codes(K.mix(h[again] ^ _AGAIN), known)
+        self.first = (np.cumsum(longer) - longer)[have]
+        self.text = np.repeat(np.arange(len(sizes)), longer)
+        self.p1, p2 = np.zeros_like(self.own), np.zeros_like(self.own)
+        self.p1[1:] = self.own[:-1]
+        self.p1[self.first] = 0
+        p2[1:] = self.p1[:-1]
+        p2[self.first] = 0
+        self.triple = p2 << 2 * BITS | self.p1 << BITS | self.met
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of triples and (marked) pairs, and the text of each: pairs stand for their prediction and for being the next context, so a repeated word and the beginning of a text give one more."""
+        pair = lambda a, b: (a << BITS | b).astype(np.uint64) | _IS_PAIR
+        r = self.again
+        zero = np.zeros(len(self.first), np.int64)
+        keys = np.concatenate([self.triple.astype(np.uint64), pair(self.p1, self.met), pair(self.p1[r], self.own[r]), pair(zero, zero)])
+        return keys, np.concatenate([self.text, self.text, self.text[r], self.text[self.first]])
+
+    def by_word(self, predicted: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
+        """Each text's sum of what its words weigh as predictions and as contexts."""
+        value = predicted[self.met] + context[self.p1]
+        return np.bincount(self.text, weights=value, minlength=n)
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """An integer array as compressed differences; sorted runs take few bytes."""
-    return zlib.compress(np.diff(a, prepend=a.dtype.type(0)).astype(a.dtype).tobytes(), 1)
+    """An integer array as compressed differences, byte by byte of all of them; sorted runs take few bytes."""
+    return zlib.compress(np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)).astype(a.dtype).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes(), 1)
 
 
 def _unpacked(raw: pa.Buffer, dtype: type) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(raw), dtype), dtype=dtype)
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     k, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    found, at = np.unique(k, return_inverse=True)
-    return found, np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[begin], np.add.reduceat(n, begin) if len(k) else n
 
 
-def _summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Keys with counts, merged as far as memory allows, as batches ``key, n``."""
+def _summed(parts: Iterator[tuple[np.ndarray, np.ndarray]], least: int = 1) -> Iterator[pa.RecordBatch]:
+    """Keys with counts (of ``least`` or more), merged as far as memory allows, as batches ``key, n``."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         k, n = _merged(held)
+        k, n = k[n >= least], n[n >= least]
         for a in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["key", "n"])
 
     for part in parts:
         held.append(part)
@@ -115,20 +162,39 @@ def _summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Recor
         yield from out()
 
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """``key, c`` over all texts of ``docs`` (``lang, text``): the number of texts with the key, so that one text cannot make its own habits likely."""
+def _counted(docs: DataFrame, keys, least: int = 1) -> DataFrame:
+    """``key, n``: sums over all texts of ``docs`` (``lang, text``) of the counts that ``keys(texts, langs)`` gives for a run of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 langs = batch.column(0).to_pylist()
                 for a, b, part in K.chunks(batch.column(1)):
-                    k, _, sizes = keys(part, langs[a:b])
-                    yield np.unique(np.concatenate([np.unique(x) for x in np.split(k, np.cumsum(sizes)[:-1])]), return_counts=True)
+                    yield np.unique(keys(part, langs[a:b]), return_counts=True)
+
+        yield from _summed(parts(), least)
+
+    return docs.select("lang", F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-        yield from _summed(parts())
 
-    return docs.select("lang", F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+def known_words(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the KNOWN most frequent words of ``docs``, repeated ones counted as such too: 8 MB at most."""
+
+    def keys(texts: pa.Array, langs: list[str | None]) -> np.ndarray:
+        h, again, _ = hashed(texts, langs)
+        return np.concatenate([h, K.mix(h[again] ^ _AGAIN)])
+
+    top = _counted(docs, keys).orderBy(F.col("n").desc(), "key").limit(KNOWN).select("key")
+    return np.sort(top.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def trigram_counts(docs: DataFrame, known=None) -> DataFrame:
+    """``key, c`` over all tokens of ``docs`` (``lang, text``). ``known``: a broadcast of :func:`known_words`."""
+
+    def keys(texts: pa.Array, langs: list[str | None]) -> np.ndarray:
+        return Tokens(texts, langs, known.value if known else np.zeros(0, np.uint64)).triple
+
+    return _counted(docs, keys).select("key", F.col("n").alias("c"))
 
 
 def _discounts(row) -> list[float]:
@@ -141,152 +207,250 @@ def _discounts(row) -> list[float]:
     return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
 
 
+def _by_code(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    """The columns of a table by word code (2**BITS rows at most), its first column, as arrays by that."""
+    t = rows.toArrow()
+    at = t.column(0).to_numpy()
+    out = []
+    for c in t.columns[1:]:
+        a = np.zeros(1 << BITS)
+        a[at] = c.to_numpy()
+        out.append(a)
+    return tuple(out)
+
+
 class KneserNey:
-    """Tables of a model: ``tri (key, c)``, ``bi (key2, c2)``, ``uni (w, c1)`` and their contexts' totals."""
+    """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, and ``weights (key, weight)`` of pairs and triples."""
 
-    def __init__(self, counts: DataFrame, scratch: list[str] | None = None):
-        self.tri = stored(counts, scratch)
-        self.bi = stored(self.tri.groupBy(F.col("key").bitwiseAND(PAIR).alias("key2")).agg(F.count(F.lit(1)).alias("c2")), scratch)
-        self.uni = stored(self.bi.groupBy(F.col("key2").bitwiseAND(MASK).alias("w")).agg(F.count(F.lit(1)).alias("c1")), scratch)
+    def __init__(self, counts: DataFrame, scratch: list[str]):
+        spark = counts.sparkSession
+        tri = stored(counts, scratch)
+        bi = stored(tri.groupBy(F.col("key").bitwiseAND(PAIR).alias("key2")).agg(F.count(F.lit(1)).alias("c2")), scratch)
         seen = lambda c: [F.sum((F.col(c) == k).cast("long")) for k in (1, 2, 3, 4)]
-        self.d3, self.d2 = (_discounts(t.agg(*seen(c)).first()) for t, c in ((self.tri, "c"), (self.bi, "c2")))
-        row = self.uni.agg(*seen("c1"), F.sum("c1"), F.count(F.lit(1)), F.sum((F.col("c1") > 2).cast("long"))).first()
-        self.d1 = _discounts(row[:4])
-        self.total, self.size = int(row[4] or 0), int(row[5])
-        over = int(row[6] or 0)
-        gamma = (self.d1[0] * (row[0] or 0) + self.d1[1] * (row[1] or 0) + self.d1[2] * over) / self.total if self.total else 1.0
-        self.base = gamma / (self.size + 1)
-        self.after3 = self._context(self.tri, F.shiftright("key", BITS), "c", self.d3, "ctx3", "t3", "g3")
-        self.after2 = self._context(self.bi, F.shiftright("key2", BITS), "c2", self.d2, "ctx2", "t2", "g2")
-
-    @staticmethod
-    def _discount(c: Column, d: list[float]) -> Column:
-        return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-
-    def _context(self, t: DataFrame, context: Column, c: str, d: list[float], name: str, total: str, gamma: str) -> DataFrame:
-        """What follows each context: the total, and the weight that discounting leaves for the lower order."""
-        return t.groupBy(context.alias(name)).agg(F.sum(c).alias(total), (F.sum(self._discount(F.col(c), d)) / F.sum(c)).alias(gamma))
-
-    def log_probabilities(self, wanted: DataFrame) -> DataFrame:
-        """``key, logp`` for each distinct key of ``wanted``."""
-        part = lambda c, d, t: F.coalesce((F.col(c) - self._discount(F.col(c), d)) / t, F.lit(0.0))
-        # rows are kept narrow: what a later join needs is worked out from the key again
-        q = wanted.join(self.tri, "key", "left").select("key", F.col("c").cast("int").alias("c"), F.col("key").bitwiseAND(PAIR).alias("key2"))
-        # the lower orders once for each distinct pair, of which there are far fewer
-        pairs = wanted.select(F.col("key").bitwiseAND(PAIR).alias("key2")).distinct().select("key2", F.shiftright("key2", BITS).alias("ctx2"), F.col("key2").bitwiseAND(MASK).alias("w"))
-        pairs = pairs.join(self.bi, "key2", "left").join(self.after2, "ctx2", "left").join(self.uni, "w", "left")
-        p1 = part("c1", self.d1, F.lit(float(max(1, self.total)))) + self.base
-        pairs = pairs.select("key2", F.when(F.col("t2").isNull(), p1).otherwise(part("c2", self.d2, F.col("t2")) + F.col("g2") * p1).cast("float").alias("p2"))
-        q = q.join(pairs, "key2").select("key", "c", "p2", F.shiftright("key", BITS).alias("ctx3")).join(self.after3, "ctx3", "left")
-        p2 = F.col("p2").cast("double")
-        p3 = F.when(F.col("t3").isNull(), p2).otherwise(part("c", self.d3, F.col("t3")) + F.col("g3") * p2)
-        return q.select("key", F.ln(p3).cast("float").alias("logp"))
-
-
-def postings(docs: DataFrame, shards: int) -> DataFrame:
-    """``shard, keys, sizes, docs, at, times``: in each row the distinct keys of one shard in a block of documents; how many documents have each; the documents' ``row_key``; and, key by key, which document (a number into ``docs``) how many times. ``docs`` has ``row_key, lang, text``."""
-
-    def block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        d3, d2 = (_discounts(t.agg(*seen(c)).first()) for t, c in ((tri, "c"), (bi, "c2")))
+        (c1,) = _by_code(bi.groupBy(F.col("key2").bitwiseAND(MASK).alias("w")).agg(F.count(F.lit(1)).alias("c1")))
+        off = lambda c, d: F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+        t2, left2 = _by_code(bi.groupBy(F.shiftright("key2", BITS).alias("v")).agg(F.sum("c2").alias("t2"), F.sum(off(F.col("c2"), d2)).alias("left")))
+        d1 = _discounts([int((c1 == k).sum()) for k in (1, 2, 3, 4)])
+        off1 = np.where(c1 == 0, 0.0, np.where(c1 == 1, d1[0], np.where(c1 == 2, d1[1], d1[2])))
+        total = c1.sum()
+        self.empty = total == 0
+        self.base = float((off1.sum() / total if total else 1.0) / ((c1 > 0).sum() + 1))
+        p1 = (c1 - off1) / max(1.0, total) + self.base
+        g2 = np.where(t2 > 0, left2 / np.maximum(1.0, t2), 1.0)
+        self.predicted, self.context = np.log(p1), np.log(g2)
+        words = spark.sparkContext.broadcast((p1, g2, t2))
+
+        def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p1, g2, t2 = words.value
+            for b in batches:
+                key, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+                v, w = key >> BITS, key & MASK
+                p = (c - np.where(c == 1, d2[0], np.where(c == 2, d2[1], d2[2]))) / t2[v] + g2[v] * p1[w]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.astype(np.float32)), pa.array(np.log(p / (g2[v] * p1[w])).astype(np.float32))], names=["key2", "p2", "w2"])
+
+        pairs = bi.mapInArrow(paired, "key2 long, p2 float, w2 float")
+        mark = F.lit(-(1 << 63))
+        own: list[str] = []
+        both = stored(tri.withColumn("key2", F.col("key").bitwiseAND(PAIR)).join(pairs.select("key2", "p2"), "key2").select("key", F.col("c").cast("int").alias("c"), "p2"), own)
+        dropped(spark, [tri])
+        ctx = F.shiftright("key", BITS)
+        after = both.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("t3"), (F.sum(off(F.col("c"), d3)) / F.sum("c")).alias("g3"))
+        p3 = (F.col("c") - off(F.col("c"), d3)) / F.col("t3") + F.col("g3") * F.col("p2")
+        triples = both.withColumn("ctx", ctx).join(after, "ctx").select("key", F.ln(p3 / (F.col("g3") * F.col("p2"))).cast("float").alias("weight"))
+        contexts = after.select(F.col("ctx").bitwiseOR(mark).alias("key"), F.ln("g3").cast("float").alias("weight"))
+        self.weights = triples.union(contexts).union(pairs.select(F.col("key2").bitwiseOR(mark).alias("key"), F.col("w2").alias("weight")))
+        self.scratch = own
+
+
+def _places(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each key, and 40 other bits of its hash."""
+    h = K.mix(key)
+    return ((h & np.uint64(0xFFFFFF)) % np.uint64(shards)).astype(np.int32), (h >> np.uint64(24)).astype(np.int64)
+
+
+_POSTED = "shard int, kind int, block long, keys binary, sizes binary, at binary, times binary"
+_NAMES = ["shard", "kind", "block", "keys", "sizes", "at", "times"]
+
+
+def _row(shard: int, kind: int, block: int, *blobs: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (*blobs, *[b""] * (4 - len(blobs)))]], names=_NAMES)
+
+
+def packed_weights(weights: DataFrame, shards: int) -> DataFrame:
+    """``weights`` as rows of kind 0: for each shard of a task's rows, the places of its keys and their weights in thousandths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            k, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            shard, place = _places(k.astype(np.int64).view(np.uint64), shards)
+            order = np.lexsort((place, shard))
+            shard, place, x = shard[order], place[order], x[order]
+            for s, a, b in _runs(shard):
+                yield _row(s, 0, 0, _packed(place[a:b]), zlib.compress(np.rint(x[a:b] * 1000).astype(np.int16).tobytes(), 1))
+
+        size = 0
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size > MERGED:
+                yield from out()
+                held, size = [], 0
+        yield from out()
+
+    return weights.mapInArrow(run, _POSTED)
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``value, first, end`` of each run of equal values."""
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else []
+    for a, b in zip(begin, [*begin[1:], len(x)], strict=True):
+        yield int(x[a]), int(a), int(b)
+
+
+def _posted(k: np.ndarray, d: np.ndarray, block: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Postings (kind 1) of a block: by shard the distinct keys' places, how many documents have each, and, place by place, which and how many times."""
+    shard, place = _places(k, shards)
+    order = np.lexsort((d, place, shard))
+    shard, place, d = shard[order], place[order], d[order]
+    new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (place[1:] != place[:-1]) | (d[1:] != d[:-1])])
+    begin = np.flatnonzero(new)
+    shard, place, d, times = shard[begin], place[begin], d[begin], np.diff(np.append(begin, len(new)))
+    for s, a, b in _runs(shard):
+        ps, ds = place[a:b], d[a:b]
+        first = np.flatnonzero(np.concatenate([[True], ps[1:] != ps[:-1]]))
+        yield _row(s, 1, block, _packed(ps[first]), _packed(np.diff(np.append(first, len(ps))).astype(np.int32)), _packed(ds.astype(np.int32)), _packed(times[a:b].astype(np.int32)))
+
+
+def postings(docs: DataFrame, shards: int, known, words, common) -> DataFrame:
+    """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams."""
+
+    def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         names = np.concatenate([h[2] for h in held])
         base = np.cumsum([0, *[len(h[2]) for h in held[:-1]]])
-        k = np.concatenate([h[0] for h in held])
-        d = np.concatenate([h[1] + b for h, b in zip(held, base, strict=True)])
-        order = np.argsort(k, kind="stable")  # the documents of a key stay in order
-        k, d = k[order], d[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
-        begin = np.flatnonzero(new)
-        k, d, times = k[begin], d[begin], np.diff(np.append(begin, len(new)))
-        shard = (K.mix(k.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            ks, ds = k[own], d[own]
-            first = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
-            some, at = np.unique(ds, return_inverse=True)
-            blobs = [_packed(ks[first]), _packed(np.diff(np.append(first, len(ks))).astype(np.int32)), names[some].tobytes(), _packed(at.astype(np.uint32)), _packed(times[own].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), *[pa.array([v], pa.binary()) for v in blobs]], names=["shard", "keys", "sizes", "docs", "at", "times"])
+        number = int(K.mix(np.array([len(names)], np.uint64) ^ K.mix(names.view(np.uint64)).sum(dtype=np.uint64)).view(np.int64)[0])
+        k, d = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + b for h, b in zip(held, base, strict=True)])
+        sums, n = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+        yield _row(int(np.uint64(number & 0xFFFFFF)) % shards, 2, number, names.tobytes(), n.astype(np.int64).tobytes(), sums.tobytes())
+        yield from _posted(k, d, number, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        predicted, context = words.value
+        often, worth = common.value
+        held: list[tuple] = []
         size = 0
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for a, b, part in K.chunks(batch.column(2)):
-                k, d, _ = keys(part, langs[a:b])
-                if len(k):
-                    held.append((k, d, batch.column(0).slice(a, b - a).to_numpy()))
-                    size += len(k)
+                t = Tokens(part, langs[a:b], known.value)
+                k, d = t.grams()
+                sums = t.by_word(predicted, context, b - a)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, k), len(often) - 1)
+                    hit = often[at] == k
+                    sums += np.bincount(d[hit], weights=worth[at[hit]], minlength=b - a)
+                    k, d = k[~hit], d[~hit]
+                held.append((k, d, batch.column(0).slice(a, b - a).to_numpy(), sums, t.words))
+                size += len(k)
                 if size > BLOCK:
                     yield from block(held)
                     held, size = [], 0
         if held:
             yield from block(held)
 
-    return docs.select("row_key", "lang", F.col("text").cast("string")).mapInArrow(run, "shard int, keys binary, sizes binary, docs binary, at binary, times binary")
-
+    return docs.select("row_key", "lang", F.col("text").cast("string")).mapInArrow(run, _POSTED)
 
-def _decoded(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = [table.column(c)[i].as_buffer() for c in ("keys", "sizes", "docs", "at", "times")]
-    return _unpacked(raw[0], np.int64), _unpacked(raw[1], np.int32), np.frombuffer(raw[2], np.int64), _unpacked(raw[3], np.uint32), _unpacked(raw[4], np.int32)
 
-
-def _shard_sums(blocks: pa.Table, model: pa.Table) -> pa.Table:
-    """Each document's share of log-probability and words from the keys of one shard."""
-    k = model.column("key").to_numpy()
-    order = np.argsort(k)
-    k, logp = k[order], model.column("logp").to_numpy()[order].astype(np.float64)
-    out = []
+def _shard_sums(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Of each block of a shard, the documents that the model's n-grams are in and their weights' sums; rows of kind 2 as they are."""
+    blob = lambda t, c, i: t.column(c)[i].as_buffer()
+    k = np.concatenate([_unpacked(blob(model, "keys", i), np.int64) for i in range(model.num_rows)] or [np.zeros(0, np.int64)])
+    x = np.concatenate([np.frombuffer(zlib.decompress(blob(model, "sizes", i)), np.int16) for i in range(model.num_rows)] or [np.zeros(0, np.int16)])
+    k, x = _merged([(k, x.astype(np.int32))])
+    out: list[tuple[int, int, bytes, bytes, bytes]] = []
     for i in range(blocks.num_rows):
-        own, sizes, names, at, times = _decoded(blocks, i)
-        value = np.repeat(logp[np.searchsorted(k, own)], sizes) * times
-        out.append((names, np.bincount(at, weights=value, minlength=len(names)), np.bincount(at, weights=times, minlength=len(names)).astype(np.int64)))
-    if not out:
-        return pa.table({"row_key": pa.array([], pa.int64()), "logp": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-    names, logp, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table({"row_key": names, "logp": logp, "n": n})
-
-
-def log_likelihoods(docs: DataFrame, model: KneserNey, n_docs: int) -> DataFrame:
-    """``row_key, n, logp`` of each distinct ``row_key`` with words."""
-    shards = max(8, -(-n_docs // DOCS_A_SHARD))
-    held = postings(docs, shards)  # made twice, once for its keys: that takes less than keeping it
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each task's distinct keys by shard, merged as far as memory allows, in compressed runs."""
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for s, parts in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(np.unique(np.concatenate(parts)))], pa.binary())], names=["shard", "keys"])
-
-        for batch in batches:
-            for s, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found[s].append(_unpacked(x.as_buffer(), np.int64))
-                size += len(found[s][-1])
-                if size > MERGED:
-                    for k, parts in found.items():
-                        found[k] = [np.unique(np.concatenate(parts))]
-                    size = sum(len(parts[0]) for parts in found.values())
-                    if size > MERGED // 2:
-                        yield from out()
-                        found.clear()
-                        size = 0
-        yield from out()
-
-    def distinct(table: pa.Table) -> pa.Table:
-        return pa.table({"key": np.unique(np.concatenate([_unpacked(x.as_buffer(), np.int64) for x in table.column("keys")]))})
-
-    wanted = held.select("shard", "keys").mapInArrow(gathered, "shard int, keys binary").groupBy("shard").applyInArrow(distinct, "key long")
-    # the shard of a key must be the one that postings() gave it, so it is worked out by the same code
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = (K.mix(b.column(0).to_numpy().astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(s), b.column(0), b.column(1)], names=["shard", "key", "logp"])
-
-    scored = model.log_probabilities(wanted).mapInArrow(placed, "shard int, key long, logp float")
-    sums = held.groupBy("shard").cogroup(scored.groupBy("shard")).applyInArrow(_shard_sums, "row_key long, logp double, n long")
-    # rows that repeat share a row_key: their blocks add up to a multiple of one row in both sums
-    return sums.groupBy("row_key").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"))
+        number = blocks.column("block")[i].as_py()
+        if blocks.column("kind")[i].as_py() == 2:
+            out.append((number, 2, *[bytes(blob(blocks, c, i)) for c in ("keys", "sizes", "at")]))
+            continue
+        own, sizes, at, times = (_unpacked(blob(blocks, c, i), t) for c, t in (("keys", np.int64), ("sizes", np.int32), ("at", np.int32), ("times", np.int32)))
+        if not len(k):
+            continue
+        found = np.minimum(np.searchsorted(k, own), len(k) - 1)
+        value = np.repeat(np.where(k[found] == own, x[found], 0), sizes).astype(np.int64) * times
+        hit = np.flatnonzero(value)
+        if len(hit):
+            some, to = np.unique(at[hit], return_inverse=True)
+            out.append((number, 1, _packed(some.astype(np.int32)), _packed(np.bincount(to, weights=value[hit]).astype(np.int64)), b""))
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "kind", "a", "b", "c"])
+
+
+def _block_sums(rows: pa.Table) -> pa.Table:
+    """Each document's words and log-probability from the rows of its block."""
+    kinds = rows.column("kind").to_numpy()
+    i = int(np.flatnonzero(kinds == 2)[0])
+    copies = int((kinds == 2).sum())  # blocks of the very same rows share a number and have the same sums
+    head = [rows.column(c)[i].as_buffer() for c in ("a", "b", "c")]
+    names, n, sums = np.frombuffer(head[0], np.int64), np.frombuffer(head[1], np.int64), np.frombuffer(head[2], np.float64).copy()
+    for j in np.flatnonzero(kinds == 1).tolist():
+        at = _unpacked(rows.column("a")[j].as_buffer(), np.int32)
+        sums[at] += _unpacked(rows.column("b")[j].as_buffer(), np.int64) / (1000 * copies)
+    keep = n > 0
+    return pa.table({"row_key": names[keep], "n": n[keep], "logp": sums[keep]})
+
+
+def _scored(posted: DataFrame, model: DataFrame) -> DataFrame:
+    sums = model.groupBy("shard").cogroup(posted.groupBy("shard")).applyInArrow(_shard_sums, "block long, kind int, a binary, b binary, c binary")
+    return sums.groupBy("block").applyInArrow(_block_sums, "row_key long, n long, logp double")
+
+
+def common_keys(docs: DataFrame, n_docs: int, known) -> DataFrame:
+    """``key`` of the n-grams that at least one of HUNDREDTH documents of a hashed sample holds, COMMON at most."""
+    part = max(1, n_docs // SAMPLE)
+
+    def keys(texts: pa.Array, langs: list[str | None]) -> np.ndarray:
+        t = Tokens(texts, langs, known.value)
+        k, d = t.grams()
+        order = np.lexsort((d, k))
+        k, d = k[order], d[order]
+        return k[np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])] if len(k) else k
+
+    some = docs.filter(F.pmod("row_key", F.lit(part)) == 0)
+    least = max(2, min(n_docs, SAMPLE) // HUNDREDTH)
+    return _counted(some, keys, 2).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "key").limit(COMMON).select("key")
+
+
+def log_likelihoods(docs: DataFrame, model: KneserNey, known, scratch: list[str]) -> DataFrame:
+    """``row_key, n, logp`` of each row of ``docs`` (``row_key, lang, text``) with words; the end mark's probability is part of ``logp``, the mark not of ``n``."""
+    spark = docs.sparkSession
+    n_docs, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    shards = min(1 << 20, max(8, -(-(size or 0) // BYTES_A_SHARD)))
+    table = stored(packed_weights(model.weights, shards), scratch)
+    dropped(spark, model.scratch)
+    often = np.sort(common_keys(docs, n_docs, known).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # each common n-gram is a document of its own, named by the key
+            k = b.column(0).to_numpy().view(np.uint64)
+            number = int(b.column(0)[0].as_py()) if b.num_rows else 0
+            yield _row(0, 2, number, k.tobytes(), np.ones(len(k), np.int64).tobytes(), np.zeros(len(k)).tobytes())
+            yield from _posted(k, np.arange(len(k)), number, shards)
+
+    worth = np.zeros(len(often))
+    if len(often):
+        ask = spark.createDataFrame(pa.table({"key": often.view(np.int64)})).mapInArrow(asked, _POSTED)
+        got = _scored(ask, table).select("row_key", "logp").toArrow()
+        worth[np.searchsorted(often, got.column(0).to_numpy().view(np.uint64))] = got.column(1).to_numpy()
+    common = spark.sparkContext.broadcast((often, worth))
+    words = spark.sparkContext.broadcast((model.predicted.astype(np.float32), model.context.astype(np.float32)))
+    sums = _scored(postings(docs, shards, known, words, common), table)
+    # rows that repeat share a row_key and have the same sums
+    return sums.groupBy("row_key").agg(F.max("n").alias("n"), F.max("logp").alias("logp"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -309,20 +473,32 @@ def thresholds(rows: DataFrame, group: Column) -> DataFrame:
     return judged.select("_lang", F.col("cuts")[F.array_max("tried")["i"]].alias("threshold"))
 
 
+def _row_key() -> Column:
+    """A hash of id, language and text that tells nulls by their place."""
+    cols = [F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")]
+    return F.xxhash64(F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in cols]), *cols)
+
+
+def held_out() -> Column:
+    """Whether a trusted or bad document is kept from the model, by its ``doc_id``."""
+    return F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0
+
+
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``row_key, doc_id, lang, n_words, log_perplexity, threshold, keep``, one row per row of ``docs``."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "lang", "text"))
+    """``row_key, doc_id, lang, n_words, log_perplexity, threshold, keep``, one row per row of ``docs``. Joins with label ids are left to the planner, which knows the stored tables' sizes."""
+    spark = docs.sparkSession
+    keyed = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     scratch: list[str] = []
-    near, poor = (F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (stored(f(labels), scratch) for f in (trusted_ids, poor_ids)))
-    seen = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) > 0
-    model = KneserNey(trigram_counts(keyed.join(near, "doc_id", "left_semi").filter(seen)), scratch)
-    totals = log_likelihoods(keyed, model, keyed.count())
+    near, poor = (stored(f(labels), scratch) for f in (trusted_ids, poor_ids))
+    trusted = keyed.join(near, "doc_id", "left_semi").filter(~held_out())
+    known = spark.sparkContext.broadcast(known_words(trusted))
+    model = KneserNey(trigram_counts(trusted, known), scratch)
+    totals = log_likelihoods(keyed, model, known, scratch)
     flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left").join(poor.withColumn("poor", F.lit(True)), "doc_id", "left")
     log_ppl = F.round(-F.col("logp") / F.col("n"), 6)
-    held = [(F.coalesce(c, F.lit(False)) & ~seen).alias(c) for c in ("trusted", "poor")]
+    held = [(F.coalesce(c, F.lit(False)) & held_out()).alias(c) for c in ("trusted", "poor")]
     rows = stored(flagged.join(totals, "row_key", "left").select("row_key", "doc_id", "lang", *held, F.col("n"), log_ppl.alias("log_perplexity")))
-    dropped(docs.sparkSession, scratch)  # the scores are all that is read from here on
+    dropped(spark, scratch)  # the scores are all that is read from here on
     overall = thresholds(rows, F.lit("")).first()
     out = rows.join(thresholds(rows, F.col("lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall and overall["threshold"]).cast("double")))
     return out.select("row_key", "doc_id", "lang", F.col("n").alias("n_words"), "log_perplexity", F.round("threshold", 6).alias("threshold"), F.coalesce(F.col("log_perplexity") <= F.round("threshold", 6), F.lit(True)).alias("keep"))
@@ -335,6 +511,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects; all columns as they were."""
-    bad = scores(docs, labels).filter("not keep").select("row_key").distinct().withColumnRenamed("row_key", "_row_key")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return docs.withColumn("_row_key", key).join(bad, "_row_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = scores(docs, labels).filter("not keep").select("row_key").distinct()
+    # everything of a row rides in one struct, so no column of docs can clash with the key
+    keyed = docs.select(_row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return keyed.join(bad, "row_key", "left_anti").select("row.*")
