@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where set, Spark deletes the shuffle files of a query when it ends; a stored table never needs them again.
+#: Spark's setting by which the shuffle files of a query are deleted when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -22,6 +24,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends; a plan that runs again makes them again."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     """Compute ``df`` now into a compressed table in the shared checkpoint folder and read it back.
 
@@ -30,15 +46,8 @@ def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with shuffles_deleted(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
     if into is not None:
         into.append(path)
     out = spark.read.schema(df.schema).parquet(path)
