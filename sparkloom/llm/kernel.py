@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -155,3 +157,13 @@ def capital(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def text_of_word(w: Words) -> np.ndarray:
     """For each word, the number of its text."""
     return np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
+
+
+def row_hash(*columns: Column) -> Column:
+    """A hash of values that also tells which of them are null."""
+    return F.xxhash64(F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns]), *columns)
+
+
+def keyed(rows: DataFrame, **keys: Column) -> DataFrame:
+    """The named ``keys`` and ``row``, a struct of all columns of ``rows``: helper columns cannot clash with any of these."""
+    return rows.select(*[c.alias(k) for k, c in keys.items()], F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))

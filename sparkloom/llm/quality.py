@@ -13,8 +13,12 @@ triples are scored by a sharded count join: blocks of documents become postings
 dealt by the n-gram's shard; each shard meets its part of the model and sends each block's sums back. N-grams that a
 hundredth of a sample of documents hold would all meet in one task, so their weights are looked up once and broadcast
 (COMMON at most); the sample decides only where they are added up, never the result. Within a shard, n-grams are told
-apart by 40 bits of their hash: as a shard's part of the model is bounded, an n-gram that it lacks is taken for another
-one with a chance of a few in a million. Weights are rounded to thousandths.
+apart by 32 bits of their hash: as a shard's part of the model is bounded, an n-gram that it lacks is taken for another
+one with a chance below one in a thousand. Weights are rounded to thousandths.
+
+Triples and pairs take far more room than the text, so nothing of that size is shuffled at once: the model's joins go
+through PARTS of their keys one after the other, and scoring goes PASSES times over the documents, each time for some of
+the shards. Shuffle files are deleted as soon as a step is stored.
 
 A document is kept if its perplexity is at most its language's threshold, a
 quantile of the perplexities of trusted documents that the model has not seen: it is counted over those whose hashed id
@@ -39,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
-from sparkloom.session import dropped, stored
+from sparkloom.session import dropped, shuffles_deleted, stored
 
 BITS = 21
 MASK, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
@@ -49,6 +53,8 @@ KNOWN, END = 1 << (BITS - 1), (1 << BITS) - 1
 MERGED, BLOCK, BYTES_A_SHARD = 2_000_000, 1_000_000, 32 << 20
 #: Common n-grams: looked for in a sample of about so many documents, in one of HUNDREDTH of which they are; at most COMMON.
 SAMPLE, HUNDREDTH, COMMON = 4_000, 100, 200_000
+#: Parts of the keys that the model's joins take one by one; times that scoring reads the documents.
+PARTS, PASSES = 4, 2
 #: Threshold: the one of these quantiles of the held-out trusted documents that parts them best from the held-out bad ones.
 QUANTILES = [0.9, 0.95, 0.98, 0.99, 0.995]
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
@@ -130,6 +136,15 @@ def _unpacked(raw: pa.Buffer, dtype: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Small whole numbers in any order, byte by byte of all of them."""
+    return zlib.compress(np.ascontiguousarray(a.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unplaned(raw: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     k, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(k)
@@ -220,9 +235,9 @@ def _by_code(rows: DataFrame) -> tuple[np.ndarray, ...]:
 
 
 class KneserNey:
-    """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, and ``weights (key, weight)`` of pairs and triples."""
+    """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, ``possible`` (whether a code can begin and end a pair of the model), and ``table``, the weights of pairs and triples packed for ``shards``."""
 
-    def __init__(self, counts: DataFrame, scratch: list[str]):
+    def __init__(self, counts: DataFrame, shards: int, scratch: list[str]):
         spark = counts.sparkSession
         tri = stored(counts, scratch)
         bi = stored(tri.groupBy(F.col("key").bitwiseAND(PAIR).alias("key2")).agg(F.count(F.lit(1)).alias("c2")), scratch)
@@ -239,7 +254,8 @@ class KneserNey:
         p1 = (c1 - off1) / max(1.0, total) + self.base
         g2 = np.where(t2 > 0, left2 / np.maximum(1.0, t2), 1.0)
         self.predicted, self.context = np.log(p1), np.log(g2)
-        words = spark.sparkContext.broadcast((p1, g2, t2))
+        self.possible = t2 > 0, c1 > 0
+        words = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in (p1, g2, t2)))
 
         def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p1, g2, t2 = words.value
@@ -247,26 +263,37 @@ class KneserNey:
                 key, c = b.column(0).to_numpy(), b.column(1).to_numpy()
                 v, w = key >> BITS, key & MASK
                 p = (c - np.where(c == 1, d2[0], np.where(c == 2, d2[1], d2[2]))) / t2[v] + g2[v] * p1[w]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.astype(np.float32)), pa.array(np.log(p / (g2[v] * p1[w])).astype(np.float32))], names=["key2", "p2", "w2"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.rint(np.log(p) * 1000).astype(np.int16)), pa.array(np.log(p / (g2[v] * p1[w])).astype(np.float32))], names=["key2", "lp2", "w2"])
 
-        pairs = bi.mapInArrow(paired, "key2 long, p2 float, w2 float")
+        pairs = bi.mapInArrow(paired, "key2 long, lp2 short, w2 float")
         mark = F.lit(-(1 << 63))
-        own: list[str] = []
-        both = stored(tri.withColumn("key2", F.col("key").bitwiseAND(PAIR)).join(pairs.select("key2", "p2"), "key2").select("key", F.col("c").cast("int").alias("c"), "p2"), own)
+        part = lambda c, i: F.pmod(F.xxhash64(c), F.lit(PARTS)) == i
+        whole = tri.withColumn("key2", F.col("key").bitwiseAND(PAIR))
+        joined = [stored(whole.filter(part("key2", i)).join(pairs.filter(part("key2", i)).select("key2", "lp2"), "key2").select("key", F.col("c").cast("int").alias("c"), "lp2").sortWithinPartitions("key")) for i in range(PARTS)]
         dropped(spark, [tri])
-        ctx = F.shiftright("key", BITS)
-        after = both.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("t3"), (F.sum(off(F.col("c"), d3)) / F.sum("c")).alias("g3"))
-        p3 = (F.col("c") - off(F.col("c"), d3)) / F.col("t3") + F.col("g3") * F.col("p2")
-        triples = both.withColumn("ctx", ctx).join(after, "ctx").select("key", F.ln(p3 / (F.col("g3") * F.col("p2"))).cast("float").alias("weight"))
-        contexts = after.select(F.col("ctx").bitwiseOR(mark).alias("key"), F.ln("g3").cast("float").alias("weight"))
-        self.weights = triples.union(contexts).union(pairs.select(F.col("key2").bitwiseOR(mark).alias("key"), F.col("w2").alias("weight")))
-        self.scratch = own
+        both = joined[0]
+        for x in joined[1:]:
+            both = both.union(x)
+        both = both.withColumn("ctx", F.shiftright("key", BITS))
+        packed = [stored(packed_weights(pairs.select(F.col("key2").bitwiseOR(mark).alias("key"), F.col("w2").alias("weight")), shards), scratch)]
+        dropped(spark, [bi])
+        for i in range(PARTS):
+            some = both.filter(part("ctx", i))
+            after = some.groupBy("ctx").agg(F.sum("c").alias("t3"), (F.sum(off(F.col("c"), d3)) / F.sum("c")).alias("g3"))
+            lower = F.col("g3") * F.exp(F.col("lp2") / 1000)
+            triples = some.join(after, "ctx").select("key", F.ln(((F.col("c") - off(F.col("c"), d3)) / F.col("t3") + lower) / lower).cast("float").alias("weight"))
+            contexts = after.select(F.col("ctx").bitwiseOR(mark).alias("key"), F.ln("g3").cast("float").alias("weight"))
+            packed.append(stored(packed_weights(triples.union(contexts), shards), scratch))
+        dropped(spark, joined)
+        self.table = packed[0]
+        for x in packed[1:]:
+            self.table = self.table.union(x)
 
 
 def _places(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each key, and 40 other bits of its hash."""
+    """The shard of each key, and 32 other bits of its hash."""
     h = K.mix(key)
-    return ((h & np.uint64(0xFFFFFF)) % np.uint64(shards)).astype(np.int32), (h >> np.uint64(24)).astype(np.int64)
+    return ((h & np.uint64(0xFFFFFF)) % np.uint64(shards)).astype(np.int32), (h >> np.uint64(32)).astype(np.int64)
 
 
 _POSTED = "shard int, kind int, block long, keys binary, sizes binary, at binary, times binary"
@@ -312,9 +339,14 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(x[a]), int(a), int(b)
 
 
-def _posted(k: np.ndarray, d: np.ndarray, block: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Postings (kind 1) of a block: by shard the distinct keys' places, how many documents have each, and, place by place, which and how many times."""
+def _posted(k: np.ndarray, d: np.ndarray, block: int, shards: int, turn: int = -1) -> Iterator[pa.RecordBatch]:
+    """Postings (kind 1) of a block: by shard the distinct keys' places, how many documents have each, and, place by place, which and how many times; only for the shards of one pass, if ``turn`` names it."""
     shard, place = _places(k, shards)
+    if turn >= 0:
+        own = np.flatnonzero(shard % PASSES == turn)
+        shard, place, d = shard[own], place[own], d[own]
+    if not len(shard):
+        return
     order = np.lexsort((d, place, shard))
     shard, place, d = shard[order], place[order], d[order]
     new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (place[1:] != place[:-1]) | (d[1:] != d[:-1])])
@@ -323,11 +355,11 @@ def _posted(k: np.ndarray, d: np.ndarray, block: int, shards: int) -> Iterator[p
     for s, a, b in _runs(shard):
         ps, ds = place[a:b], d[a:b]
         first = np.flatnonzero(np.concatenate([[True], ps[1:] != ps[:-1]]))
-        yield _row(s, 1, block, _packed(ps[first]), _packed(np.diff(np.append(first, len(ps))).astype(np.int32)), _packed(ds.astype(np.int32)), _packed(times[a:b].astype(np.int32)))
+        yield _row(s, 1, block, _packed(ps[first]), _planes(np.diff(np.append(first, len(ps)))), _planes(ds), _planes(times[a:b]))
 
 
-def postings(docs: DataFrame, shards: int, known, words, common) -> DataFrame:
-    """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams."""
+def postings(docs: DataFrame, shards: int, known, words, common, turn: int) -> DataFrame:
+    """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams; sums so far are those of words and common n-grams in the first pass, 0 in others."""
 
     def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         names = np.concatenate([h[2] for h in held])
@@ -336,10 +368,10 @@ def postings(docs: DataFrame, shards: int, known, words, common) -> DataFrame:
         k, d = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + b for h, b in zip(held, base, strict=True)])
         sums, n = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
         yield _row(int(np.uint64(number & 0xFFFFFF)) % shards, 2, number, names.tobytes(), n.astype(np.int64).tobytes(), sums.tobytes())
-        yield from _posted(k, d, number, shards)
+        yield from _posted(k, d, number, shards, turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predicted, context = words.value
+        predicted, context, begins, ends = words.value
         often, worth = common.value
         held: list[tuple] = []
         size = 0
@@ -349,12 +381,16 @@ def postings(docs: DataFrame, shards: int, known, words, common) -> DataFrame:
                 t = Tokens(part, langs[a:b], known.value)
                 k, d = t.grams()
                 sums = t.by_word(predicted, context, b - a)
+                # words that the model lacks are in none of its pairs
+                code = (k & np.uint64(PAIR)).astype(np.int64)
+                may = ends[code & MASK] & begins[code >> BITS] | (code & MASK == 0)
+                k, d = k[may], d[may]
                 if len(often):
                     at = np.minimum(np.searchsorted(often, k), len(often) - 1)
                     hit = often[at] == k
                     sums += np.bincount(d[hit], weights=worth[at[hit]], minlength=b - a)
                     k, d = k[~hit], d[~hit]
-                held.append((k, d, batch.column(0).slice(a, b - a).to_numpy(), sums, t.words))
+                held.append((k, d, batch.column(0).slice(a, b - a).to_numpy(), sums if turn == 0 else np.zeros(b - a), t.words))
                 size += len(k)
                 if size > BLOCK:
                     yield from block(held)
@@ -377,7 +413,7 @@ def _shard_sums(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
         if blocks.column("kind")[i].as_py() == 2:
             out.append((number, 2, *[bytes(blob(blocks, c, i)) for c in ("keys", "sizes", "at")]))
             continue
-        own, sizes, at, times = (_unpacked(blob(blocks, c, i), t) for c, t in (("keys", np.int64), ("sizes", np.int32), ("at", np.int32), ("times", np.int32)))
+        own, (sizes, at, times) = _unpacked(blob(blocks, "keys", i), np.int64), (_unplaned(blob(blocks, c, i)) for c in ("sizes", "at", "times"))
         if not len(k):
             continue
         found = np.minimum(np.searchsorted(k, own), len(k) - 1)
@@ -425,13 +461,13 @@ def common_keys(docs: DataFrame, n_docs: int, known) -> DataFrame:
     return _counted(some, keys, 2).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "key").limit(COMMON).select("key")
 
 
-def log_likelihoods(docs: DataFrame, model: KneserNey, known, scratch: list[str]) -> DataFrame:
-    """``row_key, n, logp`` of each row of ``docs`` (``row_key, lang, text``) with words; the end mark's probability is part of ``logp``, the mark not of ``n``."""
+def log_likelihoods(docs: DataFrame, counts: DataFrame, known, scratch: list[str]) -> DataFrame:
+    """``row_key, n, logp`` of each row of ``docs`` (``row_key, lang, text``) with words, by the model of ``counts``; the end mark's probability is part of ``logp``, the mark not of ``n``."""
     spark = docs.sparkSession
     n_docs, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     shards = min(1 << 20, max(8, -(-(size or 0) // BYTES_A_SHARD)))
-    table = stored(packed_weights(model.weights, shards), scratch)
-    dropped(spark, model.scratch)
+    model = KneserNey(counts, shards, scratch)
+    table = model.table
     often = np.sort(common_keys(docs, n_docs, known).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,10 +483,14 @@ def log_likelihoods(docs: DataFrame, model: KneserNey, known, scratch: list[str]
         got = _scored(ask, table).select("row_key", "logp").toArrow()
         worth[np.searchsorted(often, got.column(0).to_numpy().view(np.uint64))] = got.column(1).to_numpy()
     common = spark.sparkContext.broadcast((often, worth))
-    words = spark.sparkContext.broadcast((model.predicted.astype(np.float32), model.context.astype(np.float32)))
-    sums = _scored(postings(docs, shards, known, words, common), table)
-    # rows that repeat share a row_key and have the same sums
-    return sums.groupBy("row_key").agg(F.max("n").alias("n"), F.max("logp").alias("logp"))
+    words = spark.sparkContext.broadcast((model.predicted.astype(np.float32), model.context.astype(np.float32), *model.possible))
+    every = None
+    for turn in range(PASSES):
+        own = table.filter(F.col("shard") % PASSES == turn)
+        # rows that repeat share a row_key and have the same sums
+        sums = stored(_scored(postings(docs, shards, known, words, common, turn), own).groupBy("row_key").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), scratch)
+        every = sums if every is None else every.union(sums)
+    return every.groupBy("row_key").agg(F.max("n").alias("n"), F.sum("logp").alias("logp"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -474,9 +514,7 @@ def thresholds(rows: DataFrame, group: Column) -> DataFrame:
 
 
 def _row_key() -> Column:
-    """A hash of id, language and text that tells nulls by their place."""
-    cols = [F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")]
-    return F.xxhash64(F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in cols]), *cols)
+    return K.row_hash(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
 
 
 def held_out() -> Column:
@@ -486,14 +524,18 @@ def held_out() -> Column:
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``row_key, doc_id, lang, n_words, log_perplexity, threshold, keep``, one row per row of ``docs``. Joins with label ids are left to the planner, which knows the stored tables' sizes."""
+    with shuffles_deleted(docs.sparkSession):
+        return _scores(docs, labels)
+
+
+def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     scratch: list[str] = []
     near, poor = (stored(f(labels), scratch) for f in (trusted_ids, poor_ids))
     trusted = keyed.join(near, "doc_id", "left_semi").filter(~held_out())
     known = spark.sparkContext.broadcast(known_words(trusted))
-    model = KneserNey(trigram_counts(trusted, known), scratch)
-    totals = log_likelihoods(keyed, model, known, scratch)
+    totals = log_likelihoods(keyed, trigram_counts(trusted, known), known, scratch)
     flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left").join(poor.withColumn("poor", F.lit(True)), "doc_id", "left")
     log_ppl = F.round(-F.col("logp") / F.col("n"), 6)
     held = [(F.coalesce(c, F.lit(False)) & held_out()).alias(c) for c in ("trusted", "poor")]
@@ -512,6 +554,4 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects; all columns as they were."""
     bad = scores(docs, labels).filter("not keep").select("row_key").distinct()
-    # everything of a row rides in one struct, so no column of docs can clash with the key
-    keyed = docs.select(_row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return keyed.join(bad, "row_key", "left_anti").select("row.*")
+    return K.keyed(docs, row_key=_row_key()).join(bad, "row_key", "left_anti").select("row.*")
