@@ -14,8 +14,11 @@ diagonal's slots differ, windows that have the item's own values still belong to
 A bitmap of fixed size with the hashes of the benchmark's windows keeps almost all other windows of the documents from
 leaving the task that reads them; whatever passes it is joined exactly, so its size limits cost, never results.
 
-Null texts count as empty. Texts and items of fewer than WIDTH words have no windows and take no part. Rows that repeat
-are found each. Null ids are carried as they are. Extra columns are ignored.
+An item of fewer than WIDTH words is a single exact window. As so few words also stand in other texts by chance, it is
+found only where the same words stand by themselves: between the beginnings and ends of sentences, lines or the text.
+
+Null texts count as empty; texts and items without words take no part. Rows that repeat are found each. Null ids are
+carried as they are. Extra columns, of any name, are left alone. An empty table on either side gives no matches.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
+from sparkloom.session import stored
 
 WIDTH, PLAIN, COVERAGE, RUN = 5, 3, 0.5, 13
 #: Bits of the hash that the bitmap holds: 2**22 bits are 512 KiB, whatever the size of the benchmark.
@@ -35,18 +39,18 @@ BITS = 22
 #: Unit words.
 UNITS = "kg g mg km m cm mm mile miles hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres meter meters metre metres foot feet inch inches pound pounds mph kmh".split()
 _UNIT = np.sort(np.array([K.text_hash(u) for u in UNITS], np.uint64))
-_NUMBER_AT, _NAME_AT, _UNIT_AT, _EXACT = (np.uint64(K.text_hash(x)) for x in ("<number>", "<name>", "<unit>", "<exact>"))
+_NUMBER_AT, _NAME_AT, _UNIT_AT, _EXACT, _SHORT = (np.uint64(K.text_hash(x)) for x in ("<number>", "<name>", "<unit>", "<exact>", "<short>"))
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Words]:
-    """Canonical word hashes, the hashes of the words themselves, whether each is a slot, and the words."""
+def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, K.Words]:
+    """Canonical word hashes, the hashes of the words themselves, whether each is a slot, whether it opens a sentence, line or text, and the words."""
     raw = K.words(texts)
     w = K.trimmed(raw)
     low = K.Words(K.lowered(w.data), w.start, w.end, w.doc, w.text_start)
     own = low.hashes()
     n = len(own)
     if not n:
-        return own, own, np.zeros(0, bool), w
+        return own, own, np.zeros(0, bool), np.zeros(0, bool), w
     number = K._DIGIT[w.data[w.start]]
     opens = np.zeros(n, bool)
     opens[w.doc[:-1][w.doc[:-1] < n]] = True
@@ -62,12 +66,12 @@ def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Wo
     at = np.flatnonzero(unit)
     unit[at] = _UNIT[np.minimum(np.searchsorted(_UNIT, own[at]), len(_UNIT) - 1)] == own[at]
     can = np.where(number, _NUMBER_AT, np.where(unit, _UNIT_AT, np.where(name, _NAME_AT, own)))
-    return can, own, number | name | unit, w
+    return can, own, number | name | unit, opens, w
 
 
-def template_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its text, its position there, its hash; its first word, the words' own hashes and slot marks, and whether the window is exact (too few plain words for a template)."""
-    can, own, slot, w = canonical(texts)
+def template_windows(texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: its text, its position there, its hash; its first word, the words' own hashes and slot marks, and whether the window is exact (too few plain words for a template). Shorter windows are those that stand by themselves, with ``whole`` only whole texts."""
+    can, own, slot, opens, w = canonical(texts)
     h = K.windows(can, WIDTH)
     first = np.arange(len(h))
     text = K.text_of_word(w)
@@ -77,8 +81,17 @@ def template_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if len(at):
         h[at] = K.mix(K.windows(own, WIDTH)[at] ^ _EXACT)
     ok = text[: len(h)] == text[WIDTH - 1 :] if len(h) else np.zeros(0, bool)
-    first = first[ok]
-    return text[first], first - w.doc[text[first]], h[ok], first, np.stack([own, slot.astype(np.uint64)]) if len(own) else np.zeros((2, 0), np.uint64), exact[ok]
+    first, h, exact = first[ok], h[ok], exact[ok]
+    closes = np.append(opens[1:], True) if len(own) else opens
+    size = np.diff(w.doc)
+    for n in range(1, WIDTH):
+        some = np.arange(max(0, len(own) - n + 1))
+        some = some[opens[some] & closes[some + n - 1] & (text[some] == text[some + n - 1])]
+        if whole:  # an item's only window is all of it
+            some = some[size[text[some]] == n]
+        first, exact = np.append(first, some), np.append(exact, np.ones(len(some), bool))
+        h = np.append(h, K.mix(K.windows(own, n)[some] ^ _SHORT) if len(some) else np.zeros(0, np.uint64))
+    return text[first], first - w.doc[text[first]], h, first, np.stack([own, slot.astype(np.uint64)]) if len(own) else np.zeros((2, 0), np.uint64), exact
 
 
 def _emit(ids: list[pa.Array], a: int, keep: np.ndarray, found: tuple) -> pa.RecordBatch:
@@ -99,7 +112,7 @@ def windows_of(rows: DataFrame, ids: list[str], text: str, bitmap=None) -> DataF
         for batch in batches:
             own = [batch.column(i) for i in range(n)]
             for a, _, part in K.chunks(batch.column(n)):
-                found = template_windows(part)
+                found = template_windows(part, bitmap is None)
                 h = found[2]
                 keep = np.flatnonzero(bits[(h & np.uint64(2**BITS - 1)).astype(np.int64)]) if bits is not None else np.arange(len(h))
                 if len(keep):
@@ -110,6 +123,26 @@ def windows_of(rows: DataFrame, ids: list[str], text: str, bitmap=None) -> DataF
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(ids)})
 
 
+def _bitmap(items: DataFrame) -> np.ndarray:
+    """Which values the low bits of the windows' hashes take, made in 64 parts by the cluster."""
+    part = BITS - 6
+
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << part, bool)
+        bits[rows.column("at").to_numpy()] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    low = items.select(F.shiftright(F.col("h").bitwiseAND(2**BITS - 1), part).alias("part"), F.col("h").bitwiseAND(2**part - 1).alias("at")).distinct()
+    out = np.zeros(2**BITS // 8, np.uint8)
+    for x in low.groupBy("part").applyInArrow(packed, "part long, bits binary").collect():
+        out[x["part"] << part - 3 : x["part"] + 1 << part - 3] = np.frombuffer(x["bits"], np.uint8)
+    return out
+
+
+def _row_key():
+    return K.row_hash(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, row_key, item_id, windows, coverage`` of each document and item whose coverage reaches COVERAGE or whose run is long enough.
 
@@ -117,13 +150,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``row_key`` is the hash of the document's id and text, so that rows that share an id but not a text are told apart.
     """
-    spark = docs.sparkSession
-    items = windows_of(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", "text").alias("item_key"), "text").dropDuplicates(["item_id", "item_key"]), ["item_id", "item_key"], "text")
-    seen = [r[0] for r in items.select(F.col("h").bitwiseAND(2**BITS - 1).cast("int").alias("b")).distinct().collect()]  # at most 2**BITS numbers
-    packed = np.zeros(2**BITS, bool)
-    packed[seen] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(packed, bitorder="little"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    item, text = F.col("item_id").cast("long"), F.col("text").cast("string")
+    items = stored(windows_of(benchmark.select(item.alias("item_id"), K.row_hash(item, text).alias("item_key"), text.alias("text")).dropDuplicates(["item_id", "item_key"]), ["item_id", "item_key"], "text"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text")
     found = windows_of(rows, ["doc_id", "row_key"], "text", bitmap).drop("exact").withColumnsRenamed({"pos": "dpos", "slots": "dslots"})
     sized = items.groupBy("item_id", "item_key").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("exact")).alias("n_template"), (F.max("pos") + WIDTH).alias("n_words"))
     pairs = found.join(items, "h").filter(F.size("slots") == F.size("dslots"))
@@ -166,4 +196,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones, all columns as they were."""
     bad = matches(docs, benchmark).select("row_key").distinct()
-    return docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return K.keyed(docs, row_key=_row_key()).join(bad, "row_key", "left_anti").select("row.*")

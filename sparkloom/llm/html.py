@@ -1,8 +1,8 @@
 """Main-text extraction from HTML by two-pass block rules.
 
-Pass one looks at each block alone: where it stands (menus, footers, forms, adverts, comments ... are out), its link
-density, its length and its stop-word density make it good, bad or undecided. Pass two gives each short undecided block
-the label of the nearest decided block, in its own container first. Markup may be broken: unclosed elements, stray end
+Pass one looks at each block alone: its link density, its length and its stop-word density make it good, bad or
+undecided, with its place as a prior (marked menus, footers, forms, adverts, comments ... are out). Pass two gives each
+undecided block the label of the nearest decided block, in its own container first. Markup may be broken: unclosed elements, stray end
 tags and missing ends are tolerated, and each tag costs constant time.
 
 A null page counts as empty. A page without main text gives an empty string. Repeated rows give the same text each;
@@ -38,7 +38,8 @@ BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail footer foot header masthead topbar toolbar "
     "cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations widget widgets pagination pager skip copyright legal tags".split()
 )
-_TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>|<[!?][^>]*>", re.S)
+# quotes only open after an equals sign, values may have any length, and an attempt never goes beyond the next "<" outside of quotes
+_TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _NAME = re.compile(r"[a-z]+")
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -54,7 +55,7 @@ class Block:
     heading: bool
 
 
-def _end(page: str, lower: str, tag: str, at: int) -> int:
+def _end(page: str, tag: str, at: int) -> int:
     """Where the content of a raw element that begins at ``at`` ends, its end tag included."""
     m = re.compile(rf"</{tag}\s*>|</{tag}(?=[\s/])[^>]*>", re.I).search(page, at)
     return m.end() if m else len(page)
@@ -125,7 +126,7 @@ def blocks(page: str) -> list[Block]:
         tag = m[3].lower()
         if tag in RAW:
             if not m[2] and not m[4].endswith("/"):
-                at = _end(page, "", tag, at)
+                at = _end(page, tag, at)
             continue
         if tag == "a":
             in_link = not m[2]
@@ -166,29 +167,35 @@ def blocks(page: str) -> list[Block]:
 def stop_density(text: str) -> float:
     """Share of words that are stop words, marks around them aside."""
     found = text.lower().split()
-    return sum(_EDGE.sub("", w) in STOP_WORDS for w in found) / max(1, len(found))
+    return sum(w in STOP_WORDS or _EDGE.sub("", w) in STOP_WORDS for w in found) / max(1, len(found))
 
 
-def main_text(page: str | None, short: int = 70, long: int = 200, low: float = 0.05, high: float = 0.2, links: float = 0.34) -> str:
+def main_text(page: str | None, short: int = 70, long: int = 200, low: float = 0.05, high: float = 0.2, links: float = 0.34, linked_prose: float = 0.8) -> str:
     """The article's blocks, joined by line feeds.
 
     ``short``/``long``: lengths below which a block is undecided and from which its stop words must only pass ``low``;
-    ``links``: link density from which a block is bad.
+    ``links``: link density from which a block is bad, unless its place is good, its stop words pass ``high`` and at most
+    ``linked_prose`` of it is linked. Place is a prior: inside an article ``low`` is enough for any length, and a block
+    without stop words is undecided there, not bad; text beside an article is bad only if the article has a good block.
     """
     found = blocks(page or "")
-    article = any(b.inside for b in found)
     label: list[bool | None] = []
     for b in found:  # pass one
         n = len(b.text)
-        if b.bad or (article and not b.inside) or b.linked > links * n:
+        density = 0.0 if b.bad or n < short and b.linked <= links * n else stop_density(b.text)
+        if b.bad:
             label.append(False)
+        elif b.linked > links * n:
+            label.append(b.inside and density >= high and b.linked <= linked_prose * n)
         elif n < short:
             label.append(None)
-        elif b.inside:  # its place speaks for it, whatever its words
+        elif density >= high or density >= low and (n >= long or b.inside):
             label.append(True)
         else:
-            density = stop_density(b.text)
-            label.append(True if density >= high or n >= long and density >= low else None if density >= low else False)
+            label.append(None if density >= low or b.inside else False)
+    article = any(b.inside and x for b, x in zip(found, label, strict=True)) or any(b.inside for b in found) and not any(label)
+    if article:
+        label = [x if b.inside else False for b, x in zip(found, label, strict=True)]
     decided = [i for i, x in enumerate(label) if x is not None]
     out = []
     k = 0

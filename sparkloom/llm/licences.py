@@ -1,12 +1,18 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over distinct word bigrams.
 
-A unit is a line of a document (numbered from 1) or, where a document has several, its whole text (0). Two prunings
-come before any comparison, and neither can lose a match: a coefficient of ``t`` needs bigram counts within
+A text is cut into segments at line feeds and after marks that end a sentence; segments without words do not count, and
+are numbered from 1. A unit is a run of consecutive segments of at most as many words as the largest template's size
+bound allows, that begins and ends with segments that hold a bigram of some template. So a notice is found on a line of
+its own, inside a line, or wrapped over lines, in a text of any length. Of units that overlap the best one counts: the
+highest coefficient, then the first, then the shortest; of templates with equal coefficients the one listed first.
+
+Two prunings come before any comparison, and neither can lose a match: a coefficient of ``t`` needs bigram counts within
 ``t / (2 - t)`` of each other; and since that many shared bigrams are needed, a unit must hold at least one of a few
-anchor words of each template, chosen so that the bigrams without any of them are too few.
+anchor words of each template, chosen so that the bigrams without any of them are too few. The anchors are looked for in
+the raw text first, so that most texts are never cut into words.
 
-Everything is a DataFrame expression. Null and empty texts match nothing; repeated rows give their matches each; of
-equal coefficients the template listed first wins; extra columns are ignored.
+Everything is a DataFrame expression. Null and empty texts match nothing; repeated rows give their matches each; extra
+columns, of any name, are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,6 +41,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -75,41 +84,95 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), _GAP, " ")), " ")
 
 
+def _bigrams(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def longest_unit(templates: list[tuple[str, str]], least: float) -> int:
+    """Words of the longest unit: one more than the largest size bound of bigrams."""
+    return max(math.floor(len(bigrams_of(t)) * (2 - least) / least + 1e-9) for _, t in templates) + 1
+
+
+#: Where a segment ends besides line feeds: after these marks, before blanks.
+_STOP = r"([.!?:;])[ \t\r\f]+"
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, unit, licence, dice`` of each unit whose best template reaches ``least``. A narrow map: no shuffle."""
+    """``doc_id, unit, last, licence, dice`` of each unit that counts and whose best template reaches ``least``; ``unit`` and ``last`` are its first and last segment. A narrow map: no shuffle."""
     templates = templates or TEMPLATES
     sets = [bigrams_of(t) for _, t in templates]
     low = min(math.ceil(len(b) * least / (2 - least) - 1e-9) for b in sets)
+    most = longest_unit(templates, least)
+    some = anchors(templates, least)
+    known = F.array(*[F.lit(x) for x in sorted({x for b in sets for x in b})])
+
+    def best(b: Column) -> Column:
+        scores = []
+        for i, ((name, _), own) in enumerate(zip(templates, sets, strict=True)):
+            near = F.size(b).between(math.ceil(len(own) * least / (2 - least) - 1e-9), math.floor(len(own) * (2 - least) / least + 1e-9))
+            dice = 2 * F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in own]))) / (F.size(b) + len(own))
+            scores.append(F.struct(F.when(near, dice).otherwise(0.0).alias("dice"), F.lit(-i).alias("i"), F.lit(name).alias("licence")))
+        return F.greatest(*scores)
+
     body = F.col(f"`{text}`").cast("string")
-    lines = F.split(body, "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("unit"), x.alias("t")))
-    units = F.when(F.size(lines) > 1, F.concat(F.array(F.struct(F.lit(0).alias("unit"), body.alias("t"))), numbered)).otherwise(numbered)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.explode(units).alias("u"))
-    rows = rows.select("doc_id", F.col("u.unit").alias("unit"), _words(F.col("u.t")).alias("w"))
-    rows = rows.filter((F.size("w") > low) & F.arrays_overlap("w", F.array(*[F.lit(a) for a in anchors(templates, least)])))
-    rows = rows.withColumn("b", F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
-    rows = rows.withColumn("n", F.size("b"))
-    scores = []
-    for i, ((name, _), b) in enumerate(zip(templates, sets, strict=True)):
-        near = F.col("n").between(math.ceil(len(b) * least / (2 - least) - 1e-9), math.floor(len(b) * (2 - least) / least + 1e-9))
-        dice = 2 * F.size(F.array_intersect("b", F.array(*[F.lit(x) for x in b]))) / (F.col("n") + len(b))
-        scores.append(F.struct(F.when(near, dice).otherwise(0.0).alias("dice"), F.lit(-i).alias("i"), F.lit(name).alias("licence")))
-    return rows.withColumn("best", F.greatest(*scores)).filter(F.col("best.dice") >= least).select("doc_id", "unit", F.col("best.licence").alias("licence"), F.round("best.dice", 6).alias("dice"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), body.alias("t")).filter(F.lower("t").rlike("|".join(some)))
+    segments = F.filter(F.transform(F.split(F.regexp_replace("t", _STOP, "$1\n"), "\n", -1), _words), lambda w: w[0] != "")
+    # a bigram across two segments belongs to both
+    rows = rows.select("doc_id", segments.alias("s"))
+    ends = F.transform("s", lambda w, i: F.struct(w.alias("w"), F.arrays_overlap(_bigrams(F.concat(F.when(i > 0, F.slice(F.get(F.col("s"), i - 1), -1, 1)).otherwise(F.array().cast("array<string>")), w, F.slice(F.coalesce(F.get(F.col("s"), i + 1), F.array().cast("array<string>")), 1, 1))), known).alias("known"), F.arrays_overlap(w, F.array(*[F.lit(x) for x in some])).alias("anchor")))
+    rows = rows.select("doc_id", ends.alias("s"))
+    kind = "array<struct<dice:double,i:int,licence:string,unit:int,last:int>>"
+
+    def units(i: Column) -> Column:
+        """The units from segment ``i`` on that reach ``least``."""
+        empty = F.struct(F.array().cast("array<string>").alias("w"), i.alias("at"), F.lit(False).alias("anchor"), F.lit(True).alias("open"), F.array().cast(kind).alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            def grown(w: Column) -> Column:
+                fits = F.size(w) <= most
+                anchor = s["anchor"] | x["anchor"]
+                found = _let(F.array_distinct(_bigrams(w)), lambda b: F.when(F.size(b) >= low, _let(best(b), lambda m: F.when(m["dice"] >= least, F.array(F.struct(m["dice"].alias("dice"), m["i"].alias("i"), m["licence"].alias("licence"), (i + 1).alias("unit"), (s["at"] + 1).alias("last")))))))
+                out = F.when(fits & anchor & x["known"], F.concat(s["out"], F.coalesce(found, F.array().cast(kind)))).otherwise(s["out"])
+                return F.struct(F.when(fits, w).otherwise(s["w"]).alias("w"), (s["at"] + 1).alias("at"), anchor.alias("anchor"), fits.alias("open"), out.alias("out"))
+
+            return F.when(s["open"], _let(F.concat(s["w"], x["w"]), grown)).otherwise(s)
+
+        return F.aggregate(F.slice("s", i + 1, most), empty, step, lambda s: s["out"])
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get(F.col("s"), i)["known"] & F.exists(F.slice("s", i + 1, most), lambda x: x["anchor"]))
+    rows = rows.filter(F.size("s") > 0).select("doc_id", F.flatten(F.transform(starts, units)).alias("m"))
+    over = lambda x, y: (y["unit"] <= x["last"]) & (y["last"] >= x["unit"])
+    better = lambda x, y: (y["dice"] > x["dice"]) | (y["dice"] == x["dice"]) & ((y["unit"] < x["unit"]) | (y["unit"] == x["unit"]) & (y["last"] < x["last"]))
+    kept = F.filter("m", lambda x: ~F.exists(F.col("m"), lambda y: over(x, y) & better(x, y)))
+    return rows.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.unit", "x.last", "x.licence", F.round("x.dice", 6).alias("dice"))
 
 
 def oracle_sql(templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> str:
-    """The same by DuckDB, each unit against each template without any pruning."""
+    """The same by DuckDB: each unit against each template within the size bounds, without anchors. Texts that share no bigram with any template are left out."""
     templates = templates or TEMPLATES
     lit = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({i}, {lit(n)}, [{', '.join(lit(b) for b in bigrams_of(t))}])" for i, (n, t) in enumerate(templates))
+    sets = [bigrams_of(t) for _, t in templates]
+    known = ", ".join(f"({i}, {lit(n)}, [{', '.join(lit(x) for x in b)}])" for i, ((n, _), b) in enumerate(zip(templates, sets, strict=True)))
+    every = ", ".join(lit(x) for x in sorted({x for b in sets for x in b}))
+    pairs = lambda w: f"[{w}[k] || ' ' || {w}[k + 1] FOR k IN range(1, len({w}))]"
     return f"""
 WITH known(i, licence, tb) AS (VALUES {known}),
-lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-units AS (
-  SELECT doc_id, CAST(0 AS INTEGER) AS unit, text AS t FROM lines WHERE len(ls) > 1
-  UNION ALL SELECT doc_id, CAST(unnest(generate_series(1, len(ls))) AS INTEGER), unnest(ls) FROM lines),
-worded AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
-paired AS (SELECT doc_id, unit, list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) AS b FROM worded WHERE len(w) > 1),
-scored AS (SELECT doc_id, unit, licence, i, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM paired, known WHERE len(b) BETWEEN 1 AND 400),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, i) AS k FROM scored WHERE dice >= {least})
-SELECT doc_id, unit, licence, round(dice, 6) AS dice FROM best WHERE k = 1"""
+cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '([.!?:;])[ \\t\\r\\f]+', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT r, doc_id, list_filter(list_transform(ls, lambda x: string_split(trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda w: w[1] <> '') AS s FROM cut),
+held AS (SELECT r, doc_id, s, flatten(s) AS w FROM worded WHERE len(s) > 0),
+sharing AS (SELECT r, doc_id, s FROM held WHERE list_has_any({pairs('w')}, [{every}])),
+parts AS (SELECT r, doc_id, CAST(unnest(generate_series(1, len(s))) AS INTEGER) AS at, s FROM sharing),
+near AS (SELECT r, doc_id, at, s, list_concat(CASE WHEN at > 1 THEN [s[at - 1][-1]] ELSE [] END, s[at], CASE WHEN at < len(s) THEN [s[at + 1][1]] ELSE [] END) AS x FROM parts),
+flagged AS (SELECT r, doc_id, at, s[at] AS w, sum(len(s[at])) OVER (PARTITION BY r ORDER BY at) AS upto, list_has_any({pairs('x')}, [{every}]) AS known FROM near),
+units AS (SELECT a.r, a.doc_id, a.at AS unit, z.at AS last FROM flagged a JOIN flagged z ON z.r = a.r AND z.at >= a.at AND z.upto - a.upto + len(a.w) <= {longest_unit(templates, least)} WHERE a.known AND z.known),
+whole AS (SELECT u.r, u.doc_id, unit, last, flatten(h.s[unit:last]) AS w FROM units u JOIN sharing h ON h.r = u.r),
+paired AS (SELECT r, doc_id, unit, last, list_distinct({pairs('w')}) AS b FROM whole WHERE len(w) > 1),
+scored AS (SELECT r, doc_id, unit, last, licence, i, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM paired, known WHERE len(b) <= len(tb) * {2 - least} / {least} + 0.000001 AND len(tb) <= len(b) * {2 - least} / {least} + 0.000001),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, unit, last ORDER BY dice DESC, i) AS k FROM scored WHERE dice >= {least}),
+m AS (SELECT * FROM best WHERE k = 1)
+SELECT doc_id, unit, last, licence, round(dice, 6) AS dice FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.r = x.r AND y.unit <= x.last AND y.last >= x.unit AND (y.dice > x.dice OR y.dice = x.dice AND (y.unit < x.unit OR y.unit = x.unit AND y.last < x.last)))"""

@@ -229,10 +229,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest ``doc_id``; all columns as they were."""
     labels = node_classes(docs)
-    keyed = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    ids = keyed.select("_node", "doc_id").join(labels.withColumnRenamed("id", "_node"), "_node", "left")
-    best = ids.groupBy(F.coalesce("component", "_node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), F.col("doc_id"), F.col("_node"))).alias("k"))
-    kept = best.select(F.col("k._node").alias("_node"), F.col("k.doc_id").alias("_kept"))
+    node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    ids = docs.select(node.alias("id"), F.col("doc_id").cast("long").alias("doc_id")).join(labels, "id", "left")
+    best = ids.groupBy(F.coalesce("component", "id").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("id"))).alias("k"))
+    kept = best.select(F.col("k.id").alias("node"), F.col("k.doc_id").alias("kept"))
     # each class keeps one text, so the text alone finds the rows; of rows that are equal one stays
-    chosen = keyed.join(kept, "_node").filter(F.col("doc_id").eqNullSafe(F.col("_kept"))).dropDuplicates(["_node"])
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = K.keyed(docs, node=node, doc_id=F.col("doc_id").cast("long")).join(kept, "node").filter(F.col("doc_id").eqNullSafe(F.col("kept"))).dropDuplicates(["node"])
+    return chosen.select("row.*")

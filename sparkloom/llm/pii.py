@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import kernel as K
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
 
@@ -123,12 +125,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by ``[KIND]`` and ``n_chars`` brought up to date; a null text stays null."""
-    found = find(docs, into="_pii")
-    out = F.when(F.size("_pii") > 0, redacted(F.col("text"), F.col("_pii"))).otherwise(F.col("text"))
-    changed = found.withColumn("text", out)
+    row = K.keyed(docs, body=F.col("text").cast("string"))
+    found = find(row, text="body", into="pii")
+    some = F.size("pii") > 0
+    new = {"text": redacted(F.col("body"), F.col("pii"))}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[F.when(some, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
