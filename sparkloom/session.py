@@ -55,6 +55,25 @@ def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     return out
 
 
+def stored_parts(df: DataFrame, part: str, n: int, order: str) -> list[DataFrame]:
+    """``df`` computed now into ``n`` tables, by the number from 0 in its column ``part`` (which goes), sorted by ``order`` within each file; each can be dropped by itself."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
+    with shuffles_deleted(spark):
+        df.sortWithinPartitions(part, order).write.option("compression", "zstd").partitionBy(part).parquet(path)
+    schema = df.drop(part).schema
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    out = []
+    for i in range(n):
+        own = hadoop.Path(f"{path}/{part}={i}")
+        there = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
+        x = spark.read.schema(schema).parquet(str(own)) if there else spark.createDataFrame([], schema)
+        if there:
+            x._stored_at = str(own)
+        out.append(x)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and cut its lineage: a stored table."""
     return stored(df)
