@@ -35,7 +35,7 @@ document everything is kept. Extra columns, of any name, are left alone. An empt
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +43,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
-from sparkloom.session import dropped, shuffles_deleted, stored
+from sparkloom.session import dropped, shuffles_deleted, stored, stored_parts
 
 BITS = 21
 MASK, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: Codes of known words are 1 to KNOWN; the codes above it but for the last are for hashed words; the last is the end mark.
 KNOWN, END = 1 << (BITS - 1), (1 << BITS) - 1
 #: Words whose distinct keys a task merges before it passes them on; n-grams in a block of postings; bytes of text a shard serves.
-MERGED, BLOCK, BYTES_A_SHARD = 2_000_000, 1_000_000, 32 << 20
+MERGED, BLOCK, BYTES_A_SHARD = 2_000_000, 600_000, 32 << 20
 #: Common n-grams: looked for in a sample of about so many documents, in one of HUNDREDTH of which they are; at most COMMON.
 SAMPLE, HUNDREDTH, COMMON = 4_000, 100, 200_000
 #: Parts of the keys that the model's joins take one by one; times that scoring reads the documents.
-PARTS, PASSES = 4, 2
+PARTS, PASSES = 4, 3
 #: Threshold: the one of these quantiles of the held-out trusted documents that parts them best from the held-out bad ones.
 QUANTILES = [0.9, 0.95, 0.98, 0.99, 0.995]
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
@@ -79,20 +79,42 @@ def hashed(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.nda
     return h, again, sizes
 
 
-def codes(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Codes of word hashes; ``known`` are the sorted hashes that have one of their own."""
-    out = (h % np.uint64(KNOWN - 3)).astype(np.int64) + KNOWN + 1
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        out[hit] = at[hit] + 1
-    return out
+class Places:
+    """Where hashes stand in a sorted array of hashes: their first 20 bits lead to the few that share them."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.begin = np.searchsorted(known, np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44)) if len(known) else None
+        if len(known):
+            self.begin[-1] = len(known)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it is not there."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.known) or not len(h):
+            return out
+        top = (h >> np.uint64(44)).astype(np.int64)
+        at, end = self.begin[top], self.begin[top + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.known[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def codes(h: np.ndarray, known: Places) -> np.ndarray:
+    """Codes of word hashes; ``known`` are the hashes that have one of their own."""
+    at = known(h)
+    return np.where(at >= 0, at + 1, (h % np.uint64(KNOWN - 3)).astype(np.int64) + KNOWN + 1)
 
 
 class Tokens:
     """The tokens of a run of texts, end marks included: for each its text, the codes before it, its own and the predicted one, and whether it repeats."""
 
-    def __init__(self, texts: pa.Array, langs: list[str | None], known: np.ndarray):
+    def __init__(self, texts: pa.Array, langs: list[str | None], known: Places):
         h, again, sizes = hashed(texts, langs)
         have = sizes > 0
         self.words = sizes
@@ -126,23 +148,30 @@ class Tokens:
         return np.bincount(self.text, weights=value, minlength=n)
 
 
-def _packed(a: np.ndarray) -> bytes:
-    """An integer array as compressed differences, byte by byte of all of them; sorted runs take few bytes."""
-    return zlib.compress(np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)).astype(a.dtype).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes(), 1)
+def _planes(a: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of all of them; bytes that are 0 in all are left out."""
+    n = a.dtype.itemsize
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, n).T)
+    there = planes.any(axis=1)
+    return bytes([n]) + np.packbits(there).tobytes() + len(a).to_bytes(8, "little") + zlib.compress(planes[there].tobytes(), 1)
 
 
-def _unpacked(raw: pa.Buffer, dtype: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
+def _unplaned(raw: pa.Buffer) -> np.ndarray:
+    raw = memoryview(raw)
+    n, size = raw[0], int.from_bytes(raw[2:10], "little")
+    planes = np.zeros((n, size), np.uint8)
+    planes[np.unpackbits(np.frombuffer(raw[1:2], np.uint8))[:n].astype(bool)] = np.frombuffer(zlib.decompress(raw[10:]), np.uint8).reshape(-1, size)
+    return np.ascontiguousarray(planes.T).view(np.int64 if n == 8 else np.int32).ravel()
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Small whole numbers in any order, byte by byte of all of them."""
-    return zlib.compress(np.ascontiguousarray(a.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def _packed(a: np.ndarray) -> bytes:
+    """An ascending array as its differences; long runs take few bytes."""
+    return _planes(np.diff(a, prepend=a.dtype.type(0)))
 
 
-def _unplaned(raw: pa.Buffer) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    a = _unplaned(raw)
+    return np.cumsum(a, dtype=a.dtype)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,11 +232,24 @@ def known_words(docs: DataFrame) -> np.ndarray:
     return np.sort(top.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+_places_of: dict[int, Places] = {}
+
+
+def _known(known) -> Places:
+    """The lookup of a broadcast of known words, made once in a process."""
+    if known is None:
+        return Places(np.zeros(0, np.uint64))
+    found = _places_of.get(0)
+    if found is None or found.known is not known.value:
+        found = _places_of[0] = Places(known.value)
+    return found
+
+
 def trigram_counts(docs: DataFrame, known=None) -> DataFrame:
     """``key, c`` over all tokens of ``docs`` (``lang, text``). ``known``: a broadcast of :func:`known_words`."""
 
     def keys(texts: pa.Array, langs: list[str | None]) -> np.ndarray:
-        return Tokens(texts, langs, known.value if known else np.zeros(0, np.uint64)).triple
+        return Tokens(texts, langs, _known(known)).triple
 
     return _counted(docs, keys).select("key", F.col("n").alias("c"))
 
@@ -239,10 +281,13 @@ class KneserNey:
 
     def __init__(self, counts: DataFrame, shards: int, scratch: list[str]):
         spark = counts.sparkSession
-        tri = stored(counts, scratch)
-        bi = stored(tri.groupBy(F.col("key").bitwiseAND(PAIR).alias("key2")).agg(F.count(F.lit(1)).alias("c2")), scratch)
+        key2 = F.col("key").bitwiseAND(PAIR)
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("part")
+        tri = stored_parts(counts.select("key", F.col("c").cast("int").alias("c"), part(key2)), "part", PARTS, "key")
+        bis = [stored(x.groupBy(key2.alias("key2")).agg(F.count(F.lit(1)).cast("int").alias("c2")).sortWithinPartitions("key2")) for x in tri]
+        bi, every = _all(bis), _all(tri)
         seen = lambda c: [F.sum((F.col(c) == k).cast("long")) for k in (1, 2, 3, 4)]
-        d3, d2 = (_discounts(t.agg(*seen(c)).first()) for t, c in ((tri, "c"), (bi, "c2")))
+        d3, d2 = (_discounts(t.agg(*seen(c)).first()) for t, c in ((every, "c"), (bi, "c2")))
         (c1,) = _by_code(bi.groupBy(F.col("key2").bitwiseAND(MASK).alias("w")).agg(F.count(F.lit(1)).alias("c1")))
         off = lambda c, d: F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
         t2, left2 = _by_code(bi.groupBy(F.shiftright("key2", BITS).alias("v")).agg(F.sum("c2").alias("t2"), F.sum(off(F.col("c2"), d2)).alias("left")))
@@ -265,29 +310,31 @@ class KneserNey:
                 p = (c - np.where(c == 1, d2[0], np.where(c == 2, d2[1], d2[2]))) / t2[v] + g2[v] * p1[w]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.rint(np.log(p) * 1000).astype(np.int16)), pa.array(np.log(p / (g2[v] * p1[w])).astype(np.float32))], names=["key2", "lp2", "w2"])
 
-        pairs = bi.mapInArrow(paired, "key2 long, lp2 short, w2 float")
         mark = F.lit(-(1 << 63))
-        part = lambda c, i: F.pmod(F.xxhash64(c), F.lit(PARTS)) == i
-        whole = tri.withColumn("key2", F.col("key").bitwiseAND(PAIR))
-        joined = [stored(whole.filter(part("key2", i)).join(pairs.filter(part("key2", i)).select("key2", "lp2"), "key2").select("key", F.col("c").cast("int").alias("c"), "lp2").sortWithinPartitions("key")) for i in range(PARTS)]
-        dropped(spark, [tri])
-        both = joined[0]
-        for x in joined[1:]:
-            both = both.union(x)
-        both = both.withColumn("ctx", F.shiftright("key", BITS))
-        packed = [stored(packed_weights(pairs.select(F.col("key2").bitwiseOR(mark).alias("key"), F.col("w2").alias("weight")), shards), scratch)]
-        dropped(spark, [bi])
-        for i in range(PARTS):
-            some = both.filter(part("ctx", i))
+        packed, joined = [], []
+        for x, y in zip(tri, bis, strict=True):
+            pairs = stored(y.mapInArrow(paired, "key2 long, lp2 short, w2 float"))
+            dropped(spark, [y])
+            packed.append(stored(packed_weights(pairs.select(F.col("key2").bitwiseOR(mark).alias("key"), F.col("w2").alias("weight")), shards), scratch))
+            both = x.withColumn("key2", key2).join(pairs.select("key2", "lp2"), "key2").select("key", "c", "lp2", part(F.shiftright("key", BITS)))
+            joined.append(stored_parts(both, "part", PARTS, "key"))
+            dropped(spark, [x, pairs])
+        for parts in zip(*joined, strict=True):
+            some = _all(parts).withColumn("ctx", F.shiftright("key", BITS))
             after = some.groupBy("ctx").agg(F.sum("c").alias("t3"), (F.sum(off(F.col("c"), d3)) / F.sum("c")).alias("g3"))
             lower = F.col("g3") * F.exp(F.col("lp2") / 1000)
             triples = some.join(after, "ctx").select("key", F.ln(((F.col("c") - off(F.col("c"), d3)) / F.col("t3") + lower) / lower).cast("float").alias("weight"))
             contexts = after.select(F.col("ctx").bitwiseOR(mark).alias("key"), F.ln("g3").cast("float").alias("weight"))
             packed.append(stored(packed_weights(triples.union(contexts), shards), scratch))
-        dropped(spark, joined)
-        self.table = packed[0]
-        for x in packed[1:]:
-            self.table = self.table.union(x)
+            dropped(spark, list(parts))
+        self.table = _all(packed)
+
+
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def _places(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,59 +386,59 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(x[a]), int(a), int(b)
 
 
-def _posted(k: np.ndarray, d: np.ndarray, block: int, shards: int, turn: int = -1) -> Iterator[pa.RecordBatch]:
-    """Postings (kind 1) of a block: by shard the distinct keys' places, how many documents have each, and, place by place, which and how many times; only for the shards of one pass, if ``turn`` names it."""
-    shard, place = _places(k, shards)
-    if turn >= 0:
-        own = np.flatnonzero(shard % PASSES == turn)
-        shard, place, d = shard[own], place[own], d[own]
+def _posted(shard: np.ndarray, place: np.ndarray, d: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """Postings (kind 1) of a block: by shard the distinct places, how many documents have each, and, place by place, which and how many times. ``d`` ascends among equal places."""
     if not len(shard):
         return
-    order = np.lexsort((d, place, shard))
-    shard, place, d = shard[order], place[order], d[order]
-    new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (place[1:] != place[:-1]) | (d[1:] != d[:-1])])
+    one = shard.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
+    order = np.argsort(one, kind="stable")
+    one, d = one[order], d[order]
+    new = np.concatenate([[True], (one[1:] != one[:-1]) | (d[1:] != d[:-1])])
     begin = np.flatnonzero(new)
-    shard, place, d, times = shard[begin], place[begin], d[begin], np.diff(np.append(begin, len(new)))
-    for s, a, b in _runs(shard):
-        ps, ds = place[a:b], d[a:b]
+    one, d, times = one[begin], d[begin].astype(np.int32), np.diff(np.append(begin, len(new))).astype(np.int32)
+    place = (one & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    for s, a, b in _runs((one >> np.uint64(32)).astype(np.int64)):
+        ps = place[a:b]
         first = np.flatnonzero(np.concatenate([[True], ps[1:] != ps[:-1]]))
-        yield _row(s, 1, block, _packed(ps[first]), _planes(np.diff(np.append(first, len(ps)))), _planes(ds), _planes(times[a:b]))
+        yield _row(s, 1, block, _packed(ps[first]), _planes(np.diff(np.append(first, len(ps))).astype(np.int32)), _planes(d[a:b]), _planes(times[a:b]))
 
 
 def postings(docs: DataFrame, shards: int, known, words, common, turn: int) -> DataFrame:
-    """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams; sums so far are those of words and common n-grams in the first pass, 0 in others."""
+    """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams; sums so far are those of common n-grams of the pass's shards and, in the first pass, of words."""
 
     def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         names = np.concatenate([h[2] for h in held])
         base = np.cumsum([0, *[len(h[2]) for h in held[:-1]]])
         number = int(K.mix(np.array([len(names)], np.uint64) ^ K.mix(names.view(np.uint64)).sum(dtype=np.uint64)).view(np.int64)[0])
-        k, d = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + b for h, b in zip(held, base, strict=True)])
+        shard, place = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        d = np.concatenate([h[5] + b for h, b in zip(held, base, strict=True)])
         sums, n = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
         yield _row(int(np.uint64(number & 0xFFFFFF)) % shards, 2, number, names.tobytes(), n.astype(np.int64).tobytes(), sums.tobytes())
-        yield from _posted(k, d, number, shards, turn)
+        yield from _posted(shard, place, d, number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predicted, context, begins, ends = words.value
-        often, worth = common.value
+        often, worth = Places(common.value[0]), common.value[1]
         held: list[tuple] = []
         size = 0
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for a, b, part in K.chunks(batch.column(2)):
-                t = Tokens(part, langs[a:b], known.value)
+                t = Tokens(part, langs[a:b], _known(known))
                 k, d = t.grams()
-                sums = t.by_word(predicted, context, b - a)
+                sums = t.by_word(predicted, context, b - a) if turn == 0 else np.zeros(b - a)
                 # words that the model lacks are in none of its pairs
                 code = (k & np.uint64(PAIR)).astype(np.int64)
-                may = ends[code & MASK] & begins[code >> BITS] | (code & MASK == 0)
+                may = np.flatnonzero(ends[code & MASK] & begins[code >> BITS] | (code & MASK == 0))
                 k, d = k[may], d[may]
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, k), len(often) - 1)
-                    hit = often[at] == k
-                    sums += np.bincount(d[hit], weights=worth[at[hit]], minlength=b - a)
-                    k, d = k[~hit], d[~hit]
-                held.append((k, d, batch.column(0).slice(a, b - a).to_numpy(), sums if turn == 0 else np.zeros(b - a), t.words))
-                size += len(k)
+                shard, place = _places(k, shards)
+                own = np.flatnonzero(shard % PASSES == turn)
+                k, d, shard, place = k[own], d[own], shard[own], place[own]
+                at = often(k)
+                hit = at >= 0
+                sums += np.bincount(d[hit], weights=worth[at[hit]], minlength=b - a)
+                held.append((shard[~hit], place[~hit], batch.column(0).slice(a, b - a).to_numpy(), sums, t.words, d[~hit]))
+                size += len(held[-1][0])
                 if size > BLOCK:
                     yield from block(held)
                     held, size = [], 0
@@ -404,7 +451,7 @@ def postings(docs: DataFrame, shards: int, known, words, common, turn: int) -> D
 def _shard_sums(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
     """Of each block of a shard, the documents that the model's n-grams are in and their weights' sums; rows of kind 2 as they are."""
     blob = lambda t, c, i: t.column(c)[i].as_buffer()
-    k = np.concatenate([_unpacked(blob(model, "keys", i), np.int64) for i in range(model.num_rows)] or [np.zeros(0, np.int64)])
+    k = np.concatenate([_unpacked(blob(model, "keys", i)) for i in range(model.num_rows)] or [np.zeros(0, np.int64)])
     x = np.concatenate([np.frombuffer(zlib.decompress(blob(model, "sizes", i)), np.int16) for i in range(model.num_rows)] or [np.zeros(0, np.int16)])
     k, x = _merged([(k, x.astype(np.int32))])
     out: list[tuple[int, int, bytes, bytes, bytes]] = []
@@ -413,7 +460,7 @@ def _shard_sums(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
         if blocks.column("kind")[i].as_py() == 2:
             out.append((number, 2, *[bytes(blob(blocks, c, i)) for c in ("keys", "sizes", "at")]))
             continue
-        own, (sizes, at, times) = _unpacked(blob(blocks, "keys", i), np.int64), (_unplaned(blob(blocks, c, i)) for c in ("sizes", "at", "times"))
+        own, (sizes, at, times) = _unpacked(blob(blocks, "keys", i)), (_unplaned(blob(blocks, c, i)) for c in ("sizes", "at", "times"))
         if not len(k):
             continue
         found = np.minimum(np.searchsorted(k, own), len(k) - 1)
@@ -421,7 +468,7 @@ def _shard_sums(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
         hit = np.flatnonzero(value)
         if len(hit):
             some, to = np.unique(at[hit], return_inverse=True)
-            out.append((number, 1, _packed(some.astype(np.int32)), _packed(np.bincount(to, weights=value[hit]).astype(np.int64)), b""))
+            out.append((number, 1, _packed(some.astype(np.int32)), _planes(np.bincount(to, weights=value[hit]).astype(np.int64)), b""))
     cols = list(zip(*out, strict=True)) or [()] * 5
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "kind", "a", "b", "c"])
 
@@ -434,8 +481,8 @@ def _block_sums(rows: pa.Table) -> pa.Table:
     head = [rows.column(c)[i].as_buffer() for c in ("a", "b", "c")]
     names, n, sums = np.frombuffer(head[0], np.int64), np.frombuffer(head[1], np.int64), np.frombuffer(head[2], np.float64).copy()
     for j in np.flatnonzero(kinds == 1).tolist():
-        at = _unpacked(rows.column("a")[j].as_buffer(), np.int32)
-        sums[at] += _unpacked(rows.column("b")[j].as_buffer(), np.int64) / (1000 * copies)
+        at = _unpacked(rows.column("a")[j].as_buffer())
+        sums[at] += _unplaned(rows.column("b")[j].as_buffer()) / (1000 * copies)
     keep = n > 0
     return pa.table({"row_key": names[keep], "n": n[keep], "logp": sums[keep]})
 
@@ -450,7 +497,7 @@ def common_keys(docs: DataFrame, n_docs: int, known) -> DataFrame:
     part = max(1, n_docs // SAMPLE)
 
     def keys(texts: pa.Array, langs: list[str | None]) -> np.ndarray:
-        t = Tokens(texts, langs, known.value)
+        t = Tokens(texts, langs, _known(known))
         k, d = t.grams()
         order = np.lexsort((d, k))
         k, d = k[order], d[order]
@@ -475,7 +522,7 @@ def log_likelihoods(docs: DataFrame, counts: DataFrame, known, scratch: list[str
             k = b.column(0).to_numpy().view(np.uint64)
             number = int(b.column(0)[0].as_py()) if b.num_rows else 0
             yield _row(0, 2, number, k.tobytes(), np.ones(len(k), np.int64).tobytes(), np.zeros(len(k)).tobytes())
-            yield from _posted(k, np.arange(len(k)), number, shards)
+            yield from _posted(*_places(k, shards), np.arange(len(k)), number)
 
     worth = np.zeros(len(often))
     if len(often):

@@ -306,7 +306,8 @@ def test_common_words_and_pairs_are_added_up_where_they_stand(spark):
 def test_words_beyond_the_known_ones_share_codes():
     h = np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     known = np.sort(h[:20])
-    c = quality.codes(h, known)
+    c = quality.codes(h, quality.Places(known))
+    assert (quality.Places(known[:0])(h) == -1).all()
     assert sorted(c[:20].tolist()) == list(range(1, 21)) and (c[20:] > quality.KNOWN).all() and (c < quality.END).all()
 
 
