@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,17 +121,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
         return F.greatest(*scores)
 
     body = F.col(f"`{text}`").cast("string")
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), body.alias("t")).filter(F.lower("t").rlike("|".join(some)))
+    # an anchor that holds another one need not be looked for
+    least_of = [x for x in some if not any(y != x and y in x for y in some)]
+    hit = _let(F.lower("t"), lambda low: reduce(lambda a, b: a | b, [low.contains(x) for x in least_of]))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), body.alias("t")).filter(hit)
+    # one expression, in which each step is bound once: columns of their own would be worked out again wherever they are used
     segments = F.filter(F.transform(F.split(F.regexp_replace("t", _STOP, "$1\n"), "\n", -1), _words), lambda w: w[0] != "")
-    # a bigram across two segments belongs to both
-    rows = rows.select("doc_id", segments.alias("s"))
-    ends = F.transform("s", lambda w, i: F.struct(w.alias("w"), F.arrays_overlap(_bigrams(F.concat(F.when(i > 0, F.slice(F.get(F.col("s"), i - 1), -1, 1)).otherwise(F.array().cast("array<string>")), w, F.slice(F.coalesce(F.get(F.col("s"), i + 1), F.array().cast("array<string>")), 1, 1))), known).alias("known"), F.arrays_overlap(w, F.array(*[F.lit(x) for x in some])).alias("anchor")))
-    rows = rows.select("doc_id", ends.alias("s"))
+    none = F.array().cast("array<string>")
     kind = "array<struct<dice:double,i:int,licence:string,unit:int,last:int>>"
 
-    def units(i: Column) -> Column:
-        """The units from segment ``i`` on that reach ``least``."""
-        empty = F.struct(F.array().cast("array<string>").alias("w"), i.alias("at"), F.lit(False).alias("anchor"), F.lit(True).alias("open"), F.array().cast(kind).alias("out"))
+    def marked(s: Column) -> Column:
+        """Segments with whether they hold a bigram of a template (one across two segments belongs to both) and an anchor."""
+        around = lambda w, i: F.concat(F.when(i > 0, F.slice(F.get(s, i - 1), -1, 1)).otherwise(none), w, F.slice(F.coalesce(F.get(s, i + 1), none), 1, 1))
+        return F.transform(s, lambda w, i: F.struct(w.alias("w"), F.arrays_overlap(_bigrams(around(w, i)), known).alias("known"), F.arrays_overlap(w, F.array(*[F.lit(x) for x in some])).alias("anchor")))
+
+    def units(i: Column, ahead: Column) -> Column:
+        """The units from segment ``i`` on that reach ``least``; ``ahead`` are the segments from there on."""
+        empty = F.struct(none.alias("w"), i.alias("at"), F.lit(False).alias("anchor"), F.lit(True).alias("open"), F.array().cast(kind).alias("out"))
 
         def step(s: Column, x: Column) -> Column:
             def grown(w: Column) -> Column:
@@ -142,14 +149,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
 
             return F.when(s["open"], _let(F.concat(s["w"], x["w"]), grown)).otherwise(s)
 
-        return F.aggregate(F.slice("s", i + 1, most), empty, step, lambda s: s["out"])
+        return F.aggregate(ahead, empty, step, lambda s: s["out"])
+
+    def matched(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i)["known"])
+        each = F.transform(starts, lambda i: _let(F.slice(s, i + 1, most), lambda ahead: F.when(F.exists(ahead, lambda x: x["anchor"]), units(i, ahead)).otherwise(F.array().cast(kind))))
+        return F.when(F.size(s) > 0, F.flatten(each)).otherwise(F.array().cast(kind))
 
-    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get(F.col("s"), i)["known"] & F.exists(F.slice("s", i + 1, most), lambda x: x["anchor"]))
-    rows = rows.filter(F.size("s") > 0).select("doc_id", F.flatten(F.transform(starts, units)).alias("m"))
     over = lambda x, y: (y["unit"] <= x["last"]) & (y["last"] >= x["unit"])
     better = lambda x, y: (y["dice"] > x["dice"]) | (y["dice"] == x["dice"]) & ((y["unit"] < x["unit"]) | (y["unit"] == x["unit"]) & (y["last"] < x["last"]))
-    kept = F.filter("m", lambda x: ~F.exists(F.col("m"), lambda y: over(x, y) & better(x, y)))
-    return rows.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.unit", "x.last", "x.licence", F.round("x.dice", 6).alias("dice"))
+    kept = _let(_let(_let(segments, marked), matched), lambda m: F.filter(m, lambda x: ~F.exists(m, lambda y: over(x, y) & better(x, y))))
+    # "outer", as the planner would work the array out once more to leave out texts without matches
+    rows = rows.select("doc_id", F.explode_outer(kept).alias("x")).filter("x is not null")
+    return rows.select("doc_id", "x.unit", "x.last", "x.licence", F.round("x.dice", 6).alias("dice"))
 
 
 def oracle_sql(templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> str:
