@@ -1,10 +1,13 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
 Equal vectors are one node of a graph, which carries the few smallest ids of its copies that an answer can need, so
-copies in any number cost nothing. Nodes are dealt to shards of about SHARD_ROWS by the hash of the vector; each shard
-builds its graph on its own, as flat arrays (a fixed number of neighbour places per node and level), and is one row of
-the index table. Queries are dealt to every shard in groups of bounded size; each shard answers with its nearest, the
-distances recomputed in double precision on the original vectors, and the merge keeps the best of all shards.
+copies in any number cost nothing. Nodes are dealt to shards by the hash of the vector, whose size grows with the root
+of the number of rows, from SHARD_ROWS on; each shard builds its graph on its own, as flat arrays (a fixed number of
+neighbour places per node and level), and is one row of the index table. Queries go to every shard as packed blocks of
+bounded bytes; each shard answers with its nearest, the distances recomputed in double precision on the original
+vectors, and the merge keeps the best of all shards. Graphs are walked in single precision; a query or a shard with a
+component beyond LARGE, whose squares single precision cannot hold, is compared row by row in double precision instead
+(distances beyond that precision are infinite, and tie).
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without id. Rows
 that repeat an id count once, with the smallest of their vectors. Vectors are only compared within one dimension. Ties
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.session import stored
 
-#: Nodes of one shard, queries that one search task holds.
-SHARD_ROWS, GROUP = 2_500, 4_096
+#: Nodes of the smallest shards, rows from which shards grow, bytes of queries that one search task holds.
+SHARD_ROWS, GROWING, BLOCK = 2_500, 100_000, 64 << 20
+#: Components up to here are walked in single precision.
+LARGE = 1e15
 #: Neighbours of a node on upper levels (twice as many on the lowest), and the breadth of the search when building and when asking.
 LINKS, BUILD, ASK = 12, 48, 80
 
@@ -163,10 +168,11 @@ def valid(vector: Column) -> Column:
 _INDEX = "shard int, dim int, n int, vectors binary, ids binary, ends binary, levels binary, near array<binary>"
 
 
-def build_index(vectors: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(vectors: DataFrame, k: int = 10, shard_rows: int | None = None) -> DataFrame:
     """The index of ``vec_id, embedding``: a row per shard and dimension, with its vectors, ids and flat neighbour arrays."""
     one = vectors.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
-    shards = max(1, -(-vectors.count() // shard_rows))
+    n = vectors.count()
+    shards = max(1, -(-n // (shard_rows or int(SHARD_ROWS * max(1.0, n / GROWING) ** 0.5))))
     # an answer leaves out at most the query's own id, so k + 1 ids of equal vectors are enough
     first = one.withColumn("_k", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("_k") <= k + 1)
     nodes = first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -177,7 +183,7 @@ def build_index(vectors: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) -
         table = table.sort_by([("first", "ascending")])
         v = np.asarray(table.column("embedding").combine_chunks().flatten()).reshape(-1, dim)
         ids = table.column("ids").combine_chunks()
-        g = SmallWorld.build(v)
+        g = SmallWorld.build(v if np.abs(v).max(initial=0) <= LARGE else np.zeros_like(v))
         values = [[key[0].as_py()], [dim], [len(v)], [v.tobytes()], [np.asarray(ids.flatten()).astype(np.int64).tobytes()], [np.cumsum(np.asarray(ids.value_lengths())).astype(np.int32).tobytes()], [g.levels.astype(np.int32).tobytes()], [[x.tobytes() for x in g.near]]]
         types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
         return pa.table([pa.array(x, t) for x, t in zip(values, types, strict=True)], names=["shard", "dim", "n", "vectors", "ids", "ends", "levels", "near"])
@@ -204,28 +210,42 @@ def load(row: dict) -> tuple[SmallWorld, np.ndarray, np.ndarray, np.ndarray]:
 def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found for each of ``queries`` (``vec_id, embedding``), its own id aside."""
     asked = queries.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).groupBy(F.col("vec_id").cast("long").alias("query_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
-    groups = max(1, -(-queries.count() // GROUP))
-    # every group of queries meets every shard
-    last = index.agg(F.max("shard")).first()[0] or 0
-    dealt = asked.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"), F.size("embedding").alias("dim"), "query_id", "embedding")
+    last, widest = index.agg(F.max("shard"), F.max("dim")).first()
+    groups = max(1, -(-queries.count() * 8 * (widest or 1) // BLOCK))
+
+    def block(key: tuple, rows: pa.Table) -> pa.Table:
+        values = [[key[0].as_py()], [key[1].as_py()], [rows.column("query_id").to_numpy().astype(np.int64).tobytes()], [np.asarray(rows.column("embedding").combine_chunks().flatten()).tobytes()]]
+        return pa.table([pa.array(x, t) for x, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "dim", "asked", "points"])
+
+    dealt = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"), F.size("embedding").alias("dim"), "query_id", "embedding")
+    blocks = stored(dealt.groupBy("part", "dim").applyInArrow(block, "part int, dim int, asked binary, points binary"))
+    # every block of queries meets every shard: rows here are blocks and shards, not queries
+    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
     copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def answer(key: tuple, shard: pa.Table, wanted: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         for row in shard.to_pylist() if wanted.num_rows else []:
             g, v, ids, ends = load(row)
-            q = np.asarray(wanted.column("embedding").combine_chunks().flatten()).reshape(-1, row["dim"])
-            for own, x in zip(wanted.column("query_id").to_pylist(), q, strict=True):
-                at = g.ask(x.astype(np.float32), k + 1)
-                score = np.sqrt(((v[at] - x) ** 2).sum(axis=1)).tolist()
-                pairs = sorted((s, int(i)) for s, node in zip(score, at, strict=True) for i in ids[ends[node - 1] if node else 0 : ends[node]] if i != own)[:k]
-                out[0].extend([own] * len(pairs))
-                out[1].extend(i for _, i in pairs)
-                out[2].extend(s for s, _ in pairs)
+            large = np.abs(v).max(initial=0) > LARGE
+            for b in range(wanted.num_rows):
+                names = np.frombuffer(wanted.column("asked")[b].as_buffer(), np.int64)
+                q = np.frombuffer(wanted.column("points")[b].as_buffer(), np.float64).reshape(len(names), row["dim"])
+                for own, x in zip(names.tolist(), q, strict=True):
+                    with np.errstate(over="ignore"):
+                        if large or np.abs(x).max(initial=0) > LARGE:
+                            at = np.argsort(((v - x) ** 2).sum(axis=1), kind="stable")[: k + 1].tolist()
+                        else:
+                            at = g.ask(x.astype(np.float32), k + 1)
+                        score = np.sqrt(((v[at] - x) ** 2).sum(axis=1)).tolist()
+                    pairs = sorted((s, int(i)) for s, node in zip(score, at, strict=True) for i in ids[ends[node - 1] if node else 0 : ends[node]] if i != own)[:k]
+                    out[0].extend([own] * len(pairs))
+                    out[1].extend(i for _, i in pairs)
+                    out[2].extend(s for s, _ in pairs)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     by = ["shard", "dim", "part"]
-    found = copies.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(answer, "query_id long, vec_id long, score double")
+    found = copies.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInArrow(answer, "query_id long, vec_id long, score double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 

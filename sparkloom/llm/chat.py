@@ -204,3 +204,14 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return rows.unionByName(probe)
+
+
+def oracle_sql() -> str:
+    """The digests of all conversations and the probe by DuckDB, from the rows themselves."""
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+r AS (SELECT *, replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A') AS coded, regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(coded) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars, false AS rewritten FROM r GROUP BY conv_id"""

@@ -34,6 +34,8 @@ from sparkloom.operators.components import component_labels
 from sparkloom.session import cut, stored
 
 SHINGLE, SKETCHES, TAKEN, LEAST = 5, 14, 3, 0.8
+#: Links that one task may unite at the end.
+FINISH = 20_000
 #: Bytes of sequences on one side of a block comparison.
 BLOCK = 16 << 20
 _rng = np.random.Generator(np.random.PCG64(1907))
@@ -210,11 +212,11 @@ def node_classes(docs: DataFrame) -> DataFrame:
     sa = seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa"))
     sb = seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb"))
     links = cut(_verified(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")))
-    labels = component_labels(links)
+    labels = component_labels(links, finish=FINISH)
     more = cut(_rest(dense.select("bucket", "node"), labels, seqs))
     if more.isEmpty():
         return labels
-    return component_labels(links.union(more))
+    return component_labels(links.union(more), finish=FINISH)
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -52,4 +52,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_approximate_nearest_neighbours, op2_minhash_near_dedup, op3_chat_formatting, op4_quality_classifier, op5_pii, op6_html_extraction, op7_licence_scans, op8_sharding, op9_byte_bpe, op10_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op7_licence_scans": licences.oracle_sql()}
+ORACLES: dict[str, str] = {"op3_chat_formatting": chat.oracle_sql(), "op7_licence_scans": licences.oracle_sql()}
