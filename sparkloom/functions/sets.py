@@ -35,6 +35,18 @@ def difference(a: Column, b: Column, owner: Column, upper: Column | None = None)
     return F.array_sort(left if upper is None else bounded(left, upper))
 
 
+def labelled_difference(a: Column, b: Column, owner: Column, labels: Column, label: Column | int, upper: Column | None = None) -> Column:
+    """Vertex-induced: elements of ``a`` with ``label``, neither in ``b`` nor its owner; ``labels`` goes beside ``a``, element by element."""
+    mine = F.transform(F.filter(F.arrays_zip(a.alias("v"), labels.alias("l")), lambda x: x["l"] == label), lambda x: x["v"])
+    return difference(mine, b, owner, upper)
+
+
+def edge_difference(a: Column, owner: Column, labels: Column, label: Column | int) -> Column:
+    """Edge-induced: elements of ``a`` with ``label`` other than ``owner``; further edges between them do not matter."""
+    mine = F.transform(F.filter(F.arrays_zip(a.alias("v"), labels.alias("l")), lambda x: x["l"] == label), lambda x: x["v"])
+    return F.array_sort(F.filter(mine, lambda x: x != owner))
+
+
 def lower_bound(a: Column, value: Column) -> Column:
     """How many elements of a sorted array are below ``value``."""
     return F.size(bounded(a, value)).cast("long")

@@ -98,6 +98,11 @@ def dropout(a: Column, rate: float, *key: Column, seed: int = 1) -> Column:
     return F.transform(a, lambda x, i: F.when(unit(i) >= rate, x / (1 - rate)).otherwise(0.0))
 
 
+def d_dropout(d: Column, rate: float, *key: Column, seed: int = 1) -> Column:
+    """The gradient through :func:`dropout`, which for a fixed mask is linear: the same mask and scale."""
+    return dropout(d, rate, *key, seed=seed)
+
+
 def matvec(a: Column, weights: list[list[float]]) -> Column:
     """``a`` times a small matrix given by rows."""
     columns = list(zip(*weights, strict=True))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.components import component_labels
+from sparkloom.operators.transform import exclusive_scan
 
 Weight = tuple[float, int]
 
@@ -24,6 +25,8 @@ LINKAGES: dict[str, Callable[[Weight, Weight], Weight]] = {
     "complete": lambda x, y: (min(x[0], y[0]), x[1] + y[1]),
     "weighted_average": lambda x, y: ((x[0] + y[0]) / 2, x[1] + y[1]),
     "normalized_average": _average,
+    # by sizes: all weight between two clusters over the product of their sizes
+    "average": lambda x, y: (x[0] + y[0], x[1] + y[1]),
 }
 
 
@@ -32,8 +35,7 @@ def merges(edges: list[tuple[int, int, float]], linkage: str = "complete", simil
     combine = LINKAGES[linkage]
     if not similarity and linkage in ("single", "complete"):
         combine = LINKAGES["complete" if linkage == "single" else "single"]
-    if linkage == "average":
-        combine = None
+    by_size = linkage == "average"
     sign = -1 if similarity else 1
     near: dict[int, dict[int, Weight]] = {}
     size: dict[int, int] = {}
@@ -42,12 +44,13 @@ def merges(edges: list[tuple[int, int, float]], linkage: str = "complete", simil
         near.setdefault(b, {})[a] = (w, 1)
     rank = {v: k for k, v in enumerate(sorted(near))}
     size = dict.fromkeys(near, 1)
+    worth = lambda a, b: near[a][b][0] / (size[a] * size[b]) if by_size else near[a][b][0]
     heap = [(sign * w, rank[min(a, b)], rank[max(a, b)], min(a, b), max(a, b)) for a, b, w in edges]
     heapq.heapify(heap)
     k = 0
     while heap:
         key, _, _, a, b = heapq.heappop(heap)
-        if a not in near or b not in near[a] or sign * near[a][b][0] != key:
+        if a not in near or b not in near[a] or sign * worth(a, b) != key:
             continue
         k += 1
         new = -k
@@ -70,7 +73,7 @@ def merges(edges: list[tuple[int, int, float]], linkage: str = "complete", simil
             if v in changed:
                 near[v].pop(b, None)
             near[v][new] = w
-            heapq.heappush(heap, (sign * w[0], min(rank[v], rank[new]), max(rank[v], rank[new]), min(v, new, key=rank.get), max(v, new, key=rank.get)))
+            heapq.heappush(heap, (sign * worth(new, v), min(rank[v], rank[new]), max(rank[v], rank[new]), min(v, new, key=rank.get), max(v, new, key=rank.get)))
 
 
 def dendrogram(edges: DataFrame, linkage: str = "complete", similarity: bool = True) -> DataFrame:
@@ -80,7 +83,7 @@ def dendrogram(edges: DataFrame, linkage: str = "complete", similarity: bool = T
     order of merges is sequential by definition, and its edges must fit one task. Clusters have negative numbers in
     the order of merges; the last of a component is its root.
     """
-    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("w").cast("double").alias("w")).filter("src <> dst").groupBy("src", "dst").agg(F.max("w").alias("w"))
+    e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("w").cast("double").alias("w")).filter("src <> dst").groupBy("src", "dst").agg((F.max if similarity else F.min)("w").alias("w"))
     labels = component_labels(e)
     dealt = e.join(labels.select(F.col("id").alias("src"), "component"), "src")
 
@@ -94,6 +97,24 @@ def dendrogram(edges: DataFrame, linkage: str = "complete", similarity: bool = T
     return dealt.groupBy("component").applyInPandas(cluster, "component long, node long, parent long, weight double")
 
 
+def completed(tree: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``pos, component, node, parent, weight``: how the roots of a :func:`dendrogram`, lone vertices included, are joined up to one tree with weight 0.
+
+    Roots queue in the order of their components; the first two leave and their cluster joins the end, again and again.
+    So of ``n`` roots the one at ``pos`` goes to the cluster at ``n + pos div 2``, and clusters go on in the same way; the
+    last one, at ``2 n - 2``, has no parent. Clusters made here have the component -1 and the node ``n - 1 - pos``.
+    """
+    tops = tree.select("component", F.col("parent").alias("node")).groupBy("component").agg(F.min("node").alias("node"))
+    lone = vertices.select(F.col("id").alias("component"), F.col("id").alias("node")).distinct().join(tree.select(F.col("node").alias("component")), "component", "left_anti")
+    roots = tops.union(lone)
+    n = roots.count()
+    at = exclusive_scan(roots.select("component", F.lit(1).alias("one")), "component", "one").select("component", F.col("before").cast("long").alias("pos"))
+    first = roots.join(at, "component").select("pos", "component", "node")
+    made = tree.sparkSession.range(n, max(n, 2 * n - 1)).select(F.col("id").alias("pos"), F.lit(-1).cast("long").alias("component"), (n - 1 - F.col("id")).alias("node"))
+    parent = F.when(F.col("pos") < 2 * n - 2, n + F.floor(F.col("pos") / 2))
+    return first.union(made).select("pos", "component", "node", parent.cast("long").alias("parent"), F.lit(0.0).alias("weight"))
+
+
 def single_linkage(edges: DataFrame) -> DataFrame:
     """``src, dst, w``: the merges of single linkage on similarities, which are the edges of a maximum spanning forest: distributed at any size."""
     from sparkloom.operators.spanning import spanning_forest

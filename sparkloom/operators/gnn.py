@@ -7,7 +7,7 @@ vertices, computed per partition and added up, so that no task or driver holds t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -291,6 +291,10 @@ class Network:
                 if layer.own is not None:
                     down = down.join(dense(d, layer.own.T, "o"), "id").select("id", F.zip_with("h", "o", lambda x, y: x + y).alias("h"))
                 grad = down.select("id", F.col("h").alias("d"))
+                if self.dropout:
+                    from sparkloom.functions.vectors import d_dropout
+
+                    grad = grad.select("id", d_dropout(F.col("d"), self.dropout, F.col("id"), F.lit(number), F.lit(k), seed=self.seed).alias("d"))
         for k, name, g in updates:
             setattr(self.layers[k], name, self.opt.step(f"{k}.{name}", getattr(self.layers[k], name), g))
         return loss
@@ -312,11 +316,39 @@ class Network:
         add = lambda h: F.zip_with(h, F.zip_with(lit(layer.left), lit(layer.right), lambda p, q: p * F.coalesce("a", F.lit(0.0)) + q * F.coalesce("b", F.lit(0.0))), lambda u, v: u + v)
         return cut(x.select("id", add(F.col("h")).alias("h"))), dl, dr
 
+    def on(self, g: Graph) -> Network:
+        """The same layers and optimizer over another graph: what it learns there, it learns here."""
+        other = Network(g, self.dims, self.arch, self.seed, self.opt.lr, dropout=self.dropout)
+        other.layers, other.opt = self.layers, self.opt
+        return other
+
+    def train_batches(self, features: DataFrame, labels: DataFrame, batches: int, members: Callable[[int], DataFrame]) -> list[float]:
+        """The loss of each minibatch before its step: ``members(k)`` gives the ``id`` of the vertices of the k-th subgraph."""
+        losses = []
+        for k in range(batches):
+            own = stored(members(k).select("id").distinct())
+            labelled = labels.join(own, "id", "left_semi")
+            if not labelled.isEmpty():
+                losses.append(self.on(inductive(self.g, own)).epoch(features.join(own, "id", "left_semi"), labelled, k))
+        return losses
+
     def train(self, features: DataFrame, labels: DataFrame, epochs: int) -> list[float]:
         """The loss before each epoch's step."""
         return [self.epoch(features, labels, k) for k in range(epochs)]
 
 
+def inductive(g: Graph, members: DataFrame) -> Graph:
+    """The graph that training may see: the masked vertices and the edges among them. Training on all of ``g`` is transductive."""
+    from sparkloom.operators.transform import masked
+
+    return Graph(g.vertices.join(members.select("id"), "id", "left_semi"), masked(g.edges.select("src", "dst"), members), g.directed)
+
+
+def gated_layer(features: DataFrame, w: np.ndarray, g: Graph, gates: dict[str, np.ndarray]) -> DataFrame:
+    """A gated layer: the projection by ``w``, then one gated update."""
+    return gated_step(dense(features, w), g, gates)
+
+
 def gated_step(features: DataFrame, g: Graph, gates: dict[str, np.ndarray], most: int = 20_000) -> DataFrame:
     """One gated recurrent update with ``n x n`` gates that mix vertices: ``gates`` has Wz, Uz, Wr, Ur, Wc, Uc.
 

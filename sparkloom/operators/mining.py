@@ -87,12 +87,24 @@ class Pattern:
         """For each vertex after the first, how it meets each earlier one: ``join`` on an edge, or ``anti`` on its absence."""
         return [[("join" if self.has(u, v) else "anti", u) for u in range(v)] for v in range(1, self.n)]
 
-    def automorphisms(self) -> int:
-        """How many relabellings keep the pattern."""
+    def order(self) -> list[tuple[int, int]]:
+        """Pairs ``u, v`` such that of all relabellings of an occurrence only one has ``v_u < v_v`` for each of them: every vertex is the first of those that it can trade places with while the ones before it stay."""
+        group, out = self.relabellings(), []
+        for u in range(self.n):
+            out += [(u, v) for v in sorted({p[u] for p in group} - {u})]
+            group = [p for p in group if p[u] == u]
+        return out
+
+    def relabellings(self) -> list[tuple[int, ...]]:
+        """The permutations of the vertices that keep the pattern."""
         from itertools import permutations
 
         own = {frozenset(e) for e in self.edges}
-        return sum(own == {frozenset((p[a], p[b])) for a, b in own} and (self.labels is None or all(self.labels[i] == self.labels[p[i]] for i in range(self.n))) for p in permutations(range(self.n)))
+        return [p for p in permutations(range(self.n)) if own == {frozenset((p[a], p[b])) for a, b in own} and (self.labels is None or all(self.labels[i] == self.labels[p[i]] for i in range(self.n)))]
+
+    def automorphisms(self) -> int:
+        """How many relabellings keep the pattern."""
+        return len(self.relabellings())
 
 
 #: Names of connected patterns by vertices, edges and sorted degrees.
@@ -103,8 +115,9 @@ NAMES = {
 MOTIFS = [Pattern(e) for e in ([(0, 1), (0, 2)], [(0, 1), (0, 2), (1, 2)], [(0, 1), (0, 2), (0, 3)], [(0, 1), (1, 2), (2, 3)], [(0, 1), (0, 2), (1, 2), (0, 3)], [(0, 1), (1, 2), (2, 3), (0, 3)], [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)], [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)])]
 
 
-def matches(g: Graph, p: Pattern, induced: bool = True) -> DataFrame:
-    """``v0, v1, ...``: all embeddings of a connected pattern, by the joins and anti-joins of its plan (an extension)."""
+def matches(g: Graph, p: Pattern, induced: bool = True, once: bool = False) -> DataFrame:
+    """``v0, v1, ...``: all embeddings of a connected pattern, by the joins and anti-joins of its plan (an extension); with ``once``, one of each occurrence, its symmetry broken while joining."""
+    ahead = p.order() if once else []
     e = g.edges.select("src", "dst")
     lab = g.vertices.select("id", "label") if p.labels is not None else None
     out = g.vertices.select(F.col("id").alias("v0"))
@@ -119,7 +132,7 @@ def matches(g: Graph, p: Pattern, induced: bool = True) -> DataFrame:
             raise ValueError("each vertex must meet an earlier one")
         out = out.join(e.select(F.col("src").alias(f"v{joined[0]}"), F.col("dst").alias(f"v{v}")), f"v{joined[0]}")
         for u in range(v):
-            out = out.filter(F.col(f"v{u}") != F.col(f"v{v}"))
+            out = out.filter(F.col(f"v{u}") < F.col(f"v{v}") if (u, v) in ahead else F.col(f"v{u}") != F.col(f"v{v}"))
         for how, u in steps:
             pair = e.select(F.col("src").alias(f"v{u}"), F.col("dst").alias(f"v{v}"))
             if how == "join" and u != joined[0]:
@@ -132,7 +145,7 @@ def matches(g: Graph, p: Pattern, induced: bool = True) -> DataFrame:
 
 def motif_counts(g: Graph, patterns: list[Pattern] | None = None, induced: bool = True) -> DataFrame:
     """``motif, n``: occurrences of each pattern, each once."""
-    parts = [matches(g, p, induced).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p.name()).alias("motif"), (F.col("n") / p.automorphisms()).cast("long").alias("n")) for p in patterns or MOTIFS[:2]]
+    parts = [matches(g, p, induced, True).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p.name()).alias("motif"), "n") for p in patterns or MOTIFS[:2]]
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)

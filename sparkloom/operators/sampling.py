@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
-from sparkloom.operators.transform import exclusive_scan, induced
+from sparkloom.operators.transform import draw, exclusive_scan, induced
 from sparkloom.session import cut, stored
 
 FANOUT = (15, 10, 10)
@@ -22,7 +22,7 @@ def fanout(g: Graph, roots: DataFrame, sizes: tuple[int, ...] = FANOUT, seed: in
     for hop, k in enumerate(sizes, 1):
         # a draw is a place among the neighbours, found by an equality join; no list of neighbours is copied
         drawn = front.join(size, "id").select("root", "path", F.col("id").alias("src"), "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-        drawn = drawn.withColumn("pos", F.pmod(F.xxhash64(F.lit(seed), "root", "path", "j"), F.col("n")).cast("int"))
+        drawn = drawn.withColumn("pos", F.pmod(draw(seed, F.col("root"), F.col("path"), F.col("j")), F.col("n")).cast("int"))
         front = stored(drawn.join(near, ["src", "pos"]).select("root", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("j").cast("string")).alias("path"), F.col("dst").alias("id")))
         part = front.select("root", F.lit(hop).alias("hop"), "path", "id")
         out = part if out is None else out.union(part)

@@ -124,9 +124,15 @@ def exclusive_scan(rows: DataFrame, key: str, value: str) -> DataFrame:
     return held.withColumn("_o", own).join(before, "_p").select(key, value, (F.col("_o") + F.col("_b")).alias("before"))
 
 
+def draw(*parts: Column | int) -> Column:
+    """A number from 0 to 2**60 - 1 that the parts decide: the first 15 hexadecimal digits of the MD5 of their texts, joined by colons."""
+    text = F.concat_ws(":", *[(F.lit(x) if isinstance(x, int) else x).cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def sampled(rows: DataFrame, key: Column, k: int, seed: int = 1) -> DataFrame:
     """``k`` rows by the order of a seeded hash of ``key``."""
-    return rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(k).drop("_h")
+    return rows.orderBy(draw(seed, key), key).limit(k)
 
 
 def weighted_choice(items: DataFrame, draws: DataFrame, seed: int = 1) -> DataFrame:
@@ -137,5 +143,5 @@ def weighted_choice(items: DataFrame, draws: DataFrame, seed: int = 1) -> DataFr
     # each item's range is cut at multiples of the mean weight, twice as many pieces as items at most, which then join by equality
     pieces = exclusive_scan(have, "id", "w").select("id", "before", (F.col("before") + F.col("w")).alias("end"))
     pieces = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("end") - 1) / width))))
-    aim = draws.select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(total or 1)).alias("aim")).withColumn("cell", F.floor(F.col("aim") / width))
+    aim = draws.select("draw", F.pmod(draw(seed, F.col("draw")), F.lit(total or 1)).alias("aim")).withColumn("cell", F.floor(F.col("aim") / width))
     return aim.join(pieces, "cell").filter((F.col("aim") >= F.col("before")) & (F.col("aim") < F.col("end"))).select("draw", "id")

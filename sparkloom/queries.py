@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import sets as S
 from sparkloom.functions import vectors as V
 from sparkloom.graph import Graph
-from sparkloom.operators import clustering, compression, factorization, gnn, knn, mining, partition, ranking, sampling, spanning, transform, traversal
+from sparkloom.operators import clustering, community, compression, factorization, gnn, knn, mining, partition, ranking, sampling, spanning, transform, traversal
 from sparkloom.operators.components import component_labels
 from sparkloom.plans import projections as P
 from sparkloom.session import stored, table
@@ -56,6 +56,11 @@ def source_of(g: Graph) -> int:
     return g.vertices.agg(F.min("id")).first()[0]
 
 
+def _num(*parts: str) -> str:
+    """The number that :func:`transform.draw` makes of the same parts."""
+    return "CAST('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15) AS BIGINT)"
+
+
 # --- structure -----------------------------------------------------------------------------------------------------
 
 TRI = f"WITH {P.SQL['g_cp']} SELECT count(*) AS triangles FROM g_cp a JOIN g_cp b ON a.dst = b.src JOIN g_cp c ON c.src = a.src AND c.dst = b.dst"
@@ -181,12 +186,12 @@ def row_offsets(spark, d):
     return transform.exclusive_scan(cp2(spark, d).degrees(), "id", "degree")
 
 
-@query()
+@query(f"WITH {CP2}, {V2} SELECT id FROM v ORDER BY {_num('1', 'id')}, id LIMIT 100")
 def select_items(spark, d):
     return transform.sampled(cp2(spark, d).vertices, F.col("id"), 100)
 
 
-@query()
+@query(f"WITH {CP2}, d AS (SELECT src AS id, count(*) AS w FROM e GROUP BY src), r AS (SELECT id, CAST(sum(w) OVER (ORDER BY id) - w AS BIGINT) AS a, CAST(sum(w) OVER (ORDER BY id) AS BIGINT) AS z FROM d), x AS (SELECT t.draw, {_num('1', 't.draw')} % (SELECT CAST(sum(w) AS BIGINT) FROM d) AS aim FROM range(200) t(draw)) SELECT draw, id FROM x JOIN r ON aim >= a AND aim < z")
 def weighted_items(spark, d):
     return transform.weighted_choice(cp2(spark, d).degrees().select("id", F.col("degree").alias("w")), spark.range(200).withColumnRenamed("id", "draw"))
 
@@ -255,15 +260,15 @@ def interval_overlap(spark, d):
 SRC = "s AS (SELECT min(src) AS s FROM e)"
 
 
-@query(f"WITH RECURSIVE {CP2}, {V2}, {SRC}, r(id, dist) USING KEY (id) AS (SELECT s, CAST(0 AS BIGINT) FROM s UNION SELECT e.dst, min(r.dist + 1) FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r AS k ON k.id = e.dst WHERE k.dist IS NULL OR r.dist + 1 < k.dist GROUP BY e.dst) SELECT v.id, coalesce(r.dist, 1000000000) AS dist FROM v LEFT JOIN r USING (id)")
+@query(f"WITH RECURSIVE {CP}, {V2}, {SRC}, r(id, dist) USING KEY (id) AS (SELECT s, CAST(0 AS BIGINT) FROM s UNION SELECT e.dst, min(r.dist + 1) FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r AS k ON k.id = e.dst WHERE k.dist IS NULL OR r.dist + 1 < k.dist GROUP BY e.dst) SELECT v.id, coalesce(r.dist, 1000000000) AS dist FROM v LEFT JOIN r USING (id)")
 def bfs(spark, d):
-    g = cp2(spark, d)
+    g = cp(spark, d)
     return traversal.bfs(g, source_of(g))
 
 
-@query(f"WITH RECURSIVE {CP2}, {V2}, {SRC}, r(id, dist) USING KEY (id) AS (SELECT s, CAST(0 AS BIGINT) FROM s UNION SELECT e.dst, min(r.dist + e.w) FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r AS k ON k.id = e.dst WHERE k.dist IS NULL OR r.dist + e.w < k.dist GROUP BY e.dst) SELECT v.id, coalesce(r.dist, 2147483647) AS dist FROM v LEFT JOIN r USING (id)")
+@query(f"WITH RECURSIVE {CP}, {V2}, {SRC}, r(id, dist) USING KEY (id) AS (SELECT s, CAST(0 AS BIGINT) FROM s UNION SELECT e.dst, min(r.dist + e.w) FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r AS k ON k.id = e.dst WHERE k.dist IS NULL OR r.dist + e.w < k.dist GROUP BY e.dst) SELECT v.id, coalesce(r.dist, 2147483647) AS dist FROM v LEFT JOIN r USING (id)")
 def sssp(spark, d):
-    g = cp2(spark, d)
+    g = cp(spark, d)
     return traversal.sssp(g, source_of(g))
 
 
@@ -302,12 +307,27 @@ def pagerank_10(spark, d):
     return ranking.pagerank(g, 10, None).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+def _settled_sql(most: int) -> str:
+    base = _pagerank_sql(most)
+    base = base[: base.index(" SELECT id, round(r, 6)")]
+    gaps = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.r - b.r)) AS gap FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, most + 1))
+    ranks = " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM r{k}" for k in range(1, most + 1))
+    return f"{base}, gaps AS ({gaps}), last AS (SELECT min(k) AS k FROM gaps WHERE gap < {ranking.EPSILON}) SELECT id, round(r, 6) AS rank FROM ({ranks}) JOIN last USING (k)"
+
+
+@query(_settled_sql(30))
 def pagerank(spark, d):
     return ranking.pagerank(Graph.of_edges(P.transitions(spark, d), directed=True)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+def _h_index_sql(rounds: int) -> str:
+    parts = [f"WITH {CP2}, {V2}, c0 AS (SELECT src AS id, count(*) AS v FROM e GROUP BY src)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT src AS id, max(least(v, n)) AS v FROM (SELECT src, v, row_number() OVER (PARTITION BY src ORDER BY v DESC) AS n FROM e JOIN c{k - 1} c ON c.id = e.dst) GROUP BY src)")
+    return ", ".join(parts) + f" SELECT id, CAST(v AS BIGINT) AS core FROM c{rounds}"
+
+
+@query(_h_index_sql(40))
 def kcore(spark, d):
     return ranking.core_numbers(cp2(spark, d))
 
@@ -324,7 +344,15 @@ def core_members(spark, d):
     return ranking.core_members(cp2(spark, d), 3)
 
 
-@query()
+def _first_fit_sql(rounds: int) -> str:
+    parts = [f"WITH {CP2}, {V2}, low AS (SELECT src, dst FROM e WHERE dst < src), need AS (SELECT src AS id, count(*) AS n FROM low GROUP BY src), k0 AS (SELECT id, CAST(0 AS BIGINT) AS colour FROM v WHERE id NOT IN (SELECT id FROM need))"]
+    for k in range(1, rounds + 1):
+        parts.append(f"u{k} AS (SELECT src AS id, list(DISTINCT colour) AS used FROM low JOIN k{k - 1} c ON c.id = low.dst WHERE src NOT IN (SELECT id FROM k{k - 1}) GROUP BY src HAVING count(*) = (SELECT n FROM need WHERE need.id = src))")
+        parts.append(f"k{k} AS MATERIALIZED (SELECT id, colour FROM k{k - 1} UNION ALL SELECT id, list_min(list_filter(range(0, len(used) + 1), lambda i: NOT list_contains(used, i))) FROM u{k})")
+    return ", ".join(parts) + f" SELECT id, colour FROM k{rounds}"
+
+
+@query(_first_fit_sql(60))
 def coloring(spark, d):
     return ranking.greedy_colouring(cp2(spark, d))
 
@@ -342,7 +370,10 @@ def motif3(spark, d):
     return mining.motif_counts(cp2(spark, d))
 
 
-@query()
+QUADS = "n AS (SELECT src, dst FROM e), p AS (SELECT a.src AS a, a.dst AS b, b.dst AS c, c.dst AS d FROM n a JOIN n b ON b.src = a.dst JOIN n c ON c.src = b.dst WHERE b.dst <> a.src AND c.dst <> a.src AND c.dst <> a.dst UNION ALL SELECT a.src, a.dst, b.dst, c.dst FROM n a JOIN n b ON b.src = a.src JOIN n c ON c.src = a.src WHERE a.dst < b.dst AND b.dst < c.dst), s AS (SELECT DISTINCT list_sort([a, b, c, d]) AS q FROM p), m AS (SELECT q, unnest(q) AS v FROM s), deg AS (SELECT x.q, x.v, count(*) AS k FROM m x JOIN m y ON y.q = x.q JOIN n ON n.src = x.v AND n.dst = y.v GROUP BY 1, 2), kind AS (SELECT q, list_sort(list(k)) AS ks FROM deg GROUP BY q)"
+
+
+@query(f"WITH {CP2}, {QUADS}, t(motif, ks) AS (VALUES ('3-star', [1, 1, 1, 3]), ('4-path', [1, 1, 2, 2]), ('tailed_triangle', [1, 2, 2, 3]), ('square', [2, 2, 2, 2]), ('diamond', [2, 2, 3, 3]), ('4-clique', [3, 3, 3, 3])) SELECT motif, count(q) AS n FROM t LEFT JOIN kind ON kind.ks = t.ks GROUP BY motif")
 def motif4(spark, d):
     return mining.motif_counts(cp2(spark, d), mining.MOTIFS[2:])
 
@@ -384,13 +415,24 @@ def bipartite_trade(spark, d):
 # --- sampling -------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+NEAR = "near AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos FROM e), d AS (SELECT src AS id, count(*) AS n FROM e GROUP BY src)"
+
+
+def _fanout_sql(roots: str, sizes: tuple[int, ...]) -> str:
+    parts = [f"WITH {CP2}, {V2}, {NEAR}, f0 AS (SELECT id AS root, '' AS path, id FROM ({roots}))"]
+    for hop, k in enumerate(sizes, 1):
+        aim = _num("1", "root", "path", "j")
+        parts.append(f"x{hop} AS (SELECT root, path, f.id AS src, j, {aim} % d.n AS pos FROM f{hop - 1} f JOIN d ON d.id = f.id, range({k}) t(j)), f{hop} AS MATERIALIZED (SELECT root, CASE WHEN path = '' THEN '' ELSE path || '.' END || j AS path, dst AS id FROM x{hop} x JOIN near ON near.src = x.src AND near.pos = x.pos)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT root, {hop} AS hop, path, id FROM f{hop}" for hop in range(1, len(sizes) + 1))
+
+
+@query(_fanout_sql(f"SELECT id FROM v ORDER BY {_num('1', 'id')}, id LIMIT 5", (15, 10, 10)))
 def fanout_sample(spark, d):
     g = cp2(spark, d)
     return sampling.fanout(g, transform.sampled(g.vertices, F.col("id"), 5), (15, 10, 10))
 
 
-@query()
+@query(_fanout_sql("SELECT id FROM v", (1,) * 5))
 def random_walk(spark, d):
     g = cp2(spark, d)
     return sampling.random_walk(g, g.vertices, 5)
@@ -408,7 +450,7 @@ KNN = """q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 near AS (SELECT a.id AS q, b.id AS id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM q a JOIN q b ON a.id <> b.id),
 top AS (SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM near)"""
 G_KNN = f"{KNN}, e AS (SELECT q AS src, id AS dst FROM top WHERE rank <= 5 UNION SELECT id, q FROM top WHERE rank <= 5)"
-FEAT = 8
+FEAT = 64
 H = f"h AS (SELECT id, pos, v[CAST(pos AS INTEGER) + 1] AS x FROM q, range({FEAT}) t(pos))"
 
 
@@ -450,7 +492,7 @@ def sage_aggregate(spark, d):
     return _long(gnn.sage_aggregate(knn_graph(spark, d), features(spark, d), FEAT))
 
 
-ATT_L, ATT_R = [0.5 - 0.1 * k for k in range(FEAT)], [-0.3 + 0.1 * k for k in range(FEAT)]
+ATT_L, ATT_R = [round(0.5 - 0.015 * k, 3) for k in range(FEAT)], [round(-0.3 + 0.01 * k, 3) for k in range(FEAT)]
 _att = lambda v: " + ".join(f"v[{k + 1}] * ({x!r}::DOUBLE)" for k, x in enumerate(v))
 
 
@@ -537,7 +579,16 @@ def unweighted_rule(spark, d):
     return clustering.unweighted_rule(cp2(spark, d).edges)
 
 
-@query()
+def _forest_sql(most: int) -> str:
+    """The weight by counting components: each whole weight t adds as many edges above t as there are components of lighter edges beyond the last."""
+    parts = [f"WITH RECURSIVE {CP2}, {V2}"]
+    for t in range(2, most + 1):
+        parts.append(f"r{t}(id, c) USING KEY (id) AS (SELECT id, id FROM v UNION SELECT e.dst, min(r.c) FROM r{t} r JOIN e ON e.src = r.id AND e.w <= {t} JOIN recurring.r{t} AS k ON k.id = e.dst WHERE r.c < k.c GROUP BY e.dst)")
+    counts = " UNION ALL ".join([f"SELECT {t} AS t, count(*) AS c FROM v" for t in (0, 1)] + [f"SELECT {t}, count(DISTINCT c) FROM r{t}" for t in range(2, most + 1)])
+    return ", ".join(parts) + f", k AS MATERIALIZED ({counts}), z AS (SELECT min(c) AS c FROM k) SELECT CAST(sum(k.c - z.c) AS BIGINT) AS weight, (SELECT count(*) FROM v) - min(z.c) AS edges, min(z.c) AS components FROM k, z"
+
+
+@query(_forest_sql(9))
 def mst_weight(spark, d):
     g = cp2(spark, d)
     return spanning.forest_summary(g.edges, g.vertices)
@@ -590,9 +641,103 @@ def partition_fetch(spark, d):
 _z = "(CASE WHEN dst - src >= 0 THEN 2 * (dst - src) ELSE -(2 * (dst - src) + 1) END)"
 
 
-@query(f"WITH {CP2}, g AS (SELECT src, CASE WHEN p IS NULL THEN {_z} ELSE dst - p - 1 END AS x FROM (SELECT src, dst, lag(dst) OVER (PARTITION BY src ORDER BY dst) AS p FROM e)), s AS (SELECT src, sum(2 * (length(format('{{:b}}', x + 1)) - 1) + 1) AS gamma, sum(((length(format('{{:b}}', x + 1)) - 1) // 2 + 1) * 3) AS zeta, 8 * sum(CASE WHEN x < 256 THEN 1 WHEN x < 65536 THEN 2 WHEN x < 16777216 THEN 3 ELSE 4 END) + 8 * ((count(*) + 3) // 4) AS vbyte, count(*) AS deg FROM g GROUP BY src) SELECT 'gamma' AS scheme, CAST(sum(gamma) AS BIGINT) AS bits FROM s UNION ALL SELECT 'zeta', CAST(sum(zeta) AS BIGINT) FROM s UNION ALL SELECT 'vbyte', CAST(sum(vbyte) AS BIGINT) FROM s UNION ALL SELECT 'hybrid', CAST(sum(CASE WHEN deg > 32 THEN vbyte ELSE zeta END) AS BIGINT) FROM s")
+@query(f"WITH {CP}, g AS (SELECT src, CASE WHEN p IS NULL THEN {_z} ELSE dst - p - 1 END AS x FROM (SELECT src, dst, lag(dst) OVER (PARTITION BY src ORDER BY dst) AS p FROM e)), s AS (SELECT src, sum(2 * (length(format('{{:b}}', x + 1)) - 1) + 1) AS gamma, sum(((length(format('{{:b}}', x + 1)) - 1) // 2 + 1) * 3) AS zeta, 8 * sum(CASE WHEN x < 256 THEN 1 WHEN x < 65536 THEN 2 WHEN x < 16777216 THEN 3 ELSE 4 END) + 8 * ((count(*) + 3) // 4) AS vbyte, count(*) AS deg FROM g GROUP BY src) SELECT 'gamma' AS scheme, CAST(sum(gamma) AS BIGINT) AS bits FROM s UNION ALL SELECT 'zeta', CAST(sum(zeta) AS BIGINT) FROM s UNION ALL SELECT 'vbyte', CAST(sum(vbyte) AS BIGINT) FROM s UNION ALL SELECT 'hybrid', CAST(sum(CASE WHEN deg > 32 THEN vbyte ELSE zeta END) AS BIGINT) FROM s")
 def code_lengths(spark, d):
-    return compression.code_lengths(cp2(spark, d))
+    return compression.code_lengths(cp(spark, d))
+
+
+# --- further operators ---------------------------------------------------------------------------------------------------------
+
+
+def _label_difference_sql(induced: bool) -> str:
+    free = "AND NOT EXISTS (SELECT 1 FROM e b WHERE b.src = p.dst AND b.dst = a.dst)" if induced else ""
+    return f"WITH {CP2}, {V2}, {LAB} SELECT p.src AS u, p.dst AS v, count(a.dst) AS n FROM (SELECT src, dst FROM e WHERE src < dst) p LEFT JOIN (SELECT e.src, e.dst FROM e JOIN lab ON lab.id = e.dst WHERE label = 7) a ON a.src = p.src AND a.dst <> p.dst {free} GROUP BY 1, 2"
+
+
+def _labelled_pairs(spark, d) -> DataFrame:
+    g = labelled(spark, d)
+    lab = g.edges.join(g.vertices.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "label"))).alias("x"))
+    y = g.adjacency().select(F.col("id").alias("dst"), F.col("nbrs").alias("y"))
+    return g.edges.filter("src < dst").select("src", "dst").join(lab, "src").join(y, "dst")
+
+
+@query(_label_difference_sql(True))
+def label_difference(spark, d):
+    n = F.size(S.labelled_difference(F.col("x.dst"), F.col("y"), F.col("dst"), F.col("x.label"), 7)).cast("long")
+    return _labelled_pairs(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"), n.alias("n"))
+
+
+@query(_label_difference_sql(False))
+def edge_label_difference(spark, d):
+    n = F.size(S.edge_difference(F.col("x.dst"), F.col("dst"), F.col("x.label"), 7)).cast("long")
+    return _labelled_pairs(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"), n.alias("n"))
+
+
+SCC = f"WITH RECURSIVE {EVT}, f AS (SELECT src, dst FROM g_evt WHERE w >= 2), v AS (SELECT src AS id FROM g_evt UNION SELECT dst FROM g_evt), r AS (SELECT src, dst FROM f UNION SELECT r.src, f.dst FROM r JOIN f ON f.src = r.dst)"
+
+
+@query(f"{SCC} SELECT v.id, least(v.id, coalesce(min(b.src), v.id)) AS component FROM v LEFT JOIN r a ON a.src = v.id LEFT JOIN r b ON b.src = a.dst AND b.dst = v.id GROUP BY v.id")
+def strongly_connected(spark, d):
+    e = stored(P.transitions(spark, d))
+    v = Graph.of_edges(e, directed=True).vertices
+    return community.strongly_connected(Graph(v, e.filter("w >= 2"), directed=True))
+
+
+@query()
+def louvain(spark, d):
+    return community.louvain(cp2(spark, d).edges)
+
+
+@query(f"WITH {CP2}, g AS (SELECT src % 5 AS c, dst % 5 AS d, w::DOUBLE AS w FROM e), k AS (SELECT c, sum(w) FILTER (c = d) AS inside, sum(w) AS every FROM g GROUP BY c) SELECT round(sum(coalesce(inside, 0)) / sum(every) - sum(every * every) / (sum(every) * sum(every)), 6) AS modularity FROM k")
+def modularity(spark, d):
+    g = cp2(spark, d)
+    return community.modularity(g.edges, g.vertices.select("id", (F.col("id") % 5).alias("community"))).select(F.round("modularity", 6).alias("modularity"))
+
+
+_g = "g AS (SELECT src, CASE WHEN p IS NULL THEN (CASE WHEN dst - src >= 0 THEN 2 * (dst - src) ELSE -(2 * (dst - src) + 1) END) ELSE dst - p - 1 END AS x FROM (SELECT src, dst, lag(dst) OVER (PARTITION BY src ORDER BY dst) AS p FROM e))"
+_c = "c AS (SELECT src, count(*) AS deg, (sum(2 * (length(format('{:b}', x + 1)) - 1) + 1) + 7) // 8 AS gamma, (sum(((length(format('{:b}', x + 1)) - 1) // 2 + 1) * 3) + 7) // 8 AS zeta, sum(CASE WHEN x < 256 THEN 1 WHEN x < 65536 THEN 2 WHEN x < 16777216 THEN 3 ELSE 4 END) + (count(*) + 3) // 4 AS vbyte FROM g GROUP BY src)"
+
+
+@query(f"WITH {CP2}, {_g}, {_c}, t AS (SELECT sum(gamma) AS gamma, sum(zeta) AS zeta, sum(vbyte) AS vbyte, sum(CASE WHEN deg > 32 THEN vbyte ELSE zeta END) AS hybrid, sum(deg) AS n FROM c) " + " UNION ALL ".join(f"SELECT '{x}' AS scheme, CAST({x} AS BIGINT) AS bytes, CAST(n AS BIGINT) AS edges, CAST(0 AS BIGINT) AS wrong FROM t" for x in compression.SCHEMES))
+def codec_round_trip(spark, d):
+    return compression.round_trip(cp2(spark, d))
+
+
+_members = f"m AS (SELECT CAST(src // ({_size}) AS BIGINT) AS part, src AS id FROM e, n UNION SELECT CAST(src // ({_size}) AS BIGINT), dst FROM e, n), l AS (SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS local FROM m)"
+
+
+@query(f"WITH {CP2}, {N}, {_members} SELECT a.part, a.local AS src, b.local AS dst FROM e JOIN l a ON a.id = e.src JOIN l b ON b.id = e.dst AND b.part = a.part")
+def partition_local(spark, d):
+    g = cp2(spark, d)
+    return partition.with_halo_local(g.edges, _n(g), PARTS)[0]
+
+
+@query(f"WITH {CP2}, {N}, {_members} SELECT part, id, local FROM l")
+def partition_map(spark, d):
+    g = cp2(spark, d)
+    return partition.with_halo_local(g.edges, _n(g), PARTS)[1]
+
+
+@query(f"WITH {CP2} SELECT (row_number() OVER (ORDER BY src, dst) - 1) % {PARTS} AS part, src, dst FROM e")
+def split_round_robin(spark, d):
+    return partition.round_robin(cp2(spark, d).edges, PARTS)
+
+
+@query(f"WITH {CP2} SELECT CAST(src // 64 AS BIGINT) % {PARTS} AS part, src, dst FROM e")
+def split_chunks(spark, d):
+    g = cp2(spark, d)
+    return partition.vertex_chunks(g.edges, _n(g), 64, PARTS)
+
+
+@query()
+def hac_average(spark, d):
+    return clustering.dendrogram(cp2(spark, d).edges, "average")
+
+
+@query(f"WITH RECURSIVE {CP2}, {V2}, r(id, c) USING KEY (id) AS (SELECT id, id FROM v UNION SELECT e.dst, min(r.c) FROM r JOIN e ON e.src = r.id JOIN recurring.r AS k ON k.id = e.dst WHERE r.c < k.c GROUP BY e.dst), t AS (SELECT c AS component, 1 - count(*) AS node, row_number() OVER (ORDER BY c) - 1 AS pos, count(*) OVER () AS n FROM r GROUP BY c), every AS (SELECT pos, component, node, n FROM t UNION ALL SELECT n + i, -1, -1 - i, n FROM (SELECT max(n) AS n FROM t), range(n - 1) x(i)) SELECT pos, component, CAST(node AS BIGINT) AS node, CASE WHEN pos < 2 * n - 2 THEN n + pos // 2 ELSE -1 END AS parent, 0.0::DOUBLE AS weight FROM every")
+def hac_completed(spark, d):
+    g = cp2(spark, d)
+    return clustering.completed(stored(clustering.dendrogram(g.edges)), g.vertices).fillna(-1, ["parent"])
 
 
 #: Queries that bench.py times.
