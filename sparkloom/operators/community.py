@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
+from sparkloom.operators.components import FINISH
 from sparkloom.plans.fixpoint import iterate
 from sparkloom.session import dropped, stored
 
@@ -64,12 +69,63 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return per.agg((F.sum("inside") / total - F.sum(F.col("all") * F.col("all")) / (total * total)).alias("modularity"))
 
 
-def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 1) -> DataFrame:
+def _settled(near: dict[int, dict[int, float]], total: float) -> dict[int, int]:
+    """The community of each vertex by local moving and contraction in turn; vertices and neighbours go by id, so the result is fixed."""
+    at = {v: v for v in near}
+    while True:
+        strength = {v: sum(n.values()) for v, n in near.items()}
+        group, every = {v: v for v in near}, dict(strength)
+        moved = again = True
+        rounds = 0
+        while again and rounds < 100:
+            again, rounds = False, rounds + 1
+            for v in sorted(near):
+                own, k = group[v], strength[v]
+                into: dict[int, float] = defaultdict(float, {own: 0.0})
+                for u, w in near[v].items():
+                    if u != v:
+                        into[group[u]] += w
+                gain = lambda c: round(into[c] - k * (every[c] - (k if c == own else 0.0)) / total, 9)  # noqa: B023, E731
+                best = max(sorted(into), key=lambda c: (gain(c), c == own, -c))
+                if best != own:
+                    every[own] -= k
+                    every[best] += k
+                    group[v], again = best, True
+        heads: dict[int, int] = {}
+        for v in sorted(group):
+            heads.setdefault(group[v], v)
+        moved = len(heads) < len(near)
+        at = {v: heads[group[c]] for v, c in at.items()}
+        if not moved:
+            return at
+        fewer: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        for v, n in near.items():
+            for u, w in n.items():
+                fewer[heads[group[v]]][heads[group[u]]] += w
+        near = fewer
+
+
+def _united(e: DataFrame, total: float) -> DataFrame:
+    """``id, head`` for a bounded number of edges, in one task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near: dict[int, dict[int, float]] = defaultdict(dict)
+        for x in parts:
+            for a, b, w in zip(x["src"].tolist(), x["dst"].tolist(), x["w"].tolist(), strict=True):
+                near[a][b] = w
+        found = _settled(near, total)
+        yield pd.DataFrame({"id": list(found), "head": list(found.values())}, dtype="int64")
+
+    return e.select("src", "dst", "w").coalesce(1).mapInPandas(run, "id long, head long")
+
+
+def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 1, finish: int = FINISH) -> DataFrame:
     """``id, community`` by Louvain's two phases; ``edges (src, dst[, w])`` hold both directions, and the community is its smallest id.
 
     Local moving goes in rounds in which a hashed half of the vertices move to the neighbouring community with the largest
     gain (ties to the smaller one), so that two neighbours do not just swap; a level ends when two halves in a row gain
-    nothing worth a move, or after ``rounds``. Then communities become vertices. All is joins and sums by key.
+    nothing worth a move, or after ``rounds``. Then communities become vertices. All is joins and sums by key. Once at
+    most ``finish`` edges are left, one task goes on vertex by vertex.
     """
     spark = edges.sparkSession
     w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
@@ -79,6 +135,10 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 1)
     if not total:
         return label
     for level in range(levels):
+        if e.count() <= finish:
+            last = stored(_united(e, total))
+            label = label.join(last.withColumnRenamed("id", "community"), "community").select("id", F.col("head").alias("community"))
+            break
         strength = stored(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
         state = stored(strength.select("id", F.col("id").alias("c"), "k"))
         links = stored(e.filter("src <> dst"))

@@ -112,11 +112,15 @@ class Optimizer:
     beta1: float = 0.9
     beta2: float = 0.999
     eps: float = 1e-8
+    #: Weight decay of plain, momentum and Nesterov steps.
+    decay: float = 0.0
     state: dict = field(default_factory=dict)
 
     def step(self, key: str, w: np.ndarray, g: np.ndarray) -> np.ndarray:
         m, v, t = self.state.get(key, (np.zeros_like(w), np.zeros_like(w), 0))
         t += 1
+        if self.kind in ("sgd", "momentum", "nesterov"):
+            g = g + self.decay * w
         if self.kind == "sgd":
             d = self.lr * g
         elif self.kind in ("momentum", "nesterov"):
@@ -130,7 +134,7 @@ class Optimizer:
             d = self.lr * g / np.sqrt(v + self.eps)
         elif self.kind == "adam":
             m, v = self.beta1 * m + (1 - self.beta1) * g, self.beta2 * v + (1 - self.beta2) * g * g
-            d = self.lr * (m / (1 - self.beta1**t)) / (np.sqrt(v / (1 - self.beta2**t)) + self.eps)
+            d = self.lr * (m / (1 - self.beta1**t)) / np.sqrt(v / (1 - self.beta2**t) + self.eps)
         elif self.kind == "adamax":
             m, v = self.beta1 * m + (1 - self.beta1) * g, np.maximum(self.beta2 * v, np.abs(g))
             d = self.lr / (1 - self.beta1**t) * m / (v + self.eps)

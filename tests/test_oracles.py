@@ -9,7 +9,6 @@ from conftest import DATA
 from sparkloom.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["triangle_count", "degree_histogram", "cleaning_report", "orient", "induced_reindexed", "set_difference_bounded", "label_intersect", "interval_overlap", "bfs", "connected_components", "pagerank_10", "cf_rmse", "knn_exact", "gat_aggregate", "softmax_xent", "micro_f1", "partition_induced", "code_lengths", "row_offsets", "symmetrize"]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def norm(df):
     return sorted(tuple("%.6g" % x if isinstance(x, float) else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES) if os.environ.get("ALL_ORACLES") else FAST)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     a, b = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
