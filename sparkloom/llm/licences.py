@@ -178,10 +178,10 @@ cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(te
 worded AS (SELECT r, doc_id, list_filter(list_transform(ls, lambda x: string_split(trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda w: w[1] <> '') AS s FROM cut),
 held AS (SELECT r, doc_id, s, flatten(s) AS w FROM worded WHERE len(s) > 0),
 sharing AS (SELECT r, doc_id, s FROM held WHERE list_has_any({pairs('w')}, [{every}])),
-parts AS (SELECT r, doc_id, CAST(unnest(generate_series(1, len(s))) AS INTEGER) AS at, s FROM sharing),
-near AS (SELECT r, doc_id, at, s, list_concat(CASE WHEN at > 1 THEN [s[at - 1][-1]] ELSE [] END, s[at], CASE WHEN at < len(s) THEN [s[at + 1][1]] ELSE [] END) AS x FROM parts),
-flagged AS (SELECT r, doc_id, at, s[at] AS w, sum(len(s[at])) OVER (PARTITION BY r ORDER BY at) AS upto, list_has_any({pairs('x')}, [{every}]) AS known FROM near),
-units AS (SELECT a.r, a.doc_id, a.at AS unit, z.at AS last FROM flagged a JOIN flagged z ON z.r = a.r AND z.at >= a.at AND z.upto - a.upto + len(a.w) <= {longest_unit(templates, least)} WHERE a.known AND z.known),
+parts AS (SELECT r, doc_id, CAST(unnest(generate_series(1, len(s))) AS INTEGER) AS pos, s FROM sharing),
+near AS (SELECT r, doc_id, pos, s, list_concat(CASE WHEN pos > 1 THEN [s[pos - 1][-1]] ELSE [] END, s[pos], CASE WHEN pos < len(s) THEN [s[pos + 1][1]] ELSE [] END) AS x FROM parts),
+flagged AS (SELECT r, doc_id, pos, s[pos] AS w, sum(len(s[pos])) OVER (PARTITION BY r ORDER BY pos) AS upto, list_has_any({pairs('x')}, [{every}]) AS known FROM near),
+units AS (SELECT a.r, a.doc_id, a.pos AS unit, z.pos AS last FROM flagged a JOIN flagged z ON z.r = a.r AND z.pos >= a.pos AND z.upto - a.upto + len(a.w) <= {longest_unit(templates, least)} WHERE a.known AND z.known),
 whole AS (SELECT u.r, u.doc_id, unit, last, flatten(h.s[unit:last]) AS w FROM units u JOIN sharing h ON h.r = u.r),
 paired AS (SELECT r, doc_id, unit, last, list_distinct({pairs('w')}) AS b FROM whole WHERE len(w) > 1),
 scored AS (SELECT r, doc_id, unit, last, licence, i, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM paired, known WHERE len(b) <= len(tb) * {2 - least} / {least} + 0.000001 AND len(tb) <= len(b) * {2 - least} / {least} + 0.000001),

@@ -53,8 +53,9 @@ KNOWN, END = 1 << (BITS - 1), (1 << BITS) - 1
 MERGED, BLOCK, BYTES_A_SHARD = 2_000_000, 600_000, 32 << 20
 #: Common n-grams: looked for in a sample of about so many documents, in one of HUNDREDTH of which they are; at most COMMON.
 SAMPLE, HUNDREDTH, COMMON = 4_000, 100, 200_000
-#: Parts of the keys that the model's joins take one by one; times that scoring reads the documents.
-PARTS, PASSES = 4, 3
+#: Parts of the keys that the model's joins take one by one, and times that scoring reads the documents: of texts beyond SMALL
+#: bytes; below, one each, which differs in the room taken, not in the result.
+PARTS, PASSES, SMALL = 4, 3, 64 << 20
 #: Threshold: the one of these quantiles of the held-out trusted documents that parts them best from the held-out bad ones.
 QUANTILES = [0.9, 0.95, 0.98, 0.99, 0.995]
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
@@ -279,11 +280,11 @@ def _by_code(rows: DataFrame) -> tuple[np.ndarray, ...]:
 class KneserNey:
     """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, ``possible`` (whether a code can begin and end a pair of the model), and ``table``, the weights of pairs and triples packed for ``shards``."""
 
-    def __init__(self, counts: DataFrame, shards: int, scratch: list[str]):
+    def __init__(self, counts: DataFrame, shards: int, n_parts: int, scratch: list[str]):
         spark = counts.sparkSession
         key2 = F.col("key").bitwiseAND(PAIR)
-        part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("part")
-        tri = stored_parts(counts.select("key", F.col("c").cast("int").alias("c"), part(key2)), "part", PARTS, "key")
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(n_parts)).cast("int").alias("part")
+        tri = stored_parts(counts.select("key", F.col("c").cast("int").alias("c"), part(key2)), "part", n_parts, "key")
         bis = [stored(x.groupBy(key2.alias("key2")).agg(F.count(F.lit(1)).cast("int").alias("c2")).sortWithinPartitions("key2")) for x in tri]
         bi, every = _all(bis), _all(tri)
         seen = lambda c: [F.sum((F.col(c) == k).cast("long")) for k in (1, 2, 3, 4)]
@@ -317,7 +318,7 @@ class KneserNey:
             dropped(spark, [y])
             packed.append(stored(packed_weights(pairs.select(F.col("key2").bitwiseOR(mark).alias("key"), F.col("w2").alias("weight")), shards), scratch))
             both = x.withColumn("key2", key2).join(pairs.select("key2", "lp2"), "key2").select("key", "c", "lp2", part(F.shiftright("key", BITS)))
-            joined.append(stored_parts(both, "part", PARTS, "key"))
+            joined.append(stored_parts(both, "part", n_parts, "key"))
             dropped(spark, [x, pairs])
         for parts in zip(*joined, strict=True):
             some = _all(parts).withColumn("ctx", F.shiftright("key", BITS))
@@ -403,7 +404,7 @@ def _posted(shard: np.ndarray, place: np.ndarray, d: np.ndarray, block: int) ->
         yield _row(s, 1, block, _packed(ps[first]), _planes(np.diff(np.append(first, len(ps))).astype(np.int32)), _planes(d[a:b]), _planes(times[a:b]))
 
 
-def postings(docs: DataFrame, shards: int, known, words, common, turn: int) -> DataFrame:
+def postings(docs: DataFrame, shards: int, known, words, common, turn: int, passes: int) -> DataFrame:
     """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams; sums so far are those of common n-grams of the pass's shards and, in the first pass, of words."""
 
     def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +433,7 @@ def postings(docs: DataFrame, shards: int, known, words, common, turn: int) -> D
                 may = np.flatnonzero(ends[code & MASK] & begins[code >> BITS] | (code & MASK == 0))
                 k, d = k[may], d[may]
                 shard, place = _places(k, shards)
-                own = np.flatnonzero(shard % PASSES == turn)
+                own = np.flatnonzero(shard % passes == turn)
                 k, d, shard, place = k[own], d[own], shard[own], place[own]
                 at = often(k)
                 hit = at >= 0
@@ -513,7 +514,8 @@ def log_likelihoods(docs: DataFrame, counts: DataFrame, known, scratch: list[str
     spark = docs.sparkSession
     n_docs, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     shards = min(1 << 20, max(8, -(-(size or 0) // BYTES_A_SHARD)))
-    model = KneserNey(counts, shards, scratch)
+    parts, passes = (PARTS, PASSES) if (size or 0) > SMALL else (1, 1)
+    model = KneserNey(counts, shards, parts, scratch)
     table = model.table
     often = np.sort(common_keys(docs, n_docs, known).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -532,10 +534,10 @@ def log_likelihoods(docs: DataFrame, counts: DataFrame, known, scratch: list[str
     common = spark.sparkContext.broadcast((often, worth))
     words = spark.sparkContext.broadcast((model.predicted.astype(np.float32), model.context.astype(np.float32), *model.possible))
     every = None
-    for turn in range(PASSES):
-        own = table.filter(F.col("shard") % PASSES == turn)
+    for turn in range(passes):
+        own = table.filter(F.col("shard") % passes == turn)
         # rows that repeat share a row_key and have the same sums
-        sums = stored(_scored(postings(docs, shards, known, words, common, turn), own).groupBy("row_key").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), scratch)
+        sums = stored(_scored(postings(docs, shards, known, words, common, turn, passes), own).groupBy("row_key").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), scratch)
         every = sums if every is None else every.union(sums)
     return every.groupBy("row_key").agg(F.max("n").alias("n"), F.sum("logp").alias("logp"))
 

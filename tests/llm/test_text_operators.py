@@ -292,8 +292,9 @@ def test_scores_thresholds_and_kept_against_plain_kneser_ney(spark):
     assert quality.classified(df, labels.limit(0)).filter("keep").count() == len(rows)
 
 
-def test_common_words_and_pairs_are_added_up_where_they_stand(spark):
-    """What every document holds is looked up once; the sums are those of the postings."""
+def test_common_words_and_pairs_are_added_up_where_they_stand(spark, monkeypatch):
+    """What every document holds is looked up once; the sums are those of the postings, also by parts and in passes."""
+    monkeypatch.setattr(quality, "SMALL", 0)
     r = random.Random(8)
     texts = ["all of these begin alike " + sentence(r, 30) for _ in range(300)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
