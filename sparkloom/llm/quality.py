@@ -81,7 +81,7 @@ def hashed(texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.nda
 
 
 class Places:
-    """Where hashes stand in a sorted array of hashes: their first 20 bits lead to the few that share them."""
+    """Where hashes stand in a sorted array of evenly spread hashes: their first 20 bits lead to the few that share them."""
 
     def __init__(self, known: np.ndarray):
         self.known = known
@@ -419,7 +419,9 @@ def postings(docs: DataFrame, shards: int, known, words, common, turn: int, pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predicted, context, begins, ends = words.value
-        often, worth = Places(common.value[0]), common.value[1]
+        mixed = K.mix(common.value[0])  # keys begin alike, their hashes do not
+        order = np.argsort(mixed)
+        often, worth = Places(mixed[order]), common.value[1][order]
         held: list[tuple] = []
         size = 0
         for batch in batches:
@@ -435,7 +437,7 @@ def postings(docs: DataFrame, shards: int, known, words, common, turn: int, pass
                 shard, place = _places(k, shards)
                 own = np.flatnonzero(shard % passes == turn)
                 k, d, shard, place = k[own], d[own], shard[own], place[own]
-                at = often(k)
+                at = often(K.mix(k))
                 hit = at >= 0
                 sums += np.bincount(d[hit], weights=worth[at[hit]], minlength=b - a)
                 held.append((shard[~hit], place[~hit], batch.column(0).slice(a, b - a).to_numpy(), sums, t.words, d[~hit]))
