@@ -2,29 +2,187 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
-from sparkloom.operators.transform import oriented
-from sparkloom.session import stored
+from sparkloom.session import dropped, stored
 
 
-def triangle_list(g: Graph) -> DataFrame:
-    """``a, b, c``: each triangle once, by the oriented edges.
+#: Edges that one cell holds at about, edges that a task packs at once, candidates that a cell looks up at once.
+CELL, PACK, LOOK = 3_000_000, 2_000_000, 262_144
+
+
+def _colours(ids: np.ndarray, p: int) -> np.ndarray:
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % p
+
+
+def _narrow(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """Whole numbers as the smallest and what is added to it, in 32 bits where that fits."""
+    low = int(x.min())
+    return (low, (x - low).astype(np.uint32)) if int(x.max()) - low < 1 << 32 else (0, x)
+
+
+def _packed(p: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges as blocks by the two colours of their ends: sources as steps, both sides in 32 bits where that fits."""
+
+    def pack(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
+        a, b = _colours(src, p), _colours(dst, p)
+        pair = np.minimum(a, b) * p + np.maximum(a, b)
+        order = np.lexsort((src, pair))
+        src, dst, pair = src[order], dst[order], pair[order]
+        rows = []
+        ends = np.flatnonzero(np.diff(pair, append=-1)) + 1
+        for k, z in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+            s, x = _narrow(src[k:z])
+            d, y = _narrow(dst[k:z])
+            rows.append((int(pair[k]) // p, int(pair[k]) % p, z - k, s, np.diff(x, prepend=x.dtype.type(0)).tobytes(), d, y.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["i", "j", "n", "s", "src", "d", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for x in batches:
+            if x.num_rows:
+                held.append((np.asarray(x.column(0)), np.asarray(x.column(1))))
+            if sum(len(h[0]) for h in held) >= PACK:
+                yield pack(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
+        if held:
+            yield pack(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _unpacked(n: int, low: int, data: bytes, steps: bool) -> np.ndarray:
+    x = np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.int64).astype(np.int64)
+    return (np.cumsum(x) if steps else x) + low
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted values of ``x``, which it sorts in place: faster than hashing them."""
+    x.sort()
+    return x[np.diff(x, prepend=x[:1] - 1) != 0]
+
 
-    Orientation bounds the out-degree by the root of twice the edges, so wedges stay few even at hubs, and no adjacency
-    list is gathered: three equi-joins that Spark can split where a key is hot.
+def _closed(src: np.ndarray, dst: np.ndarray, p: int, mixed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct vertices of a cell and, in pieces, its triangles by their places among these; with ``mixed``, none whose vertices all share a colour.
+
+    Edges go from the lower degree in the cell to the higher, which bounds the paths by the edges to the power 1.5. A path's
+    closing edge is looked up in a table of bits first and, where a bit is set, among the sorted edges.
+    """
+    ids = _distinct(np.concatenate([src, dst]))
+    u, v = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    order = np.argsort(np.bincount(u, minlength=len(ids)) + np.bincount(v, minlength=len(ids)), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(ids))
+    u, v = rank[u], rank[v]
+    ids, thirty_two = ids[order], np.int64(32)
+    edge = _distinct(np.minimum(u, v) << thirty_two | np.maximum(u, v))
+    del u, v, rank, order
+    lo, hi = (edge >> thirty_two).astype(np.int32), (edge & np.int64(0xFFFFFFFF)).astype(np.int32)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(lo, minlength=len(ids)))])
+    size = max(10, min(27, (len(edge) * 32).bit_length()))
+
+    def spots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size)
+        return (h >> np.uint64(3)).astype(np.int64), np.left_shift(1, (h & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
+
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    for k in range(0, len(edge), LOOK):
+        np.bitwise_or.at(bits, *spots(edge[k : k + LOOK]))
+    colour = _colours(ids, p) if mixed else None
+    ahead = begin[hi + 1] - begin[hi]
+    total = np.concatenate([[0], np.cumsum(ahead)])
+    k = 0
+    while k < len(edge):
+        z = max(k + 1, int(np.searchsorted(total, total[k] + LOOK, "right")) - 1)
+        n = ahead[k:z]
+        e = np.repeat(np.arange(k, z), n)
+        c = hi[np.arange(total[k], total[z]) + np.repeat(begin[hi[k:z]] - total[k:z], n)]
+        k = z
+        probe = lo[e].astype(np.int64) << thirty_two | c
+        at, bit = spots(probe)
+        keep = np.flatnonzero(bits[at] & bit)
+        probe = probe[keep]
+        place = np.minimum(np.searchsorted(edge, probe), len(edge) - 1)
+        keep = keep[edge[place] == probe]
+        a, b, c = lo[e[keep]], hi[e[keep]], c[keep]
+        if mixed:
+            other = (colour[a] != colour[b]) | (colour[b] != colour[c])
+            a, b, c = a[other], b[other], c[other]
+        yield ids, a, b, c
+
+
+def _by_cells(g: Graph, schema: str, found: Callable[[Iterator], Iterator[pa.RecordBatch]], after: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """What ``found`` makes of each cell's triangles, then ``after`` of that, as one stored table per pass.
+
+    Vertices have one of ``p`` colours by hash, and each three colours, equal ones too, make a cell with the edges among
+    them, so a triangle lies whole in the cell of its colours. An edge travels ``p`` times, packed in blocks of a few bytes an
+    edge, and paths of two edges are never written. The cells are dealt in passes that each send every edge about twice.
     """
-    o = stored(oriented(g))  # read three times
-    wedge = o.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(o.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
-    return wedge.join(o.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_semi").select("a", "b", "c")
+    spark = g.edges.sparkSession
+    edges = g.edges.filter("src < dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    m = edges.count()
+    p = max(4, math.isqrt(6 * m // CELL) + 1)
+    passes = -(-p * m // max(2 * m, 16 * CELL)) or 1
+    blocks = stored(edges.mapInArrow(_packed(p), "i long, j long, n long, s long, src binary, d long, dst binary"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda k: F.array_sort(F.array("i", "j", k.cast("long"))))
+    codes = F.transform(cells, lambda x: (x[0] * p + x[1]) * p + x[2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, dst, cell = [], [], None
+        for x in batches:
+            for r in x.to_pylist():
+                cell = r["cell"]
+                src.append(_unpacked(r["n"], r["s"], r["src"], True))
+                dst.append(_unpacked(r["n"], r["d"], r["dst"], False))
+        i, j, k = cell // (p * p), cell // p % p, cell % p
+        a, b = np.concatenate(src), np.concatenate(dst)
+        del src, dst
+        yield from found(_closed(a, b, p, i != k and j in (i, k)))
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    out = []
+    for t in range(passes):
+        mine = F.lit(t)
+        own = blocks.select(F.explode(F.filter(codes, lambda c: F.pmod(F.xxhash64(c), F.lit(passes)) == mine)).alias("cell"), "n", "s", "src", "d", "dst")  # noqa: B023
+        out.append(stored(after(own.groupBy("cell").applyInArrow(run, schema))))
+    dropped(spark, [blocks])
+    return out
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
+def triangle_list(g: Graph) -> DataFrame:
+    """``a < b < c``: each triangle once."""
+
+    def found(pieces: Iterator) -> Iterator[pa.RecordBatch]:
+        for ids, *corners in pieces:
+            if len(corners[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.sort(np.stack([ids[x] for x in corners]), axis=0)], names=["a", "b", "c"])
+
+    return _all(_by_cells(g, "a long, b long, c long", found, lambda x: x))
 
 
 def triangle_count(g: Graph) -> DataFrame:
-    return triangle_list(g).agg(F.count(F.lit(1)).alias("triangles"))
+    def found(pieces: Iterator) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(x[1]) for x in pieces)], pa.int64())], names=["n"])
+
+    sums = _by_cells(g, "n long", found, lambda x: x.agg(F.sum("n").alias("n")))
+    return _all(sums).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triangles"))
 
 
 def triangles_per_vertex(g: Graph) -> DataFrame:
