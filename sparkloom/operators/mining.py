@@ -187,7 +187,16 @@ def triangle_count(g: Graph) -> DataFrame:
 
 def triangles_per_vertex(g: Graph) -> DataFrame:
     """``id, triangles`` for all vertices."""
-    each = triangle_list(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
+
+    def found(pieces: Iterator) -> Iterator[pa.RecordBatch]:
+        ids, n = None, None
+        for ids, *corners in pieces:
+            n = np.zeros(len(ids), np.int64) if n is None else n
+            n += np.bincount(np.concatenate(corners), minlength=len(ids))
+        if n is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], names=["id", "n"])
+
+    each = _all(_by_cells(g, "id long, n long", found, lambda x: x.groupBy("id").agg(F.sum("n").alias("n")))).groupBy("id").agg(F.sum("n").alias("triangles"))
     return g.vertices.select("id").join(each, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
 
 

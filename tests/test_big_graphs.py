@@ -42,3 +42,10 @@ def test_triangles_by_cells_and_passes(spark, monkeypatch):
     assert len(want) > 50 and mining.triangle_count(g).first()[0] == len(want)
     assert sorted(tuple(r) for r in mining.triangle_list(g).collect()) == sorted(tuple(sorted(names[v] for v in t)) for t in want)
     assert {r[0]: r[1] for r in mining.triangles_per_vertex(g).collect()} == {names[v]: sum(v in t for t in want) for v in range(40)}
+
+
+def test_triangles_per_vertex_keep_no_list(spark, monkeypatch):
+    n = 60
+    monkeypatch.setattr(mining, "triangle_list", None)
+    g = graph(spark, list(combinations(range(n), 2)), range(n + 1))
+    assert {r[0]: r[1] for r in mining.triangles_per_vertex(g).collect()} == {v: (n - 1) * (n - 2) // 2 if v < n else 0 for v in range(n + 1)}
