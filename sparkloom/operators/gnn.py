@@ -7,16 +7,17 @@ vertices, computed per partition and added up, so that no task or driver holds t
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.graph import Graph
-from sparkloom.session import cut, stored
+from sparkloom.session import cut, dropped, stored
 
 # --- normalisation and aggregation ---------------------------------------------------------------------------------
 
@@ -348,31 +349,160 @@ def inductive(g: Graph, members: DataFrame) -> Graph:
     return Graph(g.vertices.join(members.select("id"), "id", "left_semi"), masked(g.edges.select("src", "dst"), members), g.directed)
 
 
-def gated_layer(features: DataFrame, w: np.ndarray, g: Graph, gates: dict[str, np.ndarray]) -> DataFrame:
+GATES = ("Wz", "Uz", "Wr", "Ur", "Wc", "Uc")
+
+
+class DrawnGates:
+    """The gates that ``rng = default_rng(seed)`` and ``rng.normal(0, scale, (n, n))`` for each of ``GATES`` give, made row by row where they are needed.
+
+    A normal number takes one word of the generator or, seldom, more, so where a row begins must be found out. Tasks draw
+    through segments of the words and tell how many numbers begin in each and how far the last one reaches beyond it; where
+    a number reaches beyond, a few draws show at which word both readings of the next segment agree again.
+    """
+
+    def __init__(self, seed: int, n: int, scale: float):
+        self.seed, self.n, self.scale = seed, n, scale
+        #: Numbers that come before known places, and these places in words.
+        self.before, self.at = [0], [0]
+
+    def _from(self, word: int) -> np.random.Generator:
+        rng = np.random.default_rng(self.seed)
+        rng.bit_generator.advance(word)
+        return rng
+
+    @staticmethod
+    def _words(then: dict, now: dict) -> int:
+        """Steps of the generator from one state to a later one, bit by bit."""
+        full = (1 << 128) - 1
+        x, y, plus, times, bit, out = then["state"]["state"], now["state"]["state"], then["state"]["inc"], 0x2360ED051FC65DA44385DF649FCCF645, 1, 0
+        while x != y:
+            if (x ^ y) & bit:
+                x, out = (x * times + plus) & full, out | bit
+            bit, plus, times = bit << 1, (times + 1) * plus & full, times * times & full
+        return out
+
+    @staticmethod
+    def _skip(rng: np.random.Generator, k: int) -> None:
+        for done in range(0, k, 1 << 18):
+            rng.standard_normal(min(1 << 18, k - done))
+
+    def _segment(self, start: int, length: int) -> tuple[int, int]:
+        """Numbers that begin within ``length`` words from the word ``start``, where one begins, and the words of the last beyond them."""
+        rng, count, past = self._from(start), 0, 0
+        begin = rng.bit_generator.state
+        step = length
+        while past < length:
+            step = max(1, min(step, (length - past) * 19 // 20 if length - past > 64 else 1))
+            state = rng.bit_generator.state
+            self._skip(rng, step)
+            now = self._words(begin, rng.bit_generator.state)
+            if now > length and step > 1:  # some number before the last may have passed the end
+                rng.bit_generator.state, step = state, step // 2
+            else:
+                past, count, step = now, count + step, length
+        return count, past - length
+
+    def _again(self, start: int, over: int, length: int, count: int, beyond: int) -> tuple[int, int]:
+        """``count`` and ``beyond`` of a segment as read from ``over`` words later."""
+        rngs, place, drawn = [self._from(start), self._from(start + over)], [0, over], [0, 0]
+        while place[0] != place[1] and min(place) < length:
+            k = place.index(min(place))
+            state = rngs[k].bit_generator.state
+            self._skip(rngs[k], 1)
+            place[k] += self._words(state, rngs[k].bit_generator.state)
+            drawn[k] += 1
+        return (count - drawn[0] + drawn[1], beyond) if place[0] == place[1] else (drawn[1], place[1] - length)
+
+    def located(self, spark: SparkSession, tasks: int, least: int = 1 << 20) -> DrawnGates:
+        """Itself, with a known place in every stretch of numbers, ``least`` long or a sixteenth of a task's share."""
+        total = len(GATES) * self.n * self.n
+        length = max(least, total // (16 * tasks))
+        if total <= length:
+            return self
+        parts = -(-total * 21 // (20 * length))  # 1.02 words for a number; what lies beyond is drawn from the last place
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                for k in x.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (k, *self._segment(k * length, length))], names=["k", "count", "beyond"])
+
+        found = {r["k"]: (r["count"], r["beyond"]) for r in spark.range(0, parts, 1, min(parts, 8 * tasks)).mapInArrow(run, "k long, count long, beyond long").collect()}
+        before, at, total, over = [], [], 0, 0
+        for k in range(parts):
+            before.append(total)
+            at.append(k * length + over)
+            count, beyond = self._again(k * length, over, length, *found[k]) if over else found[k]
+            total, over = total + count, beyond
+        self.before, self.at = before, at
+        return self
+
+    def rows(self, name: str, low: int, high: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows from ``low`` to before ``high`` of a gate, at most ``most`` at once, each time after the number of the first."""
+        first = (GATES.index(name) * self.n + low) * self.n
+        k = bisect.bisect_right(self.before, first) - 1
+        rng = self._from(self.at[k])
+        self._skip(rng, first - self.before[k])
+        for r in range(low, high, most):
+            yield r, rng.normal(0, self.scale, (min(most, high - r), self.n))
+
+
+def gated_layer(features: DataFrame, w: np.ndarray, g: Graph, gates: dict[str, np.ndarray] | DrawnGates) -> DataFrame:
     """A gated layer: the projection by ``w``, then one gated update."""
     return gated_step(dense(features, w), g, gates)
 
 
-def gated_step(features: DataFrame, g: Graph, gates: dict[str, np.ndarray], most: int = 20_000) -> DataFrame:
-    """One gated recurrent update with ``n x n`` gates that mix vertices: ``gates`` has Wz, Uz, Wr, Ur, Wc, Uc.
+def gated_step(features: DataFrame, g: Graph, gates: dict[str, np.ndarray] | DrawnGates) -> DataFrame:
+    """One gated recurrent update with ``n x n`` gates that mix vertices (by ascending ids): ``gates`` has Wz, Uz, Wr, Ur, Wc, Uc.
 
-    Such weights grow with the square of the vertices, so this is for small graphs (``most`` vertices at most, checked) and runs in one task.
+    Gates are multiplied by strips of rows, a task for some of the strips; each task holds the features of all vertices,
+    which are small beside the gates. Gates given as arrays travel to the tasks; drawn ones are made there and never whole.
     """
-    if g.vertices.count() > most:
-        raise ValueError(f"vertex-mixing gates are for {most} vertices at most")
+    spark = features.sparkSession
     dim = len(features.first()["h"])
     ones = g.edges.select("src", "dst", F.lit(1.0).alias("norm"))
-    rows = features.join(weighted_sum(ones, features, dim).withColumnRenamed("h", "a"), "id")
+    rows = stored(features.select("id", "h").join(weighted_sum(ones, features, dim).withColumnRenamed("h", "a"), "id"))
+    n = rows.count()
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, n * n >> 16))
+    if isinstance(gates, DrawnGates):
+        gates.located(spark, tasks)
     sig = lambda x: 1 / (1 + np.exp(-x))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
+    def times(name: str, x: np.ndarray, low: int, high: int) -> np.ndarray:
+        most = max(1, (1 << 21) // n)
+        strips = gates.rows(name, low, high, most) if isinstance(gates, DrawnGates) else [(low, gates[name][low:high])]
+        out = np.empty((high - low, x.shape[1]))
+        for r, w in strips:
+            out[r - low : r - low + len(w)] = w @ x
+        return out
+
+    def share(key: tuple, table: pa.Table) -> tuple[pa.Table, int, int]:
+        part = key[0].as_py()
+        return table.sort_by("id"), n * part // tasks, n * (part + 1) // tasks
+
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        table, low, high = share(key, table)
         h, a = _matrix(table.column("h")), _matrix(table.column("a"))
-        z, r = sig(gates["Wz"] @ a + gates["Uz"] @ h), sig(gates["Wr"] @ a + gates["Ur"] @ h)
-        c = np.tanh(gates["Wc"] @ a + gates["Uc"] @ (r * h))
-        return pa.table([table.column("id"), _column((1 - z) * h + z * c)], names=["id", "h"])
+        z = sig(times("Wz", a, low, high) + times("Uz", h, low, high))
+        r = sig(times("Wr", a, low, high) + times("Ur", h, low, high))
+        own = h[low:high]
+        return pa.table([table.column("id")[low:high], *(_column(x) for x in (own, z, r * own, times("Wc", a, low, high)))], names=["id", "h", "z", "x", "c"])
+
+    def second(key: tuple, table: pa.Table) -> pa.Table:
+        table, low, high = share(key, table)
+        return pa.table([table.column("id")[low:high], _column(times("Uc", _matrix(table.column("x")), low, high))], names=["id", "u"])
 
-    return rows.withColumn("_k", F.lit(0)).groupBy("_k").applyInArrow(lambda t: run(t.drop_columns("_k")), "id long, h array<double>")
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h, z, c, u = (_matrix(b.column(k)) for k in range(1, 5))
+                yield pa.RecordBatch.from_arrays([b.column(0), _column((1 - z) * h + z * np.tanh(c + u))], names=["id", "h"])
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part")
+    half = stored(rows.select("id", "h", "a", parts).groupBy("part").applyInArrow(first, "id long, h array<double>, z array<double>, x array<double>, c array<double>"))
+    rest = half.select("id", "x", parts).groupBy("part").applyInArrow(second, "id long, u array<double>")
+    out = stored(half.select("id", "h", "z", "c").join(rest, "id").select("id", "h", "z", "c", "u").mapInArrow(mixed, "id long, h array<double>"))
+    dropped(spark, [rows, half])
+    return out
 
 
 def l2_layer(rows: DataFrame, column: str = "h") -> DataFrame:

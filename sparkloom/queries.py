@@ -561,9 +561,7 @@ def gat_train_loss(spark, d):
 def ggnn_step(spark, d):
     g = knn_graph(spark, d)
     n = g.vertices.count()
-    rng = np.random.default_rng(3)
-    gates = {k: rng.normal(0, 1 / n, (n, n)) for k in ("Wz", "Uz", "Wr", "Ur", "Wc", "Uc")}
-    return _long(gnn.gated_step(features(spark, d), g, gates))
+    return _long(gnn.gated_step(features(spark, d), g, gnn.DrawnGates(3, n, 1 / n)))
 
 
 # --- clustering, forests, partitions, codes --------------------------------------------------------------------------------------

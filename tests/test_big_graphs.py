@@ -1,11 +1,16 @@
 """Steps that must stay small where the graph is not."""
 
+import tracemalloc
 from itertools import combinations
 
+import numpy as np
+import pytest
 from graphs import neighbours, random_edges
 
 from sparkloom.graph import Graph
-from sparkloom.operators import mining
+from sparkloom.operators import gnn, mining
+from sparkloom.queries import QUERIES
+from sparkloom.session import table
 
 
 def graph(spark, edges, vertices):
@@ -49,3 +54,30 @@ def test_triangles_per_vertex_keep_no_list(spark, monkeypatch):
     monkeypatch.setattr(mining, "triangle_list", None)
     g = graph(spark, list(combinations(range(n), 2)), range(n + 1))
     assert {r[0]: r[1] for r in mining.triangles_per_vertex(g).collect()} == {v: (n - 1) * (n - 2) // 2 if v < n else 0 for v in range(n + 1)}
+
+
+def test_drawn_gates_are_those_of_the_generator(spark):
+    n = 150
+    rng = np.random.default_rng(3)
+    want = {k: rng.normal(0, 1 / n, (n, n)) for k in gnn.GATES}
+    for least in (37, 1_000, 1 << 20):  # segments so short that numbers often reach beyond them, and none
+        drawn = gnn.DrawnGates(3, n, 1 / n).located(spark, 4_000, least)
+        assert len(drawn.at) == (-(-6 * n * n * 21 // (20 * least)) if least < 6 * n * n else 1)
+        for k in gnn.GATES:
+            for low, high in ((0, n), (71, 90), (149, 150)):
+                assert all(np.array_equal(rows, want[k][r : r + len(rows)]) for r, rows in drawn.rows(k, low, high, 8))
+    h = spark.createDataFrame([(v * 3, [float(v % 7), 0.5 * v]) for v in range(n)], "id long, h array<double>")
+    g = Graph.of_edges(spark.createDataFrame([(3 * a, 3 * b) for a, b in random_edges(n, 400, 2)], "src long, dst long"), vertices=h.select("id"))
+    a, b = ({r["id"]: r["h"] for r in gnn.gated_step(h, g, x).collect()} for x in (want, gnn.DrawnGates(3, n, 1 / n)))
+    assert len(a) == n and all(b[v] == pytest.approx(a[v], abs=1e-12) for v in a)
+
+
+def test_gated_query_holds_no_gate_on_the_driver(spark):
+    d = "/root/testdata/sf0.01"
+    n = table(spark, d, "embeddings").count()
+    tracemalloc.start()
+    try:
+        assert QUERIES["ggnn_step"](spark, d).count() == 64 * n
+        assert tracemalloc.get_traced_memory()[1] < 4 * n * n
+    finally:
+        tracemalloc.stop()
