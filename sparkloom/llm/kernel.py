@@ -48,7 +48,8 @@ class Words:
             first = np.cumsum(n) - n
             inside = np.arange(int(n.sum())) - np.repeat(first, n)
             at = np.repeat(s, n) + inside
-            h = np.add.reduceat((self.data[at].astype(np.uint64) + _U(1)) * _WEIGHT[inside % _PERIOD], first)
+            weight = _WEIGHT[inside if int(n.max()) <= _PERIOD else inside % _PERIOD]
+            h = np.add.reduceat((self.data[at].astype(np.uint64) + _U(1)) * weight, first)
             out[a:b] = mix(h + n.astype(np.uint64) * _GOLD)
         return out
 

@@ -363,7 +363,7 @@ def packed_weights(weights: DataFrame, shards: int) -> DataFrame:
                 return
             k, x = (np.concatenate(c) for c in zip(*held, strict=True))
             shard, place = _places(k.astype(np.int64).view(np.uint64), shards)
-            order = np.lexsort((place, shard))
+            order = np.argsort(shard.astype(np.int64) << 32 | place)
             shard, place, x = shard[order], place[order], x[order]
             for s, a, b in _runs(shard):
                 yield _row(s, 0, 0, _packed(place[a:b]), zlib.compress(np.rint(x[a:b] * 1000).astype(np.int16).tobytes(), 1))
@@ -388,12 +388,17 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _posted(shard: np.ndarray, place: np.ndarray, d: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
-    """Postings (kind 1) of a block: by shard the distinct places, how many documents have each, and, place by place, which and how many times. ``d`` ascends among equal places."""
+    """Postings (kind 1) of a block: by shard the distinct places, how many documents have each, and, place by place, which and how many times."""
     if not len(shard):
         return
     one = shard.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)
-    order = np.argsort(one, kind="stable")
-    one, d = one[order], d[order]
+    bits = int(d.max()).bit_length()
+    if int(one.max()).bit_length() + bits <= 64:  # numbers are sorted many times faster than their order is found
+        both = np.sort(one << np.uint64(bits) | d.astype(np.uint64))
+        one, d = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((d, one))
+        one, d = one[order], d[order]
     new = np.concatenate([[True], (one[1:] != one[:-1]) | (d[1:] != d[:-1])])
     begin = np.flatnonzero(new)
     one, d, times = one[begin], d[begin].astype(np.int32), np.diff(np.append(begin, len(new))).astype(np.int32)
