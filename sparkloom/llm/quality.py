@@ -16,9 +16,10 @@ hundredth of a sample of documents hold would all meet in one task, so their wei
 apart by 32 bits of their hash: as a shard's part of the model is bounded, an n-gram that it lacks is taken for another
 one with a chance below one in a thousand. Weights are rounded to thousandths.
 
-Triples and pairs take far more room than the text, so nothing of that size is shuffled at once: the model's joins go
-through PARTS of their keys one after the other, and scoring goes PASSES times over the documents, each time for some of
-the shards. Shuffle files are deleted as soon as a step is stored.
+Triples and pairs take far more room than the text, so none travels as a row: the model's are dealt twice, by the pair at
+their end and by the context at their beginning, as packed blocks of sorted keys that a task merges for a shard of bounded
+size. Scoring goes PASSES times over the documents, each time for some of the shards. Shuffle files are deleted as soon as
+a step is stored.
 
 A document is kept if its perplexity is at most its language's threshold, a
 quantile of the perplexities of trusted documents that the model has not seen: it is counted over those whose hashed id
@@ -43,19 +44,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
-from sparkloom.session import dropped, shuffles_deleted, stored, stored_parts
+from sparkloom.session import dropped, shuffles_deleted, small_batches, stored
 
 BITS = 21
 MASK, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: Codes of known words are 1 to KNOWN; the codes above it but for the last are for hashed words; the last is the end mark.
 KNOWN, END = 1 << (BITS - 1), (1 << BITS) - 1
 #: Words whose distinct keys a task merges before it passes them on; n-grams in a block of postings; bytes of text a shard serves.
-MERGED, BLOCK, BYTES_A_SHARD = 2_000_000, 600_000, 32 << 20
+MERGED, BLOCK, BYTES_A_SHARD = 1_000_000, 600_000, 16 << 20
 #: Common n-grams: looked for in a sample of about so many documents, in one of HUNDREDTH of which they are; at most COMMON.
 SAMPLE, HUNDREDTH, COMMON = 4_000, 100, 200_000
-#: Parts of the keys that the model's joins take one by one, and times that scoring reads the documents: of texts beyond SMALL
-#: bytes; below, one each, which differs in the room taken, not in the result.
-PARTS, PASSES, SMALL = 4, 3, 64 << 20
+#: Times that scoring reads the documents, of texts beyond SMALL bytes; below, once, which differs in the room taken, not in the result.
+PASSES, SMALL = 3, 64 << 20
+#: Ranges of word codes whose tallies one task adds up.
+RANGES = 16
 #: Threshold: the one of these quantiles of the held-out trusted documents that parts them best from the held-out bad ones.
 QUANTILES = [0.9, 0.95, 0.98, 0.99, 0.995]
 #: One of so many parts of the trusted documents is held out from the model for the thresholds.
@@ -162,7 +164,7 @@ def _unplaned(raw: pa.Buffer) -> np.ndarray:
     n, size = raw[0], int.from_bytes(raw[2:10], "little")
     planes = np.zeros((n, size), np.uint8)
     planes[np.unpackbits(np.frombuffer(raw[1:2], np.uint8))[:n].astype(bool)] = np.frombuffer(zlib.decompress(raw[10:]), np.uint8).reshape(-1, size)
-    return np.ascontiguousarray(planes.T).view(np.int64 if n == 8 else np.int32).ravel()
+    return np.ascontiguousarray(planes.T).view(f"i{n}").ravel()
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -246,13 +248,100 @@ def _known(known) -> Places:
     return found
 
 
-def trigram_counts(docs: DataFrame, known=None) -> DataFrame:
-    """``key, c`` over all tokens of ``docs`` (``lang, text``). ``known``: a broadcast of :func:`known_words`."""
+def _turned(key: np.ndarray) -> np.ndarray:
+    """Keys of triples with their last two codes first."""
+    return (key & PAIR) << BITS | key >> 2 * BITS
 
-    def keys(texts: pa.Array, langs: list[str | None]) -> np.ndarray:
-        return Tokens(texts, langs, _known(known)).triple
 
-    return _counted(docs, keys).select("key", F.col("n").alias("c"))
+def _blob(rows: pa.Table | pa.RecordBatch, column: str, i: int) -> pa.Buffer:
+    return rows.column(column)[i].as_buffer()
+
+
+def _dealt(shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Each shard with its part of the columns, whose order stays."""
+    if not len(shard):
+        return
+    order = np.argsort(shard.astype(np.uint16) if int(shard.max()) < 1 << 16 else shard, kind="stable")
+    columns = [c[order] for c in columns]
+    for s, a, b in _runs(shard[order]):
+        yield s, *[c[a:b] for c in columns]
+
+
+_COUNTS, _COUNT_TYPES = "shard int, keys binary, counts binary", (pa.int32(), pa.binary(), pa.binary())
+
+
+def _batch(rows: list[tuple], schema: str, types: Sequence[pa.DataType]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(types), types, strict=True)], names=names)
+
+
+def trigram_counts(docs: DataFrame, shards: int, known=None) -> DataFrame:
+    """``shard, keys, counts``: the distinct triples of all tokens of ``docs`` (``lang, text``), turned, and how often each is there; a shard is one row and has all triples of its pairs. ``known``: a broadcast of :func:`known_words`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            k = np.sort(np.concatenate(held))
+            begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+            n = np.diff(np.append(begin, len(k)))
+            k = k[begin]
+            return _batch([(s, _packed(own), _planes(times)) for s, own, times in _dealt(_places((k >> BITS).view(np.uint64), shards)[0], k, n)], _COUNTS, _COUNT_TYPES)
+
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for a, b, part in K.chunks(batch.column(1)):
+                held.append(_turned(Tokens(part, langs[a:b], _known(known)).triple))
+                size += len(held[-1])
+                if size > MERGED:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    def merged(key: tuple, rows: pa.Table) -> pa.Table:
+        k, n = _merged([(_unpacked(_blob(rows, "keys", i)), _unplaned(_blob(rows, "counts", i))) for i in range(rows.num_rows)])
+        return pa.Table.from_batches([_batch([(key[0].as_py(), _packed(k), _planes(n))], _COUNTS, _COUNT_TYPES)])
+
+    return docs.select("lang", F.col("text").cast("string")).mapInArrow(run, _COUNTS).groupBy("shard").applyInArrow(merged, _COUNTS)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each row of :func:`trigram_counts`: the turned keys, their counts, the pairs, where each begins, and how many triples it has."""
+    for b in batches:
+        for i in range(b.num_rows):
+            k, c = _unpacked(_blob(b, "keys", i)), _unplaned(_blob(b, "counts", i))
+            pair = k >> BITS
+            begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            yield k, c, pair[begin], begin, np.diff(np.append(begin, len(k)))
+
+
+def tallies(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From :func:`trigram_counts`, by word code: the pairs it ends, the triples whose pair it begins, and the pairs it begins that have one, two and more triples. And how many triples are there once to four times, and how many pairs have one to four triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = np.zeros((5, 1 << BITS), np.int32), np.zeros(8, np.int64)
+        for _, c, pair, _, c2 in _counts(batches):
+            v = pair >> BITS
+            for j, (code, n) in enumerate([(np.sort(pair & MASK), 1), (v, c2), *[(v[x], 1) for x in (c2 == 1, c2 == 2, c2 > 2)]]):
+                begin = np.flatnonzero(np.diff(code, prepend=-1))
+                sums[j, code[begin]] += np.add.reduceat(np.broadcast_to(n, len(code)), begin) if len(code) else 0
+            seen += [int((x == j).sum()) for x in (c, c2) for j in (1, 2, 3, 4)]
+        rows = [(i, _planes(x.ravel())) for i, x in enumerate(np.split(sums, RANGES, axis=1))] if seen.any() or sums.any() else []
+        yield _batch([*rows, (RANGES, _planes(seen))], schema, types)
+
+    def added(key: tuple, rows: pa.Table) -> pa.Table:
+        total = _unplaned(_blob(rows, "sums", 0)).astype(np.int64)
+        for i in range(1, rows.num_rows):
+            total += _unplaned(_blob(rows, "sums", i))
+        return pa.Table.from_batches([_batch([(key[0].as_py(), _planes(total))], schema, types)])
+
+    schema, types = "range int, sums binary", (pa.int32(), pa.binary())
+    t = counts.mapInArrow(run, schema).groupBy("range").applyInArrow(added, schema).toArrow()
+    found = {t.column("range")[i].as_py(): _unplaned(_blob(t, "sums", i)) for i in range(t.num_rows)}
+    none = np.zeros(5 * (1 << BITS) // RANGES, np.int64)
+    return np.concatenate([found.get(i, none).reshape(5, -1) for i in range(RANGES)], axis=1), found.get(RANGES, np.zeros(8, np.int64))
 
 
 def _discounts(row) -> list[float]:
@@ -265,35 +354,17 @@ def _discounts(row) -> list[float]:
     return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
 
 
-def _by_code(rows: DataFrame) -> tuple[np.ndarray, ...]:
-    """The columns of a table by word code (2**BITS rows at most), its first column, as arrays by that."""
-    t = rows.toArrow()
-    at = t.column(0).to_numpy()
-    out = []
-    for c in t.columns[1:]:
-        a = np.zeros(1 << BITS)
-        a[at] = c.to_numpy()
-        out.append(a)
-    return tuple(out)
-
-
 class KneserNey:
     """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, ``possible`` (whether a code can begin and end a pair of the model), and ``table``, the weights of pairs and triples packed for ``shards``."""
 
-    def __init__(self, counts: DataFrame, shards: int, n_parts: int, scratch: list[str]):
+    def __init__(self, counts: DataFrame, shards: int, scratch: list[str]):
         spark = counts.sparkSession
-        key2 = F.col("key").bitwiseAND(PAIR)
-        part = lambda c: F.pmod(F.xxhash64(c), F.lit(n_parts)).cast("int").alias("part")
-        tri = stored_parts(counts.select("key", F.col("c").cast("int").alias("c"), part(key2)), "part", n_parts, "key")
-        bis = [stored(x.groupBy(key2.alias("key2")).agg(F.count(F.lit(1)).cast("int").alias("c2")).sortWithinPartitions("key2")) for x in tri]
-        bi, every = _all(bis), _all(tri)
-        seen = lambda c: [F.sum((F.col(c) == k).cast("long")) for k in (1, 2, 3, 4)]
-        d3, d2 = (_discounts(t.agg(*seen(c)).first()) for t, c in ((every, "c"), (bi, "c2")))
-        (c1,) = _by_code(bi.groupBy(F.col("key2").bitwiseAND(MASK).alias("w")).agg(F.count(F.lit(1)).alias("c1")))
-        off = lambda c, d: F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        t2, left2 = _by_code(bi.groupBy(F.shiftright("key2", BITS).alias("v")).agg(F.sum("c2").alias("t2"), F.sum(off(F.col("c2"), d2)).alias("left")))
+        counts = stored(counts)
+        (c1, t2, *few), seen = tallies(counts)
+        d3, d2 = _discounts(seen[:4]), _discounts(seen[4:])
+        left2 = sum(n * d for n, d in zip(few, d2, strict=True))
         d1 = _discounts([int((c1 == k).sum()) for k in (1, 2, 3, 4)])
-        off1 = np.where(c1 == 0, 0.0, np.where(c1 == 1, d1[0], np.where(c1 == 2, d1[1], d1[2])))
+        off1 = np.where(c1 == 0, 0.0, _off(c1, d1))
         total = c1.sum()
         self.empty = total == 0
         self.base = float((off1.sum() / total if total else 1.0) / ((c1 > 0).sum() + 1))
@@ -303,39 +374,49 @@ class KneserNey:
         self.possible = t2 > 0, c1 > 0
         words = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in (p1, g2, t2)))
 
-        def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def likely(pair: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The probability of each pair, and what it would be without the pair."""
             p1, g2, t2 = words.value
-            for b in batches:
-                key, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-                v, w = key >> BITS, key & MASK
-                p = (c - np.where(c == 1, d2[0], np.where(c == 2, d2[1], d2[2]))) / t2[v] + g2[v] * p1[w]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.rint(np.log(p) * 1000).astype(np.int16)), pa.array(np.log(p / (g2[v] * p1[w])).astype(np.float32))], names=["key2", "lp2", "w2"])
-
-        mark = F.lit(-(1 << 63))
-        packed, joined = [], []
-        for x, y in zip(tri, bis, strict=True):
-            pairs = stored(y.mapInArrow(paired, "key2 long, lp2 short, w2 float"))
-            dropped(spark, [y])
-            packed.append(stored(packed_weights(pairs.select(F.col("key2").bitwiseOR(mark).alias("key"), F.col("w2").alias("weight")), shards), scratch))
-            both = x.withColumn("key2", key2).join(pairs.select("key2", "lp2"), "key2").select("key", "c", "lp2", part(F.shiftright("key", BITS)))
-            joined.append(stored_parts(both, "part", n_parts, "key"))
-            dropped(spark, [x, pairs])
-        for parts in zip(*joined, strict=True):
-            some = _all(parts).withColumn("ctx", F.shiftright("key", BITS))
-            after = some.groupBy("ctx").agg(F.sum("c").alias("t3"), (F.sum(off(F.col("c"), d3)) / F.sum("c")).alias("g3"))
-            lower = F.col("g3") * F.exp(F.col("lp2") / 1000)
-            triples = some.join(after, "ctx").select("key", F.ln(((F.col("c") - off(F.col("c"), d3)) / F.col("t3") + lower) / lower).cast("float").alias("weight"))
-            contexts = after.select(F.col("ctx").bitwiseOR(mark).alias("key"), F.ln("g3").cast("float").alias("weight"))
-            packed.append(stored(packed_weights(triples.union(contexts), shards), scratch))
-            dropped(spark, list(parts))
-        self.table = _all(packed)
-
-
-def _all(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
+            v, w = pair >> BITS, pair & MASK
+            lower = g2[v] * p1[w]
+            return (c2 - _off(c2, d2)) / t2[v] + lower, lower
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, pair, _, c2 in _counts(batches):
+                p, lower = likely(pair, c2)
+                yield _weights(pair.view(np.uint64) | _IS_PAIR, np.log(p / lower), shards)
+
+        def by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, c, pair, _, c2 in _counts(batches):
+                lp2 = np.repeat(np.rint(np.log(likely(pair, c2)[0]) * 1000).astype(np.int16), c2)
+                key = (k & MASK) << 2 * BITS | k >> BITS
+                order = np.argsort(key)
+                key = key[order]
+                dealt = _dealt(_places((key >> BITS).view(np.uint64), shards)[0], key, c[order], lp2[order])
+                yield _batch([(s, _packed(own), _planes(n), _planes(lower)) for s, own, n, lower in dealt], schema, (*_COUNT_TYPES, pa.binary()))
+
+        def triples(key: tuple, rows: pa.Table) -> pa.Table:
+            k, c, lp2 = (np.concatenate([f(_blob(rows, x, i)) for i in range(rows.num_rows)]) for f, x in ((_unpacked, "keys"), (_unplaned, "counts"), (_unplaned, "lower")))
+            order = np.argsort(k)
+            k, c, lp2 = k[order], c[order], lp2[order]
+            ctx, off = k >> BITS, _off(c, d3)
+            begin = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+            t3 = np.add.reduceat(c, begin)
+            g3 = np.add.reduceat(off, begin) / t3
+            each = np.diff(np.append(begin, len(k)))
+            lower = np.repeat(g3, each) * np.exp(lp2 / 1000)
+            weight = np.log(((c - off) / np.repeat(t3, each) + lower) / lower)
+            keys = np.concatenate([k.view(np.uint64), ctx[begin].view(np.uint64) | _IS_PAIR])
+            return pa.Table.from_batches([_weights(keys, np.concatenate([weight, np.log(g3)]), shards)])
+
+        schema = _COUNTS + ", lower binary"
+        self.table = stored(counts.mapInArrow(pairs, _POSTED), scratch).union(stored(counts.mapInArrow(by_context, schema).groupBy("shard").applyInArrow(triples, _POSTED), scratch))
+        dropped(spark, [counts])
+
+
+def _off(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """What is taken off counts of one, two and more."""
+    return np.where(c == 1, d[0], np.where(c == 2, d[1], d[2]))
 
 
 def _places(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,32 +433,13 @@ def _row(shard: int, kind: int, block: int, *blobs: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()), *[pa.array([x], pa.binary()) for x in (*blobs, *[b""] * (4 - len(blobs)))]], names=_NAMES)
 
 
-def packed_weights(weights: DataFrame, shards: int) -> DataFrame:
-    """``weights`` as rows of kind 0: for each shard of a task's rows, the places of its keys and their weights in thousandths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            k, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            shard, place = _places(k.astype(np.int64).view(np.uint64), shards)
-            order = np.argsort(shard.astype(np.int64) << 32 | place)
-            shard, place, x = shard[order], place[order], x[order]
-            for s, a, b in _runs(shard):
-                yield _row(s, 0, 0, _packed(place[a:b]), zlib.compress(np.rint(x[a:b] * 1000).astype(np.int16).tobytes(), 1))
-
-        size = 0
-        for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
-            size += b.num_rows
-            if size > MERGED:
-                yield from out()
-                held, size = [], 0
-        yield from out()
-
-    return weights.mapInArrow(run, _POSTED)
+def _weights(k: np.ndarray, x: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Rows of kind 0: for each shard the places of its keys and their weights in thousandths."""
+    shard, place = _places(k, shards)
+    order = np.argsort(shard.astype(np.int64) << 32 | place)
+    shard, place, x = shard[order], place[order], np.rint(x[order].astype(np.float32) * 1000).astype(np.int16)
+    rows = [(s, 0, 0, _packed(place[a:b]), _planes(x[a:b]), b"", b"") for s, a, b in _runs(shard)]
+    return _batch(rows, _POSTED, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4))
 
 
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -458,17 +520,16 @@ def postings(docs: DataFrame, shards: int, known, words, common, turn: int, pass
 
 def _shard_sums(key: tuple, model: pa.Table, blocks: pa.Table) -> pa.Table:
     """Of each block of a shard, the documents that the model's n-grams are in and their weights' sums; rows of kind 2 as they are."""
-    blob = lambda t, c, i: t.column(c)[i].as_buffer()
-    k = np.concatenate([_unpacked(blob(model, "keys", i)) for i in range(model.num_rows)] or [np.zeros(0, np.int64)])
-    x = np.concatenate([np.frombuffer(zlib.decompress(blob(model, "sizes", i)), np.int16) for i in range(model.num_rows)] or [np.zeros(0, np.int16)])
+    k = np.concatenate([_unpacked(_blob(model, "keys", i)) for i in range(model.num_rows)] or [np.zeros(0, np.int64)])
+    x = np.concatenate([_unplaned(_blob(model, "sizes", i)) for i in range(model.num_rows)] or [np.zeros(0, np.int16)])
     k, x = _merged([(k, x.astype(np.int32))])
     out: list[tuple[int, int, bytes, bytes, bytes]] = []
     for i in range(blocks.num_rows):
         number = blocks.column("block")[i].as_py()
         if blocks.column("kind")[i].as_py() == 2:
-            out.append((number, 2, *[bytes(blob(blocks, c, i)) for c in ("keys", "sizes", "at")]))
+            out.append((number, 2, *[bytes(_blob(blocks, c, i)) for c in ("keys", "sizes", "at")]))
             continue
-        own, (sizes, at, times) = _unpacked(blob(blocks, "keys", i)), (_unplaned(blob(blocks, c, i)) for c in ("sizes", "at", "times"))
+        own, (sizes, at, times) = _unpacked(_blob(blocks, "keys", i)), (_unplaned(_blob(blocks, c, i)) for c in ("sizes", "at", "times"))
         if not len(k):
             continue
         found = np.minimum(np.searchsorted(k, own), len(k) - 1)
@@ -516,13 +577,13 @@ def common_keys(docs: DataFrame, n_docs: int, known) -> DataFrame:
     return _counted(some, keys, 2).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "key").limit(COMMON).select("key")
 
 
-def log_likelihoods(docs: DataFrame, counts: DataFrame, known, scratch: list[str]) -> DataFrame:
-    """``row_key, n, logp`` of each row of ``docs`` (``row_key, lang, text``) with words, by the model of ``counts``; the end mark's probability is part of ``logp``, the mark not of ``n``."""
+def log_likelihoods(docs: DataFrame, trusted: DataFrame, known, scratch: list[str]) -> DataFrame:
+    """``row_key, n, logp`` of each row of ``docs`` (``row_key, lang, text``) with words, by the model of ``trusted`` (``lang, text``); the end mark's probability is part of ``logp``, the mark not of ``n``."""
     spark = docs.sparkSession
     n_docs, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     shards = min(1 << 20, max(8, -(-(size or 0) // BYTES_A_SHARD)))
-    parts, passes = (PARTS, PASSES) if (size or 0) > SMALL else (1, 1)
-    model = KneserNey(counts, shards, parts, scratch)
+    passes = PASSES if (size or 0) > SMALL else 1
+    model = KneserNey(trigram_counts(trusted, shards, known), shards, scratch)
     table = model.table
     often = np.sort(common_keys(docs, n_docs, known).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -580,7 +641,7 @@ def held_out() -> Column:
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``row_key, doc_id, lang, n_words, log_perplexity, threshold, keep``, one row per row of ``docs``. Joins with label ids are left to the planner, which knows the stored tables' sizes."""
-    with shuffles_deleted(docs.sparkSession):
+    with shuffles_deleted(docs.sparkSession), small_batches(docs.sparkSession):
         return _scores(docs, labels)
 
 
@@ -591,7 +652,7 @@ def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     near, poor = (stored(f(labels), scratch) for f in (trusted_ids, poor_ids))
     trusted = keyed.join(near, "doc_id", "left_semi").filter(~held_out())
     known = spark.sparkContext.broadcast(known_words(trusted))
-    totals = log_likelihoods(keyed, trigram_counts(trusted, known), known, scratch)
+    totals = log_likelihoods(keyed, trusted, known, scratch)
     flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left").join(poor.withColumn("poor", F.lit(True)), "doc_id", "left")
     log_ppl = F.round(-F.col("logp") / F.col("n"), 6)
     held = [(F.coalesce(c, F.lit(False)) & held_out()).alias(c) for c in ("trusted", "poor")]

@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting by which the shuffle files of a query are deleted when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the rows that Python gets at once.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -25,17 +27,26 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of a query go when the query ends; a plan that runs again makes them again."""
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def _having(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEAN)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_CLEAN, before)
+            spark.conf.set(key, before)
+
+
+def shuffles_deleted(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, the shuffle files of a query go when the query ends; a plan that runs again makes them again."""
+    return _having(spark, _CLEAN, "true")
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, Python gets 500 rows at once at most, so that whole texts take little memory on both sides."""
+    return _having(spark, _BATCH, "500")
 
 
 def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
@@ -55,25 +66,6 @@ def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     return out
 
 
-def stored_parts(df: DataFrame, part: str, n: int, order: str) -> list[DataFrame]:
-    """``df`` computed now into ``n`` tables, by the number from 0 in its column ``part`` (which goes), sorted by ``order`` within each file; each can be dropped by itself."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
-    with shuffles_deleted(spark):
-        df.sortWithinPartitions(part, order).write.option("compression", "zstd").partitionBy(part).parquet(path)
-    schema = df.drop(part).schema
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    out = []
-    for i in range(n):
-        own = hadoop.Path(f"{path}/{part}={i}")
-        there = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
-        x = spark.read.schema(schema).parquet(str(own)) if there else spark.createDataFrame([], schema)
-        if there:
-            x._stored_at = str(own)
-        out.append(x)
-    return out
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and cut its lineage: a stored table."""
     return stored(df)
