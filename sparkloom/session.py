@@ -49,16 +49,17 @@ def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
     return _having(spark, _BATCH, "500")
 
 
-def stored(df: DataFrame, into: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, into: list[str] | None = None, by: str | None = None) -> DataFrame:
     """Compute ``df`` now into a compressed table in the shared checkpoint folder and read it back.
 
     The planner sees the table's real size, so estimates do not grow from round to round of a loop. The path is added to
     ``into``; it can be deleted with :func:`dropped`, by the path or by the frame, once nothing reads the table any more.
+    Rows of each value of ``by``, the last column, lie in a folder ``by=value`` of their own, which can be deleted by its path.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
     with shuffles_deleted(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     if into is not None:
         into.append(path)
     out = spark.read.schema(df.schema).parquet(path)
