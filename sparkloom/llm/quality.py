@@ -11,15 +11,16 @@ form: each n-gram of the model has a weight, and a text's log-probability is the
 so n-grams that the model lacks need no answer. Tables by word code have 2**21 rows at most and are broadcast. Pairs and
 triples are scored by a sharded count join: blocks of documents become postings (n-gram, documents, times), packed and
 dealt by the n-gram's shard; each shard meets its part of the model and sends each block's sums back. N-grams that a
-hundredth of a sample of documents hold would all meet in one task, so their weights are looked up once and broadcast
-(COMMON at most); the sample decides only where they are added up, never the result. Within a shard, n-grams are told
+hundredth of a sample of documents hold would all meet in one task, so their weights are looked up once where the model
+lies and broadcast (COMMON at most); the sample decides only where they are added up, never the result. Within a shard, n-grams are told
 apart by 32 bits of their hash: as a shard's part of the model is bounded, an n-gram that it lacks is taken for another
 one with a chance below one in a thousand. Weights are rounded to thousandths.
 
 Triples and pairs take far more room than the text, so none travels as a row: the model's are dealt twice, by the pair at
 their end and by the context at their beginning, as packed blocks of sorted keys that a task merges for a shard of bounded
-size. Scoring goes PASSES times over the documents, each time for some of the shards. Shuffle files are deleted as soon as
-a step is stored.
+size. Scoring goes PASSES times over the documents, each time for some of the shards, whose part of the model is deleted
+after it; so a later pass has room for more shards and takes them. Shuffle files are deleted as soon as a step is stored, and
+broadcasts after their last use.
 
 A document is kept if its perplexity is at most its language's threshold, a
 quantile of the perplexities of trusted documents that the model has not seen: it is counted over those whose hashed id
@@ -56,6 +57,8 @@ MERGED, BLOCK, BYTES_A_SHARD = 1_000_000, 600_000, 16 << 20
 SAMPLE, HUNDREDTH, COMMON = 4_000, 100, 200_000
 #: Times that scoring reads the documents, of texts beyond SMALL bytes; below, once, which differs in the room taken, not in the result.
 PASSES, SMALL = 3, 64 << 20
+#: How many times the shards of the pass before it a pass has: a pass's files take about five times the room of its shards' part of the model.
+LARGER = 1.2
 #: Ranges of word codes whose tallies one task adds up.
 RANGES = 16
 #: Threshold: the one of these quantiles of the held-out trusted documents that parts them best from the held-out bad ones.
@@ -355,10 +358,10 @@ def _discounts(row) -> list[float]:
 
 
 class KneserNey:
-    """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, ``possible`` (whether a code can begin and end a pair of the model), and ``table``, the weights of pairs and triples packed for ``shards``."""
+    """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, ``possible`` (whether a code can begin and end a pair of the model), and ``tables``, whose rows together are the weights of pairs and triples packed for the shards, stored in a part for each turn (``ends`` as in :func:`turns`)."""
 
-    def __init__(self, counts: DataFrame, shards: int, scratch: list[str]):
-        spark = counts.sparkSession
+    def __init__(self, counts: DataFrame, ends: list[int], scratch: list[str]):
+        spark, shards = counts.sparkSession, ends[-1]
         counts = stored(counts)
         (c1, t2, *few), seen = tallies(counts)
         d3, d2 = _discounts(seen[:4]), _discounts(seen[4:])
@@ -410,8 +413,51 @@ class KneserNey:
             return pa.Table.from_batches([_weights(keys, np.concatenate([weight, np.log(g3)]), shards)])
 
         schema = _COUNTS + ", lower binary"
-        self.table = stored(counts.mapInArrow(pairs, _POSTED), scratch).union(stored(counts.mapInArrow(by_context, schema).groupBy("shard").applyInArrow(triples, _POSTED), scratch))
+        turn = sum(((F.col("shard") >= end).cast("int") for end in ends[:-1]), F.lit(0)).alias("turn")
+        found = counts.mapInArrow(pairs, _POSTED), counts.mapInArrow(by_context, schema).groupBy("shard").applyInArrow(triples, _POSTED)
+        self.tables = [stored(x.select("*", turn), scratch, "turn") for x in found]
         dropped(spark, [counts])
+        words.destroy()
+
+    def of_turn(self, turn: int) -> DataFrame:
+        """The weights of a turn's shards."""
+        a, b = (x.filter(F.col("turn") == turn).drop("turn") for x in self.tables)
+        return a.union(b)
+
+    def drop_turn(self, turn: int) -> None:
+        """Delete a turn's part, which nothing reads any more."""
+        dropped(self.tables[0].sparkSession, [f"{x._stored_at}/turn={turn}" for x in self.tables])
+
+    def of_keys(self, keys: np.ndarray, shards: int) -> np.ndarray:
+        """What the model's rows weigh at the places of some keys, looked up where the rows lie."""
+        shard, place = _places(keys, shards)
+        one, which = np.unique(shard.astype(np.int64) << 32 | place, return_inverse=True)
+        spark = self.tables[0].sparkSession
+        asked = spark.sparkContext.broadcast(one)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    s = batch.column("shard")[i].as_py()
+                    a, b = np.searchsorted(asked.value, [s << 32, (s + 1) << 32])
+                    own = _unpacked(_blob(batch, "keys", i))
+                    at = np.searchsorted(own, asked.value[a:b] & 0xFFFFFFFF), np.searchsorted(own, asked.value[a:b] & 0xFFFFFFFF, "right")
+                    sums = np.concatenate([[0], np.cumsum(_unplaned(_blob(batch, "sizes", i)), dtype=np.int64)])
+                    n = sums[at[1]] - sums[at[0]]
+                    hit = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(hit + a), pa.array(n[hit])], names=["at", "n"])
+
+        a, b = (x.select("shard", "keys", "sizes") for x in self.tables)
+        got = a.union(b).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        asked.destroy()
+        sums = np.zeros(len(one))
+        sums[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return sums[which] / 1000
+
+
+def turns(shards: int, passes: int) -> list[int]:
+    """The end of each pass's run of shards, which together are all; a pass has LARGER times those of the pass before."""
+    return [round(shards * (LARGER ** (t + 1) - 1) / (LARGER**passes - 1)) for t in range(passes)]
 
 
 def _off(c: np.ndarray, d: list[float]) -> np.ndarray:
@@ -471,8 +517,9 @@ def _posted(shard: np.ndarray, place: np.ndarray, d: np.ndarray, block: int) ->
         yield _row(s, 1, block, _packed(ps[first]), _planes(np.diff(np.append(first, len(ps))).astype(np.int32)), _planes(d[a:b]), _planes(times[a:b]))
 
 
-def postings(docs: DataFrame, shards: int, known, words, common, turn: int, passes: int) -> DataFrame:
-    """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams; sums so far are those of common n-grams of the pass's shards and, in the first pass, of words."""
+def postings(docs: DataFrame, ends: list[int], known, words, common, turn: int) -> DataFrame:
+    """Rows of kind 1 as in :func:`_posted`, and one of kind 2 for each block: its documents' ``row_key``, words and sums so far. ``docs`` has ``row_key, lang, text``; ``words`` holds the model's arrays by word, ``common`` the sorted keys and weights of common n-grams; sums so far are those of common n-grams of the pass's shards and, in the first pass, of words. ``ends`` as in :func:`turns`."""
+    shards, begin, end = ends[-1], ends[turn - 1] if turn else 0, ends[turn]
 
     def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         names = np.concatenate([h[2] for h in held])
@@ -502,7 +549,7 @@ def postings(docs: DataFrame, shards: int, known, words, common, turn: int, pass
                 may = np.flatnonzero(ends[code & MASK] & begins[code >> BITS] | (code & MASK == 0))
                 k, d = k[may], d[may]
                 shard, place = _places(k, shards)
-                own = np.flatnonzero(shard % passes == turn)
+                own = np.flatnonzero((shard >= begin) & (shard < end))
                 k, d, shard, place = k[own], d[own], shard[own], place[own]
                 at = often(K.mix(k))
                 hit = at >= 0
@@ -582,31 +629,20 @@ def log_likelihoods(docs: DataFrame, trusted: DataFrame, known, scratch: list[st
     spark = docs.sparkSession
     n_docs, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     shards = min(1 << 20, max(8, -(-(size or 0) // BYTES_A_SHARD)))
-    passes = PASSES if (size or 0) > SMALL else 1
-    model = KneserNey(trigram_counts(trusted, shards, known), shards, scratch)
-    table = model.table
+    ends = turns(shards, PASSES if (size or 0) > SMALL else 1)
+    model = KneserNey(trigram_counts(trusted, shards, known), ends, scratch)
     often = np.sort(common_keys(docs, n_docs, known).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # each common n-gram is a document of its own, named by the key
-            k = b.column(0).to_numpy().view(np.uint64)
-            number = int(b.column(0)[0].as_py()) if b.num_rows else 0
-            yield _row(0, 2, number, k.tobytes(), np.ones(len(k), np.int64).tobytes(), np.zeros(len(k)).tobytes())
-            yield from _posted(*_places(k, shards), np.arange(len(k)), number)
-
-    worth = np.zeros(len(often))
-    if len(often):
-        ask = spark.createDataFrame(pa.table({"key": often.view(np.int64)})).mapInArrow(asked, _POSTED)
-        got = _scored(ask, table).select("row_key", "logp").toArrow()
-        worth[np.searchsorted(often, got.column(0).to_numpy().view(np.uint64))] = got.column(1).to_numpy()
+    worth = model.of_keys(often, shards)
     common = spark.sparkContext.broadcast((often, worth))
     words = spark.sparkContext.broadcast((model.predicted.astype(np.float32), model.context.astype(np.float32), *model.possible))
     every = None
-    for turn in range(passes):
-        own = table.filter(F.col("shard") % passes == turn)
+    for turn in range(len(ends)):
         # rows that repeat share a row_key and have the same sums
-        sums = stored(_scored(postings(docs, shards, known, words, common, turn, passes), own).groupBy("row_key").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), scratch)
+        sums = stored(_scored(postings(docs, ends, known, words, common, turn), model.of_turn(turn)).groupBy("row_key").agg(F.max("n").alias("n"), F.max("logp").alias("logp")), scratch)
         every = sums if every is None else every.union(sums)
+        model.drop_turn(turn)
+    for x in (common, words):
+        x.destroy()
     return every.groupBy("row_key").agg(F.max("n").alias("n"), F.sum("logp").alias("logp"))
 
 
@@ -653,6 +689,7 @@ def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = keyed.join(near, "doc_id", "left_semi").filter(~held_out())
     known = spark.sparkContext.broadcast(known_words(trusted))
     totals = log_likelihoods(keyed, trusted, known, scratch)
+    known.destroy()
     flagged = keyed.select("row_key", "doc_id", "lang").join(near.withColumn("trusted", F.lit(True)), "doc_id", "left").join(poor.withColumn("poor", F.lit(True)), "doc_id", "left")
     log_ppl = F.round(-F.col("logp") / F.col("n"), 6)
     held = [(F.coalesce(c, F.lit(False)) & held_out()).alias(c) for c in ("trusted", "poor")]
