@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spark's setting of the rows that Python gets at once.
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's setting of the files that a task writes at once; up to so many folders, its rows need no sorting by folder.
+_OPEN = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -58,7 +60,7 @@ def stored(df: DataFrame, into: list[str] | None = None, by: str | None = None)
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
-    with shuffles_deleted(spark):
+    with shuffles_deleted(spark), _having(spark, _OPEN, "8" if by else spark.conf.get(_OPEN)):
         df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     if into is not None:
         into.append(path)
