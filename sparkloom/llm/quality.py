@@ -8,7 +8,8 @@ make one 63-bit key, and the model counts every token.
 
 The model is counted over all trusted documents and kept as tables, never on one machine. It is brought into back-off
 form: each n-gram of the model has a weight, and a text's log-probability is the sum of the weights of the n-grams in it,
-so n-grams that the model lacks need no answer. Tables by word code have 2**21 rows at most and are broadcast. Pairs and
+so n-grams that the model lacks need no answer. Tables by word code have 2**21 rows at most and are broadcast; the driver
+keeps what they are made of packed, and unpacks a range of codes at a time. Pairs and
 triples are scored by a sharded count join: blocks of documents become postings (n-gram, documents, times), packed and
 dealt by the n-gram's shard; each shard meets its part of the model and sends each block's sums back. N-grams that a
 hundredth of a sample of documents hold would all meet in one task, so their weights are looked up once where the model
@@ -320,8 +321,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
             yield k, c, pair[begin], begin, np.diff(np.append(begin, len(k)))
 
 
-def tallies(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """From :func:`trigram_counts`, by word code: the pairs it ends, the triples whose pair it begins, and the pairs it begins that have one, two and more triples. And how many triples are there once to four times, and how many pairs have one to four triples."""
+def packed_tallies(counts: DataFrame) -> tuple[list[pa.Buffer], np.ndarray]:
+    """What :func:`tallies` gives, its first part packed by range of word codes, so that whoever reads it need unpack one range at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros((5, 1 << BITS), np.int32), np.zeros(8, np.int64)
@@ -342,9 +343,25 @@ def tallies(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     schema, types = "range int, sums binary", (pa.int32(), pa.binary())
     t = counts.mapInArrow(run, schema).groupBy("range").applyInArrow(added, schema).toArrow()
-    found = {t.column("range")[i].as_py(): _unplaned(_blob(t, "sums", i)) for i in range(t.num_rows)}
-    none = np.zeros(5 * (1 << BITS) // RANGES, np.int64)
-    return np.concatenate([found.get(i, none).reshape(5, -1) for i in range(RANGES)], axis=1), found.get(RANGES, np.zeros(8, np.int64))
+    found = {t.column("range")[i].as_py(): _blob(t, "sums", i) for i in range(t.num_rows)}
+    none = pa.py_buffer(_planes(np.zeros(5 * (1 << BITS) // RANGES, np.int64)))
+    return [found.get(i, none) for i in range(RANGES)], _unplaned(found[RANGES]) if RANGES in found else np.zeros(8, np.int64)
+
+
+def tallies(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From :func:`trigram_counts`, by word code: the pairs it ends, the triples whose pair it begins, and the pairs it begins that have one, two and more triples. And how many triples are there once to four times, and how many pairs have one to four triples."""
+    packed, seen = packed_tallies(counts)
+    return np.concatenate([_unplaned(x).reshape(5, -1) for x in packed], axis=1), seen
+
+
+def _gathered(ranges: Iterator[tuple[np.ndarray, ...]], *kinds: type) -> tuple[np.ndarray, ...]:
+    """Whole arrays by word code from their parts by range."""
+    size = (1 << BITS) // RANGES
+    out = tuple(np.empty(1 << BITS, k) for k in kinds)
+    for i, parts in enumerate(ranges):
+        for whole, x in zip(out, parts, strict=True):
+            whole[i * size : (i + 1) * size] = x
+    return out
 
 
 def _discounts(row) -> list[float]:
@@ -358,24 +375,25 @@ def _discounts(row) -> list[float]:
 
 
 class KneserNey:
-    """A model in back-off form: ``predicted`` and ``context`` by word code, ``base`` for a word it lacks, ``possible`` (whether a code can begin and end a pair of the model), and ``tables``, whose rows together are the weights of pairs and triples packed for the shards, stored in a part for each turn (``ends`` as in :func:`turns`)."""
+    """A model in back-off form: :meth:`weights` by word code, ``base`` for a word it lacks, and ``tables``, whose rows together are the weights of pairs and triples packed for the shards, stored in a part for each turn (``ends`` as in :func:`turns`)."""
 
     def __init__(self, counts: DataFrame, ends: list[int], scratch: list[str]):
         spark, shards = counts.sparkSession, ends[-1]
         counts = stored(counts)
-        (c1, t2, *few), seen = tallies(counts)
-        d3, d2 = _discounts(seen[:4]), _discounts(seen[4:])
-        left2 = sum(n * d for n, d in zip(few, d2, strict=True))
-        d1 = _discounts([int((c1 == k).sum()) for k in (1, 2, 3, 4)])
-        off1 = np.where(c1 == 0, 0.0, _off(c1, d1))
-        total = c1.sum()
-        self.empty = total == 0
-        self.base = float((off1.sum() / total if total else 1.0) / ((c1 > 0).sum() + 1))
-        p1 = (c1 - off1) / max(1.0, total) + self.base
-        g2 = np.where(t2 > 0, left2 / np.maximum(1.0, t2), 1.0)
-        self.predicted, self.context = np.log(p1), np.log(g2)
-        self.possible = t2 > 0, c1 > 0
-        words = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in (p1, g2, t2)))
+        self.packed, seen = packed_tallies(counts)
+        d3, self.d2 = _discounts(seen[:4]), _discounts(seen[4:])
+        d2 = self.d2
+        ended = np.zeros(5, np.int64)  # words by the pairs they end: one to four, and any
+        self.total = 0
+        for raw in self.packed:
+            c1 = _unplaned(raw).reshape(5, -1)[0]
+            ended += [int(x.sum()) for x in (c1 == 1, c1 == 2, c1 == 3, c1 == 4, c1 > 0)]
+            self.total += int(c1.sum())
+        self.d1 = _discounts(ended[:4])
+        off1 = float(np.dot([ended[0], ended[1], ended[4] - ended[0] - ended[1]], self.d1))
+        self.empty = self.total == 0
+        self.base = float((off1 / self.total if self.total else 1.0) / (ended[4] + 1))
+        words = spark.sparkContext.broadcast(_gathered(((p1, g2, t2) for p1, g2, _, t2 in self.by_range()), np.float32, np.float32, np.float32))
 
         def likely(pair: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """The probability of each pair, and what it would be without the pair."""
@@ -419,6 +437,18 @@ class KneserNey:
         dropped(spark, [counts])
         words.destroy()
 
+    def by_range(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each range of word codes: a word's probability, what its context leaves to the words by themselves, the pairs it ends and the triples whose pair it begins."""
+        for raw in self.packed:
+            c1, t2, *few = _unplaned(raw).reshape(5, -1)
+            p1 = (c1 - np.where(c1 == 0, 0.0, _off(c1, self.d1))) / max(1.0, self.total) + self.base
+            left2 = sum(n * d for n, d in zip(few, self.d2, strict=True))
+            yield p1, np.where(t2 > 0, left2 / np.maximum(1.0, t2), 1.0), c1, t2
+
+    def weights(self) -> tuple[np.ndarray, ...]:
+        """By word code: its weight as a prediction and as a context, and whether it can begin and end a pair of the model."""
+        return _gathered(((np.log(p1), np.log(g2), t2 > 0, c1 > 0) for p1, g2, c1, t2 in self.by_range()), np.float32, np.float32, bool, bool)
+
     def of_turn(self, turn: int) -> DataFrame:
         """The weights of a turn's shards."""
         a, b = (x.filter(F.col("turn") == turn).drop("turn") for x in self.tables)
@@ -634,7 +664,7 @@ def log_likelihoods(docs: DataFrame, trusted: DataFrame, known, scratch: list[st
     often = np.sort(common_keys(docs, n_docs, known).toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     worth = model.of_keys(often, shards)
     common = spark.sparkContext.broadcast((often, worth))
-    words = spark.sparkContext.broadcast((model.predicted.astype(np.float32), model.context.astype(np.float32), *model.possible))
+    words = spark.sparkContext.broadcast(model.weights())
     every = None
     for turn in range(len(ends)):
         # rows that repeat share a row_key and have the same sums

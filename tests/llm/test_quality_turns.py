@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 from urllib.parse import urlparse
 
 import numpy as np
@@ -70,3 +71,15 @@ def test_common_weights_are_those_of_the_models_rows(spark):
     assert model.of_keys(keys, 4).tolist() == [want.get(x, 0) / 1000 for x in zip(shard.tolist(), place.tolist(), strict=True)]
     assert model.of_keys(keys, 4).any() and len(model.of_keys(keys[:0], 4)) == 0
     session.dropped(spark, scratch)
+
+
+def test_the_driver_unpacks_the_model_a_range_at_a_time(spark):
+    """What the driver's Python holds is some arrays that it broadcasts, not all tallies by word code (84 MB) with copies of them."""
+    docs, labels = some(spark)
+    tracemalloc.start()
+    try:
+        rows = quality.classified(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 72 << 20 and rows.count() == 400
